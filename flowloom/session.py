@@ -27,6 +27,7 @@ def local_session(app: str = "flowloom", cores: str = "*", **extra: str) -> Spar
     for key, value in {
         **SETTINGS,
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.sql.shuffle.partitions": os.cpu_count() or 8,
         "spark.driver.memory": "12g",
         **extra,

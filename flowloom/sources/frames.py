@@ -16,10 +16,10 @@ def decode_frames(frames: DataFrame) -> DataFrame:
     no row; one 802.1Q tag is stepped over. Fields a frame does not have are NULL.
     """
     b = F.col("frame")
-    tag = F.when(uint(b, 13, 2) == S.ETH_VLAN, F.lit(4)).otherwise(F.lit(0))
-    df = frames.filter(F.length(b) >= 14).withColumn("_tag", tag)
+    tag = F.when(F.hex(F.substr(b, F.lit(13), F.lit(2))) == f"{S.ETH_VLAN:04X}", F.lit(4)).otherwise(F.lit(0))
+    df = frames.filter(F.length(b) >= F.lit(14) + tag).withColumn("_tag", tag)
     ip = F.col("_tag") + 15  # 1-based position of the first network-layer byte
-    df = df.withColumn("eth_type", uint(b, ip - 2, 2)).filter(F.col("eth_type").isNotNull())
+    df = df.withColumn("eth_type", uint(b, ip - 2, 2))
     v4 = (F.col("eth_type") == S.ETH_IPV4) & (F.length(b) >= F.col("_tag") + 34)
 
     def field(value: Column) -> Column:

@@ -144,16 +144,10 @@ def synthesise(
         R.RANK, draw_index(F.col(S.LABEL), F.col(DRAW), F.col("_size"), seed, F.col("_group") + 1)
     ).drop("_size")
     joined = picks.join(ranked, [S.LABEL, R.RANK])
-    slim = joined.select(S.LABEL, DRAW, *[
-        F.when(F.col("_group") == i, F.struct(*[F.col(S.q(c)) for c in g])).alias(f"_g{i}")
-        for i, g in enumerate(groups)
+    # Every (draw, group) has one row, so a maximum over one value puts the row together in a hash aggregate.
+    return joined.groupBy(S.LABEL, DRAW).agg(*[
+        F.max(F.when(F.col("_group") == i, F.col(S.q(c)))).alias(c) for i, g in enumerate(groups) for c in g
     ])
-    rows = slim.groupBy(S.LABEL, DRAW).agg(*[
-        F.first(f"_g{i}", ignorenulls=True).alias(f"_g{i}") for i in range(len(groups))
-    ])
-    return rows.select(
-        DRAW, *[F.col(f"_g{i}")[c].alias(c) for i, g in enumerate(groups) for c in g], S.LABEL
-    )
 
 
 def append_synthetic(real: DataFrame, *extra: DataFrame) -> DataFrame:

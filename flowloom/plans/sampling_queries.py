@@ -120,9 +120,15 @@ def s04(spark, sf_dir):
 _SHOWN = ["flow_duration", "Rate", "syn_flag_number", "HTTP", "Tot sum", "Weight"]  # one per column group
 
 
-@query("s05_synthesise", WITH + _DRAWS.format(ways="'synthesise'") + " select d.label, d.draw, " + ", ".join(
-    f'r{i}."{c}" as {S.snake(c)}' for i, c in enumerate(_SHOWN)) + " from d " + " ".join(
-    f"join r r{i} on r{i}.label = d.label and r{i}.rn = {_index(i + 1)}" for i in range(len(_SHOWN))))
+_SYNTHETIC = f"""(select e.label, e.draw, """ + ", ".join(
+    f'max(case when e.stream = {i + 1} then r."{c}" end) as "{c}"' for i, c in enumerate(_SHOWN)) + f"""
+  from (select {{d}}.*, unnest([1, 2, 3, 4, 5, 6]) as stream from {{d}}) e join r on r.label = e.label
+  and r.rn = 1 + cast('0x' || substr(md5(concat_ws(':', e.label, e.draw, e.stream, '42')), 1, 15) as bigint) % e.size
+  group by 1, 2)"""
+
+
+@query("s05_synthesise", WITH + _DRAWS.format(ways="'synthesise'") + " select label, draw, " + ", ".join(
+    f'"{c}" as {S.snake(c)}' for c in _SHOWN) + " from " + _SYNTHETIC.format(d="d"))
 def s05(spark, sf_dir):
     df = clean_flows(spark, sf_dir)
     counts = R.class_counts(df, S.LABEL)
@@ -157,8 +163,6 @@ def s07(spark, sf_dir):
     return both.groupBy("flow_id").agg(F.count(F.lit(1)).alias("copies"))
 
 
-_SYNTHETIC = "select d.label, " + ", ".join(f'r{i}."{c}"' for i, c in enumerate(_SHOWN)) + " from d2 d " + " ".join(
-    f"join r r{i} on r{i}.label = d.label and r{i}.rn = {_index(i + 1)}" for i in range(len(_SHOWN)))
 _SHOWN_SQL = ", ".join(f'r."{c}"' for c in _SHOWN)
 
 
@@ -166,7 +170,7 @@ _SHOWN_SQL = ", ".join(f'r."{c}"' for c in _SHOWN)
        + _DRAWS.format(ways="'synthesise'").replace(", d as", ", d2 as") + f""",
   allrows as (select r.label, {_SHOWN_SQL} from r join plan on r.label = plan.label where rn <= kept
     union all select d.label, {_SHOWN_SQL} from d join r on r.label = d.label and r.rn = {_index(0)}
-    union all {_SYNTHETIC})
+    union all select label, {_SHOWN_SQL.replace('r.', '')} from {_SYNTHETIC.format(d="d2")})
   select label, count(*) as n, """ + ", ".join(
     f'round(sum("{c}"), 3) as {S.snake(c)}' for c in _SHOWN) + " from allrows group by label")
 def s08(spark, sf_dir):

@@ -11,72 +11,40 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def py_repr(x: Column, integral: bool = False) -> Column:
+def py_repr(x: Column) -> Column:
     """Shortest decimal text of a double; an exponent only below 1e-4 or from 1e16 on.
 
-    ``integral`` prints a whole-number column without a decimal point.
+    Spark prints an exponent below 1e-3 and from 1e7 on. In the stretch between
+    the two rules the digits are laid out by a decimal, which takes them from
+    the same shortest form; outside it only the spelling of the exponent differs.
     """
-    if integral:
-        return x.cast("bigint").cast("string")
-    shown = F.abs(x).cast("string")
-    exponent = F.split_part(shown, F.lit("E"), F.lit(2))
-    mantissa = F.split_part(shown, F.lit("E"), F.lit(1))
-    e = F.when(exponent == "", F.lit(0)).otherwise(exponent.try_cast("int"))
-    whole = F.split_part(mantissa, F.lit("."), F.lit(1))
-    fraction = F.split_part(mantissa, F.lit("."), F.lit(2))
-    digits = F.concat(whole, F.when(fraction == "0", F.lit("")).otherwise(fraction))
-
-    scientific = F.concat(
-        whole,
-        F.when(fraction == "0", F.lit("")).otherwise(F.concat(F.lit("."), fraction)),
-        F.lit("e"),
-        F.when(e < 0, F.lit("-")).otherwise(F.lit("+")),
-        F.lpad(F.abs(e).cast("string"), F.greatest(F.lit(2), F.length(F.abs(e).cast("string"))), F.lit("0")),
-    )
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
-    padded = F.rpad(digits, F.greatest(e + 2, F.length(digits)), F.lit("0"))
-    large = F.concat(
-        F.substr(padded, F.lit(1), e + 1), F.lit("."), F.substr(padded, e + 2, F.length(padded))
-    )
-    body = (
-        F.when(exponent == "", shown)
-        .when((e < -4) | (e >= 16), scientific)
-        .when(e < 0, small)
-        .otherwise(large)
+    size = F.abs(x)
+    shown = x.cast("string")
+    plain = F.rtrim(x.try_cast("decimal(38,22)").cast("string"), F.lit("0"))
+    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
+    exponent = F.regexp_replace(F.regexp_replace(shown, r"\.0E", "E"), r"E-(\d)$", "E-0$1")
+    exponent = F.regexp_replace(F.regexp_replace(exponent, "E-", "e-"), r"E(\d+)$", "e+$1")
+    return (
+        F.when((size == 0) | ((size >= 1e-3) & (size < 1e7)), shown)
+        .when((size >= 1e-4) & (size < 1e16), plain)
+        .otherwise(exponent)
     )
-    sign = F.when(x.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    return F.when(x.isNull(), F.lit(None).cast("string")).otherwise(F.concat(sign, body))
 
 
 def fmt4(x: Column) -> Column:
-    """Four decimals, ties decided on the exact binary value; NULL stays NULL.
+    """Four decimals, rounded on the exact binary value, ties to even; NULL stays NULL.
 
-    The decimal cast shows the shortest digits, so a value that looks like a tie
-    there is settled by splitting the double into two exactly representable
-    halves and comparing with the tie point in floating point.
+    The pattern form of ``format_number`` rounds like that, with two
+    exceptions: the double nearest to 0.00005, which lies above the tie, and
+    numbers so large that their shortest digits end before the fourth decimal.
+    Those are put together from the whole part and the exact binary fraction.
     """
-    y = F.abs(x)
-    scaled = y.try_cast("decimal(38,18)") * F.lit(10000).cast("decimal(5,0)")
-    n = F.floor(scaled).cast("decimal(30,0)")
-    rest = scaled - n
-    split = F.lit(134217729.0) * y
-    high = split - (split - y)
-    low = y - high
-    side = (high * F.lit(20000.0) - (n.cast("double") * 2 + 1)) + low * F.lit(20000.0)
-    even = n + F.pmod(n, F.lit(2).cast("decimal(1,0)"))
-    rounded = (
-        F.when(rest > F.lit(0.5), n + 1)
-        .when(rest < F.lit(0.5), n)
-        .when(side > 0, n + 1)
-        .when(side < 0, n)
-        .otherwise(even)
-    ).cast("decimal(30,0)")
-    text = F.concat(
-        F.floor(rounded / 10000).cast("decimal(30,0)").cast("string"),
-        F.lit("."),
-        F.lpad(F.pmod(rounded, F.lit(10000).cast("decimal(5,0)")).cast("int").cast("string"), 4, "0"),
+    text = F.call_function("format_number", x, F.lit("0.0000"))
+    size = F.abs(x)
+    fraction = F.bround((size - F.floor(size)).try_cast("decimal(38,18)"), 4)
+    exact = (F.floor(size).cast("decimal(30,0)") + fraction).cast("decimal(30,4)").cast("string")
+    return (
+        F.when(size == 5e-5, F.when(x > 0, "0.0001").otherwise("-0.0001"))
+        .when(size < 4e11, text)
+        .otherwise(F.concat(F.when(x < 0, "-").otherwise(""), exact))
     )
-    # From 2**53 on a double has no fraction, so its whole digits are exact.
-    whole = F.concat(y.try_cast("decimal(38,0)").cast("string"), F.lit(".0000"))
-    sign = F.when(x.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    return F.when(y >= F.lit(9007199254740992.0), F.concat(sign, whole)).otherwise(F.concat(sign, text))

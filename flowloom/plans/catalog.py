@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowloom.plans import packet_queries, sampling_queries  # noqa: F401
+from flowloom.plans import packet_queries, sampling_queries, text_queries  # noqa: F401
 from flowloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

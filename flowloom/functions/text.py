@@ -191,21 +191,26 @@ def chat_prompt(text: Column, label: Column) -> Column:
 
 
 def parse_features(text: Column) -> Column:
-    """``name -> value text``; pairs without ": " are ignored, of equal names the last one wins."""
+    """``name -> value text``; pairs without ": " are ignored, of equal names the last one wins.
+
+    Texts with a repeated name are rare; only they pay for looking for the last one.
+    """
     body = F.replace(text, F.lit(INPUT_PREFIX), F.lit(""))
-    pairs = F.filter(F.split(body, ", "), lambda p: F.contains(p, F.lit(": ")))
+    pairs = F.split(body, ", ")
 
     def key(p: Column) -> Column:
         return F.substring_index(p, ": ", 1)
 
-    entries = F.transform(pairs, lambda p: F.struct(
-        key(p).alias("key"), F.substr(p, F.length(key(p)) + 3, F.length(p)).alias("value")))
+    def entry(p: Column) -> Column:
+        return F.struct(key(p).alias("key"), F.substr(p, F.length(key(p)) + 3, F.length(p)).alias("value"))
+
+    entries = F.transform(F.filter(pairs, lambda p: F.contains(p, F.lit(": "))), entry)
     last = F.filter(entries, lambda e, i: ~F.exists(
         F.slice(entries, i + 2, F.greatest(F.size(entries) - i - 1, F.lit(0))), lambda later: later["key"] == e["key"]
     ))
     names = F.transform(pairs, key)
-    repeated = F.size(F.array_distinct(names)) < F.size(names)
-    return F.map_from_entries(F.when(repeated, last).otherwise(entries))
+    plain = F.map_filter(F.str_to_map(body, F.lit(", "), F.lit(": ")), lambda name, value: value.isNotNull())
+    return F.when(F.size(F.array_distinct(names)) < F.size(names), F.map_from_entries(last)).otherwise(plain)
 
 
 def feature_number(features: Column, name: str) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowloom import schemas as S
+from flowloom.operators.statistics import long_form
 from flowloom.schemas import q
 
 
@@ -51,10 +52,9 @@ def detect_binary(df: DataFrame) -> list[str]:
     columns = numeric(df)
     if not columns:
         return []
-    row = df.agg(*[
-        F.bool_and(F.col(q(c)).isin(0, 1)).alias(f"b{i}") for i, c in enumerate(columns)
-    ]).first()
-    return [c for i, c in enumerate(columns) if row[f"b{i}"]]
+    rows = long_form(df, columns).groupBy("pos").agg(F.bool_and(F.col("x").isin(0.0, 1.0)).alias("b")).collect()
+    binary = {columns[r["pos"]] for r in rows if r["b"]}
+    return [c for c in columns if c in binary]
 
 
 def cast_binary(df: DataFrame, columns: list[str]) -> DataFrame:

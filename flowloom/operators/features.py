@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowloom import schemas as S
-from flowloom.operators.statistics import finite, moments, quantiles, value_counts
+from flowloom.operators.statistics import finite, long_form, moments, quantiles
 from flowloom.schemas import q
 
 EPSILON = 1e-6
@@ -81,21 +81,32 @@ def learn_medians(df: DataFrame) -> dict[str, float]:
     columns = numeric_columns(plain)
     if not columns:
         return {}
-    total = plain.agg(F.count(F.lit(1)).alias("n"), *[
-        F.count(q(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    gaps = [c for i, c in enumerate(columns) if total[f"n{i}"] < total["n"]]
+    rows = long_form(plain, columns).groupBy("pos").agg(F.count("x").alias("n"), F.count(F.lit(1)).alias("all")).collect()
+    gaps = [columns[r["pos"]] for r in rows if r["n"] < r["all"]]
     found = quantiles(plain, {c: [0.5] for c in gaps})
-    return {c: found[(c, 0.5)] for c in gaps if found[(c, 0.5)] is not None}
+    return {c: found[(c, 0.5)] for c in gaps}
 
 
-def clean_impute(df: DataFrame, medians: dict[str, float] | None = None) -> DataFrame:
-    """Infinite and missing numbers become the column median; the label stays as it is."""
-    plain = _as_missing(df)
-    medians = learn_medians(df) if medians is None else medians
-    return plain.select(*[
-        (F.coalesce(F.col(q(c)).cast("double"), F.lit(medians[c])) if c in medians else F.col(q(c))).alias(c)
-        for c in plain.columns
-    ])
+def clean_impute(df: DataFrame, medians: dict[str, float | None] | None = None) -> DataFrame:
+    """Infinite and missing numbers become the column median; the label stays as it is.
+
+    With the medians of this very table, columns without a median are complete
+    and pass through. Stored medians may meet new gaps elsewhere; those become NULL.
+    """
+    own = medians is None
+    medians = learn_medians(df) if own else medians
+    plain = df if own else _as_missing(df)
+    return _imputed(df, plain, medians)
+
+
+def _imputed(df: DataFrame, plain: DataFrame, medians: dict[str, float | None]) -> DataFrame:
+    fractional = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+
+    def filled(c: str) -> Column:
+        x = finite(F.col(q(c))) if c in fractional else F.col(q(c))
+        return F.coalesce(x.cast("double"), F.lit(medians[c]).cast("double"))
+
+    return plain.select(*[(filled(c) if c in medians else F.col(q(c))).alias(c) for c in plain.columns])
 
 
 # ---- steps -----------------------------------------------------------------------------------
@@ -193,7 +204,7 @@ def _row_count(conditions: list[Column]) -> Column:
 def learn(df: DataFrame) -> TableStatistics:
     """Read everything engineering needs from the table: three aggregates, whatever its size."""
     medians = learn_medians(df)
-    clean = clean_impute(df, medians)
+    clean = _imputed(df, df, medians)
     flags = flag_columns(clean)
     # Anomaly columns are the first three numeric ones in schema order.
     first = numeric_columns(clean)[:3]
@@ -237,8 +248,11 @@ def engineer(df: DataFrame, stats: TableStatistics | None = None) -> Engineered:
     Compat: the statistics are those of the table passed in. Strict: pass the
     statistics learnt when the selection was fitted.
     """
-    stats = learn(df) if stats is None else stats
-    clean = clean_impute(df, stats.medians)
+    if stats is None:
+        stats = learn(df)
+        clean = _imputed(df, df, stats.medians)
+    else:
+        clean = clean_impute(df, stats.medians)
     temporal = temporal_columns(clean)
     behavioural = behavioural_columns(clean, stats)
     network = network_columns(clean, stats)

@@ -8,35 +8,29 @@ row per class.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from math import ceil
+from math import ceil, inf, nextafter
 
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.ml.feature import Bucketizer, StringIndexer, VectorAssembler
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowloom import schemas as S
 from flowloom.operators import features as FE
-from flowloom.operators import ranking as R
 from flowloom.operators import sampling as SP
 from flowloom.operators.bounded import small_side
-from flowloom.operators.statistics import moments, order_statistics, value_counts
+from flowloom.operators.statistics import long_form, moments, order_statistics, value_counts
 from flowloom.schemas import q
 
 VARIANCE_THRESHOLD = 0.01
 MI_BUCKETS = 32
-COLUMNS_PER_PASS = 40  # keeps one aggregate inside generated code
-
-
-def _chunks(items: list[str], n: int = COLUMNS_PER_PASS) -> list[list[str]]:
-    return [items[i:i + n] for i in range(0, len(items), n)]
 
 
 # ---- variance --------------------------------------------------------------------------------
 
 
 def variances(df: DataFrame, columns: list[str]) -> dict[str, float]:
-    return {c: m["var"] for part in _chunks(columns) for c, m in moments(df, part).items()}
+    return {c: m["var"] for c, m in moments(df, columns).items()}
 
 
 def variance_filter(df: DataFrame, columns: list[str], threshold: float = VARIANCE_THRESHOLD) -> list[str]:
@@ -55,29 +49,16 @@ def anova_f(df: DataFrame, columns: list[str], by: str = S.LABEL, means: dict[st
     """``feature, f_score``: between-class over within-class variance of every column.
 
     Values are centred on the global mean first, so the sums of squares keep
-    their digits. One hash aggregate per group of columns; its result has one
-    row per class.
+    their digits. One hash aggregate of (class, feature) cells.
     """
     if means is None:
-        means = {c: m["mean"] for part in _chunks(columns) for c, m in moments(df, part).items()}
-    parts = []
-    for names in _chunks(columns):
-        exprs = []
-        for i, c in enumerate(names):
-            x = F.col(q(c)).cast("double") - F.lit(means[c])
-            exprs += [F.count(x).alias(f"n{i}"), F.sum(x).alias(f"s{i}"), F.sum(x * x).alias(f"t{i}")]
-        per_class = df.groupBy(by).agg(*exprs)
-        stacked = F.explode(F.array(*[
-            F.struct(
-                F.lit(c).alias("feature"), F.col(f"n{i}").alias("n"), F.col(f"s{i}").alias("s"),
-                F.col(f"t{i}").alias("t"),
-            ) for i, c in enumerate(names)
-        ])).alias("x")
-        parts.append(per_class.select(stacked).select("x.*"))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    sums = rows.filter("n > 0").groupBy("feature").agg(
+        means = {c: m["mean"] for c, m in moments(df, columns).items()}
+    centres = F.array(*[F.lit(means[c]).cast("double") for c in columns])
+    names = F.array(*[F.lit(c) for c in columns])
+    long = long_form(df, columns, by).filter("x is not null")
+    cells = long.select(by, "pos", (F.col("x") - F.element_at(centres, F.col("pos") + 1)).alias("x")).groupBy(by, "pos").agg(
+        F.count("x").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("t"))
+    sums = cells.groupBy(F.element_at(names, F.col("pos") + 1).alias("feature")).agg(
         F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("t").alias("t"),
         F.sum(F.try_divide(F.col("s") * F.col("s"), F.col("n"))).alias("between"),
     )
@@ -100,20 +81,30 @@ def bucket_limits(
         c: [ceil(i * (counts[c] - 1) / buckets) - 1 for i in range(1, buckets)] for c in columns if counts[c]
     }
     ranks = {c: [r for r in rs if r >= 0] for c, rs in at.items()}
-    values: dict[tuple[str, int], float] = {}
-    for part in _chunks([c for c in ranks if ranks[c]], 8):
-        values |= order_statistics(df, {c: ranks[c] for c in part}, counts, **kw)
+    values = order_statistics(df, ranks, counts, **kw)
     return {c: [values[(c, r)] for r in rs] for c, rs in ranks.items()}
 
 
-def bucket_of(x: Column, limits: list[float], below: int = 0) -> Column:
-    """Number of limits that lie under ``x``: a binary search written as nested conditions."""
-    if not limits:
-        return F.lit(below)
-    middle = len(limits) // 2
-    return F.when(x > F.lit(limits[middle]), bucket_of(x, limits[middle + 1:], below + middle + 1)).otherwise(
-        bucket_of(x, limits[:middle], below)
-    )
+def bucketed(df: DataFrame, limits: dict[str, list[float]], *keep: str) -> DataFrame:
+    """``keep`` and one bucket column per feature: the number of different limits under the value.
+
+    The binary search is the one of ``Bucketizer``, whose splits include their
+    lower end; the next double above a limit makes the limit itself fall below.
+    """
+    columns = list(limits)
+    out = [f"b{i}" for i in range(len(columns))]
+    splits = [[-inf, *(nextafter(v, inf) for v in sorted(set(limits[c]))), inf] for c in columns]
+    plain = df.select(*keep, *[F.col(q(c)).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+    many = [i for i, s in enumerate(splits) if len(s) > 2]
+    if many:
+        plain = Bucketizer(
+            inputCols=[f"x{i}" for i in many], outputCols=[out[i] for i in many], splitsArray=[splits[i] for i in many],
+            handleInvalid="keep",
+        ).transform(plain)
+    return plain.select(*keep, *[
+        F.when(F.col(f"x{i}").isNotNull(), F.col(out[i]) if i in many else F.lit(0.0)).alias(c)
+        for i, c in enumerate(columns)
+    ])
 
 
 def mutual_information(
@@ -125,17 +116,11 @@ def mutual_information(
     it to at most features x buckets x classes rows before anything is shuffled.
     """
     limits = bucket_limits(df, columns, buckets, **kw)
-    parts = []
-    for names in _chunks(columns, 16):
-        cells = F.explode(F.array(*[
-            F.struct(F.lit(c).alias("feature"), bucket_of(F.col(q(c)).cast("double"), limits[c]).alias("bucket"))
-            for c in names if c in limits
-        ])).alias("x")
-        parts.append(df.select(cells, F.col(by).alias("class")).groupBy("x.feature", "x.bucket", "class").agg(
-            F.count(F.lit(1)).alias("n")))
-    joint = parts[0]
-    for p in parts[1:]:
-        joint = joint.unionByName(p)
+    found = list(limits)
+    names = F.array(*[F.lit(c) for c in found])
+    joint = long_form(bucketed(df, limits, by), found, by).filter("x is not null").groupBy(by, "pos", "x").agg(
+        F.count(F.lit(1)).alias("n")
+    ).select(F.element_at(names, F.col("pos") + 1).alias("feature"), F.col("x").alias("bucket"), F.col(by).alias("class"), "n")
     whole = Window.partitionBy("feature")
     sized = joint.withColumns({
         "total": F.sum("n").over(whole),
@@ -271,9 +256,7 @@ def complete_critical(selected: list[str], available: list[str], n: int) -> list
 
 def learn_scale(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
     """Mean and population std; a constant column divides by 1."""
-    return {
-        c: (m["mean"] or 0.0, m["std"] or 1.0) for part in _chunks(columns) for c, m in moments(df, part).items()
-    }
+    return {c: (m["mean"] or 0.0, m["std"] or 1.0) for c, m in moments(df, columns).items()}
 
 
 def standardise(df: DataFrame, columns: list[str], scale: dict[str, tuple[float, float]] | None = None) -> DataFrame:

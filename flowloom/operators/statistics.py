@@ -14,6 +14,7 @@ from flowloom.schemas import q
 # A single aggregate may hold this many values; beyond it the range is narrowed first.
 EXACT_VALUES = 2_000_000
 COLLECTED_VALUES = 20_000
+COLUMNS_AT_ONCE = 4
 
 
 # ---- counts ------------------------------------------------------------------------------------
@@ -43,26 +44,37 @@ def shape(df: DataFrame) -> DataFrame:
 
 
 def finite(c: Column) -> Column:
-    """NaN and infinities become NULL: in Spark NaN is larger than every number and equal to itself."""
-    return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+    """NaN and infinities become NULL: in Spark NaN is larger than every number, infinity included."""
+    return F.when(F.abs(c) < float("inf"), c)
+
+
+def long_form(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:
+    """``pos, x``: one row per value, ``pos`` being the place of its column.
+
+    Aggregating many columns in one wide aggregate makes methods too long for
+    the JIT compiler. This form exists only between the scan and the map-side
+    aggregation in the same stage, so it adds nothing to the shuffle.
+    """
+    values = F.array(*[F.col(q(c)).cast("double") for c in columns])
+    return df.select(*keep, F.posexplode(values).alias("pos", "x"))
+
+
+def value_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
+    """Non-null values per column."""
+    rows = long_form(df, columns).groupBy("pos").agg(F.count("x").alias("n")).collect()  # one row per column
+    found = {r["pos"]: r["n"] for r in rows}
+    return {c: found.get(i, 0) for i, c in enumerate(columns)}
 
 
 def moments(df: DataFrame, columns: list[str]) -> dict[str, dict[str, float]]:
     """count, mean, population std and variance of all columns in one pass."""
     if not columns:
         return {}
-    exprs = []
-    for i, c in enumerate(columns):
-        x = F.col(q(c)).cast("double")
-        exprs += [
-            F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}"),
-            F.var_pop(x).alias(f"v{i}"),
-        ]
-    row = df.agg(*exprs).first()
-    return {
-        c: {"n": row[f"n{i}"], "mean": row[f"m{i}"], "std": row[f"s{i}"], "var": row[f"v{i}"]}
-        for i, c in enumerate(columns)
-    }
+    rows = long_form(df, columns).groupBy("pos").agg(
+        F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.var_pop("x").alias("var"),
+    ).collect()  # one row per column
+    found = {r["pos"]: {"n": r["n"], "mean": r["mean"], "std": r["std"], "var": r["var"]} for r in rows}
+    return {c: found.get(i, {"n": 0, "mean": None, "std": None, "var": None}) for i, c in enumerate(columns)}
 
 
 # ---- exact order statistics --------------------------------------------------------------------
@@ -97,19 +109,31 @@ def order_statistics(
 ) -> dict[tuple[str, int], float]:
     """Exact values at 0-based sorted positions of numeric columns, at any size.
 
-    Spark's exact ``percentile`` keeps every distinct value of a column in one
-    task, so it is only used while all columns together hold at most
-    ``exact_values`` values. Beyond that, each round is two aggregates of
+    Spark's exact percentiles keep every distinct value of a column in one
+    task, so they are only used for as many columns at once as hold at most
+    ``exact_values`` values together. For larger columns, each round is two aggregates of
     bounded state: an approximate sketch proposes a narrow range around the
     position, and counting the rows below and inside it makes that range exact.
     A round shrinks the range by orders of magnitude; when at most
     ``collected_values`` are left they are sorted and read off.
     """
+    out: dict[tuple[str, int], float] = {}
+    batch: list[str] = []
+    for c in sorted((c for c in ranks if ranks[c] and counts[c] <= exact_values), key=lambda c: counts[c]):
+        if batch and sum(counts[b] for b in batch) + counts[c] > exact_values:
+            out |= _small_order_statistics(df, {b: ranks[b] for b in batch}, counts)
+            batch = []
+        batch.append(c)
+    if batch:
+        out |= _small_order_statistics(df, {b: ranks[b] for b in batch}, counts)
+    large = [c for c in ranks if ranks[c] and counts[c] > exact_values]
+    for i in range(0, len(large), COLUMNS_AT_ONCE):
+        out |= _large_order_statistics(df, {c: ranks[c] for c in large[i:i + COLUMNS_AT_ONCE]}, counts, collected_values)
+    return out
+
+
+def _large_order_statistics(df, ranks, counts, collected_values) -> dict[tuple[str, int], float]:
     targets = [_Target(c, r, inside=counts[c]) for c, rs in ranks.items() for r in sorted(set(rs))]
-    if not targets:
-        return {}
-    if sum(counts[c] for c in ranks) <= exact_values:
-        return _small_order_statistics(df, ranks, counts)
     while open_ := [t for t in targets if t.value is None]:
         final = [t for t in open_ if t.inside <= collected_values]
         if final:
@@ -169,12 +193,6 @@ def _small_order_statistics(df, ranks, counts) -> dict[tuple[str, int], float]:
     return {(c, r): row[f"p{i}"][j] for i, (c, rs) in enumerate(wanted.items()) for j, r in enumerate(rs)}
 
 
-def value_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
-    """Non-null values per column."""
-    row = df.agg(*[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    return {c: row[f"n{i}"] for i, c in enumerate(columns)}
-
-
 def quantiles(
     df: DataFrame, shares: dict[str, list[float]], exact_values: int = EXACT_VALUES,
     collected_values: int = COLLECTED_VALUES,

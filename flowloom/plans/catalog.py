@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from flowloom.plans import packet_queries, sampling_queries, text_queries  # noqa: F401
+from flowloom.plans import (  # noqa: F401
+    evaluation_queries,
+    feature_queries,
+    packet_queries,
+    sampling_queries,
+    text_queries,
+)
 from flowloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

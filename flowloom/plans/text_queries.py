@@ -174,7 +174,7 @@ def t12(spark, sf_dir):
 
 
 @query("t13_length_budget", r"""select doc_id, len(t) as n_tokens, array_to_string(t[1:512], ' ') as text from (
-  select doc_id, list_filter(regexp_split_to_array(text, '\s+'), x -> x <> '') as t from documents)""")
+  select doc_id, [x for x in regexp_split_to_array(text, '\s+') if x <> ''] as t from documents)""")
 def t13(spark, sf_dir):
     text = F.col("text")
     return read(spark, sf_dir, "documents").select(

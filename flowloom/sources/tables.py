@@ -128,14 +128,14 @@ def read_instructions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_splits(df: DataFrame, folder: str) -> None:
-    """``split=train`` / ``validation`` / ``test`` folders of JSON lines."""
-    df.write.mode("overwrite").partitionBy("split").json(folder)
+    """``records/split=train`` (``validation``, ``test``) folders of JSON lines."""
+    df.write.mode("overwrite").partitionBy("split").json(f"{folder}/records")
 
 
 def read_split(spark: SparkSession, folder: str, split: str | None = None) -> DataFrame:
     rows = spark.read.schema(
         T.StructType([*S.INSTRUCTION_SCHEMA.fields, T.StructField("split", T.StringType())])
-    ).json(folder)
+    ).json(f"{folder}/records")
     return rows if split is None else rows.filter(F.col("split") == split)
 
 

@@ -7,6 +7,7 @@ from flowloom.plans import (  # noqa: F401
     feature_queries,
     packet_queries,
     sampling_queries,
+    streaming_queries,
     text_queries,
 )
 from flowloom.plans.registry import ORACLES, QUERIES

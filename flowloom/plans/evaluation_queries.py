@@ -194,7 +194,7 @@ def u02(spark, sf_dir):
     df = predictions(spark, sf_dir)
     some = df.filter((F.col("row_id") % 7 == 0) & (F.col("predicted") != "view")).select("predicted")
     left = df.select(F.col("true").alias("label")).subtract(some)
-    right = df.select(F.col("predicted").alias("label")).subtract(df.filter("true <> 'click'").select("true"))
+    right = df.select(F.col("predicted").alias("label")).subtract(df.filter(F.col("true") != "click").select("true"))
     return left.withColumn("side", F.lit("truth_only")).unionByName(right.withColumn("side", F.lit("predicted_only")))
 
 

@@ -152,9 +152,8 @@ FORMULAS = {
     "anomaly_score": "(" + " + ".join(f"abs({_id(c)} - m_{i}) / s_{i}" for i, c in enumerate(_ZS)) + ") / 3",
 }
 FORMULAS["high_anomaly"] = f"case when {FORMULAS['anomaly_score']} > 2 then 1 else 0 end"
-# Products of exact decimals are rounded past their last digit, where no ties can occur.
-DIGITS = {"network_load": 3, "packet_size_variance": 9, "communication_density": 9} | {
-    c: 9 for c in FORMULAS if c.endswith("_corr")}
+# Sums over the table and logarithms differ in the last digit between engines; plain arithmetic does not.
+ROUNDED = ["Duration_log", "IAT_log", "header_entropy", "anomaly_score"]
 ENGINEERED = (
     """, i as (select * replace (coalesce("Rate", (select median("Rate") from f)) as "Rate") from f),
   st as (select quantile_cont("Rate", 0.8) as q_rate, quantile_cont("IAT", 0.8) as q_iat, """
@@ -169,15 +168,17 @@ def engineered(spark, sf_dir) -> FE.Engineered:
 
 
 def _rounded(names: list[str]) -> str:
-    return ", ".join(f"round(cast({_id(c)} as double), {DIGITS.get(c, 6)}) as {snake(c)}" for c in names)
+    cells = {c: f"cast({_id(c)} as double)" for c in names}
+    return ", ".join(f"{f'round({x}, 6)' if c in ROUNDED else x} as {snake(c)}" for c, x in cells.items())
 
 
 def _engineered_query(name: str, columns: list[str]) -> None:
     @query(name, WITH + ENGINEERED + f" select flow_id, {_rounded(columns)} from g")
     def run(spark, sf_dir, columns=columns) -> DataFrame:
         df = engineered(spark, sf_dir).df
+        cells = {c: F.col(q(c)).cast("double") for c in columns}
         return df.select("flow_id", *[
-            F.round(F.col(q(c)).cast("double"), DIGITS.get(c, 6)).alias(snake(c)) for c in columns])
+            (F.round(x, 6) if c in ROUNDED else x).alias(snake(c)) for c, x in cells.items()])
 
 
 _PRODUCT_NAMES = [c for c in FORMULAS if c.endswith("_corr")]

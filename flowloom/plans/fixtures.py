@@ -81,7 +81,7 @@ def _flow_expressions() -> list[tuple[str, str]]:
         "LLC": "1",
         "Tot sum": "l_quantity * 10", "Min": "l_tax * 100 - 1", "Max": "l_quantity * 2 + 60",
         "AVG": "l_quantity + l_tax", "Std": "l_quantity / 4", "Tot size": "l_extendedprice / 50",
-        "IAT": f"l_tax + {_M} / 100", "Number": "l_linenumber",
+        "IAT": f"round(l_tax + {_M} / 100, 2)", "Number": "l_linenumber",
         "Magnitue": "l_quantity * (1 + l_discount)", "Radius": "l_quantity * l_discount",
         "Covariance": "(l_discount - 0.05) * l_quantity", "Variance": "l_quantity * l_quantity / 16",
         "Weight": "l_quantity * l_linenumber",

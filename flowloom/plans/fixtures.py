@@ -118,8 +118,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a source that has fewer splits than the cluster has cores.
+
+    A table of many files is left as it is; a single small file would otherwise
+    keep all the work that follows in one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _derived(spark: SparkSession, sf_dir: str, expressions: list[tuple[str, str]], source: str) -> DataFrame:
-    return read(spark, sf_dir, source).selectExpr(*_columns(expressions, SPARK))
+    return spread(read(spark, sf_dir, source)).selectExpr(*_columns(expressions, SPARK))
 
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ from flowloom.operators import sampling as SP
 from flowloom.operators.bounded import small_side
 from flowloom.operators.statistics import long_form, moments, order_statistics, value_counts
 from flowloom.schemas import q
+from flowloom.session import materialise
 
 VARIANCE_THRESHOLD = 0.01
 MI_BUCKETS = 32
@@ -33,9 +34,11 @@ def variances(df: DataFrame, columns: list[str]) -> dict[str, float]:
     return {c: m["var"] for c, m in moments(df, columns).items()}
 
 
-def variance_filter(df: DataFrame, columns: list[str], threshold: float = VARIANCE_THRESHOLD) -> list[str]:
-    """Columns whose population variance is above half the threshold."""
-    found = variances(df, columns)
+def variance_filter(
+    df: DataFrame, columns: list[str], threshold: float = VARIANCE_THRESHOLD, known: dict[str, dict] | None = None
+) -> list[str]:
+    """Columns whose population variance is above half the threshold; ``known`` are their moments."""
+    found = variances(df, columns) if known is None else {c: known[c]["var"] for c in columns}
     kept = [c for c in columns if (found[c] or 0.0) > threshold * 0.5]
     if not kept:
         raise ValueError("no feature has enough variance")
@@ -115,7 +118,7 @@ def mutual_information(
     The long form exists only inside the map stage: partial aggregation reduces
     it to at most features x buckets x classes rows before anything is shuffled.
     """
-    limits = bucket_limits(df, columns, buckets, **kw)
+    limits = bucket_limits(df, columns, buckets, **kw)  # kw: known counts, and the sizes of exact aggregates
     found = list(limits)
     names = F.array(*[F.lit(c) for c in found])
     joint = long_form(bucketed(df, limits, by), found, by).filter("x is not null").groupBy(by, "pos", "x").agg(
@@ -173,13 +176,6 @@ def score_table(spark: SparkSession, scores: list[Score]) -> DataFrame:
     )
 
 
-def scores_of(df: DataFrame, columns: list[str], n: int, by: str = S.LABEL) -> list[Score]:
-    """Both scores of every column, and the choice made from them."""
-    f = {r["feature"]: r["f_score"] for r in anova_f(df, columns, by).collect()}  # one row per feature
-    mi = {r["feature"]: r["mi_score"] for r in mutual_information(df, columns, by).collect()}
-    return union_cap(columns, f, mi, n)
-
-
 # ---- forests ---------------------------------------------------------------------------------
 
 
@@ -313,43 +309,71 @@ class FittedSelection:
         return scaled.select(*[q(c) for c in [*here, *rest]])
 
 
-def prepare(df: DataFrame, key: str) -> tuple[FE.Engineered, list[str]]:
-    """Engineered table and the feature names that scores are computed for."""
+@dataclass
+class Prepared:
+    """The engineered table, written once, with the moments of all its features."""
+
+    made: FE.Engineered
+    names: list[str]
+    moments: dict[str, dict[str, float]]
+    f: dict[str, float] = field(default_factory=dict)
+    mi: dict[str, float] = field(default_factory=dict)
+
+    @property
+    def df(self) -> DataFrame:
+        return self.made.df
+
+    def varied(self, threshold: float = VARIANCE_THRESHOLD) -> list[str]:
+        return variance_filter(self.df, self.names, threshold, self.moments)
+
+    def means(self, columns: list[str]) -> dict[str, float]:
+        return {c: self.moments[c]["mean"] for c in columns}
+
+    def anova(self, columns: list[str]) -> DataFrame:
+        return anova_f(self.df, columns, means=self.means(columns))
+
+    def score(self, columns: list[str]) -> None:
+        """Fill in both scores, one row per feature, unless they are there."""
+        if not set(columns) <= self.f.keys():
+            self.f = {r["feature"]: r["f_score"] for r in self.anova(columns).collect()}
+            counts = {c: self.moments[c]["n"] for c in columns}
+            self.mi = {
+                r["feature"]: r["mi_score"] for r in mutual_information(self.df, columns, counts=counts).collect()
+            }
+
+    def scale(self, columns: list[str]) -> dict[str, tuple[float, float]]:
+        return {c: (self.moments[c]["mean"] or 0.0, self.moments[c]["std"] or 1.0) for c in columns}
+
+
+def prepare(df: DataFrame, key: str) -> Prepared:
+    """Engineer the table and write it down: scores and forests pass over it many times."""
     made = FE.engineer(df)
-    return made, [c for c in made.df.columns if c not in (S.LABEL, key)]
+    made.df = materialise(made.df, "engineered")
+    names = [c for c in made.df.columns if c not in (S.LABEL, key)]
+    return Prepared(made, names, moments(made.df, names))
 
 
 def fit_select(
     df: DataFrame, key: str, settings: SelectionSettings,
-    prepared: tuple[FE.Engineered, list[str]] | None = None,
-    shared: dict | None = None,
+    prepared: Prepared | None = None,
 ) -> FittedSelection:
     """Variance filter, two scores, forests, critical features, scale; exactly ``n_features`` names.
 
-    ``prepared`` and ``shared`` let a sweep over feature counts engineer and
-    score the table once.
+    ``prepared`` lets a sweep over feature counts engineer and score the table once.
     """
     n = settings.n_features
-    made, names = prepare(df, key) if prepared is None else prepared
-    shared = {} if shared is None else shared
-    wide = made.df
-    if "scores" not in shared:
-        varied = variance_filter(wide, names, settings.variance_threshold)
-        shared["varied"] = varied
-        shared["scores"] = {
-            "f": {r["feature"]: r["f_score"] for r in anova_f(wide, varied).collect()},
-            "mi": {r["feature"]: r["mi_score"] for r in mutual_information(wide, varied).collect()},
-        }
-    scores = union_cap(shared["varied"], shared["scores"]["f"], shared["scores"]["mi"], n)
+    ready = prepare(df, key) if prepared is None else prepared
+    made = ready.made
+    varied = ready.varied(settings.variance_threshold)
+    ready.score(varied)
+    scores = union_cap(varied, ready.f, ready.mi, n)
     chosen = [s.feature for s in scores if s.selected]
-    importance = rf_importance(wide, chosen, key, forests=settings.forests, seed=settings.seed)
-    final = complete_critical(top_n(chosen, importance, n), names, n)
+    importance = rf_importance(made.df, chosen, key, forests=settings.forests, seed=settings.seed)
+    final = complete_critical(top_n(chosen, importance, n), ready.names, n)
     if len(final) != n:
         raise ValueError(f"{n} features wanted, {len(final)} found")
     return FittedSelection(
-        final, scores, importance, learn_scale(wide, final), made.statistics,
-        made.temporal, made.behavioural, made.network,
-    )
+        final, scores, importance, ready.scale(final), made.statistics, made.temporal, made.behavioural, made.network)
 
 
 def original_features(df: DataFrame, n: int | None = None) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import ceil, floor
+from math import ceil, floor, sqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,9 +71,12 @@ def moments(df: DataFrame, columns: list[str]) -> dict[str, dict[str, float]]:
     if not columns:
         return {}
     rows = long_form(df, columns).groupBy("pos").agg(
-        F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.var_pop("x").alias("var"),
+        F.count("x").alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("var"),
     ).collect()  # one row per column
-    found = {r["pos"]: {"n": r["n"], "mean": r["mean"], "std": r["std"], "var": r["var"]} for r in rows}
+    found = {
+        r["pos"]: {"n": r["n"], "mean": r["mean"], "std": None if r["var"] is None else sqrt(r["var"]), "var": r["var"]}
+        for r in rows
+    }
     return {c: found.get(i, {"n": 0, "mean": None, "std": None, "var": None}) for i, c in enumerate(columns)}
 
 

@@ -238,29 +238,39 @@ MI_SCORES = """, b as (select feature, label, cast(least(floor(32 * percent_rank
       cast(sum(n) over (partition by feature, label) as double) as nl from jc) group by 1)"""
 
 
-def varied(spark, sf_dir) -> tuple[DataFrame, list[str]]:
-    wide = engineered(spark, sf_dir).df
-    return wide, SEL.variance_filter(wide, FE.feature_names(wide.drop("flow_id")))
+def prepared(spark, sf_dir) -> tuple[SEL.Prepared, list[str]]:
+    ready = SEL.prepare(clean_flows(spark, sf_dir), "flow_id")
+    return ready, ready.varied()
+
+
+def f_scores(ready: SEL.Prepared, names: list[str]) -> dict[str, float]:
+    return {r["feature"]: r["f_score"] or 0.0 for r in ready.anova(names).collect()}  # one row per feature
+
+
+def choice(ready: SEL.Prepared, names: list[str]) -> list[SEL.Score]:
+    ready.score(names)
+    return SEL.union_cap(names, ready.f, ready.mi, 12)
 
 
 @query("m01_variance_filter", WITH + LONG + """ select feature, case when var_pop(x) > 0 then round(ln(var_pop(x)), 6) end
   as log_variance, var_pop(x) > 0.005 as kept from long group by 1""")
 def m01(spark, sf_dir):
-    wide = engineered(spark, sf_dir).df
-    names = FE.feature_names(wide.drop("flow_id"))
-    found, kept = SEL.variances(wide, names), set(SEL.variance_filter(wide, names))
-    table = spark.createDataFrame([(c, found[c], c in kept) for c in names], "feature string, v double, kept boolean")
+    ready, kept = prepared(spark, sf_dir)
+    table = spark.createDataFrame(
+        [(c, ready.moments[c]["var"], c in kept) for c in ready.names], "feature string, v double, kept boolean")
     return table.select("feature", F.round(F.when(F.col("v") > 0, F.ln("v")), 6).alias("log_variance"), "kept")
 
 
 @query("m02_anova_f", WITH + VARIED + F_SCORES + " select feature, round(f_score, 4) as f_score from fs")
 def m02(spark, sf_dir):
-    return SEL.anova_f(*varied(spark, sf_dir)).select("feature", F.round("f_score", 4).alias("f_score"))
+    ready, names = prepared(spark, sf_dir)
+    return ready.anova(names).select("feature", F.round("f_score", 4).alias("f_score"))
 
 
 @query("m03_mutual_info", WITH + VARIED + MI_SCORES + " select feature, round(mi_score, 6) as mi_score from mi")
 def m03(spark, sf_dir):
-    return SEL.mutual_information(*varied(spark, sf_dir)).select("feature", F.round("mi_score", 6).alias("mi_score"))
+    ready, names = prepared(spark, sf_dir)
+    return SEL.mutual_information(ready.df, names).select("feature", F.round("mi_score", 6).alias("mi_score"))
 
 
 _CHOICE = F_SCORES + MI_SCORES + f""", sc as (select pos, fs.feature, coalesce(f_score, 0) as f_score, mi_score,
@@ -275,16 +285,14 @@ _CHOICE = F_SCORES + MI_SCORES + f""", sc as (select pos, fs.feature, coalesce(f
 @query("m04_union_cap", WITH + VARIED + _CHOICE +
        "select row_number() over (order by pos) as place, feature from ch where selected")
 def m04(spark, sf_dir):
-    wide, names = varied(spark, sf_dir)
-    chosen = [s.feature for s in SEL.scores_of(wide, names, 12) if s.selected]
+    chosen = [s.feature for s in choice(*prepared(spark, sf_dir)) if s.selected]
     return spark.createDataFrame([(i + 1, c) for i, c in enumerate(chosen)], "place bigint, feature string")
 
 
 @query("m13_score_table", WITH + VARIED + _CHOICE + """select feature, round(f_score, 4) as f_score,
   round(mi_score, 6) as mi_score, selected from ch""")
 def m13(spark, sf_dir):
-    wide, names = varied(spark, sf_dir)
-    table = SEL.score_table(spark, SEL.scores_of(wide, names, 12))
+    table = SEL.score_table(spark, choice(*prepared(spark, sf_dir)))
     return table.select("feature", F.round("f_score", 4).alias("f_score"), F.round("mi_score", 6).alias("mi_score"), "selected")
 
 
@@ -301,9 +309,8 @@ def m05(spark, sf_dir):
 @query("m06_top_n", WITH + VARIED + F_SCORES + f"""select row_number() over (order by f_score desc, pos desc) as place, fs.feature
   from fs join {POSITIONS} on p.feature = fs.feature qualify place <= 8""")
 def m06(spark, sf_dir):
-    wide, names = varied(spark, sf_dir)
-    scores = {r["feature"]: r["f_score"] or 0.0 for r in SEL.anova_f(wide, names).collect()}
-    best = SEL.top_n(names, scores, 8)
+    ready, names = prepared(spark, sf_dir)
+    best = SEL.top_n(names, f_scores(ready, names), 8)
     return spark.createDataFrame([(i + 1, c) for i, c in enumerate(best)], "place bigint, feature string")
 
 
@@ -317,9 +324,8 @@ _CRITICAL = "(values " + ", ".join(f"({i}, '{c}')" for i, c in enumerate(S.CRITI
     where feature not in (select feature from best))
 select * from best union all select * from fill where place <= 20""")
 def m07(spark, sf_dir):
-    wide, names = varied(spark, sf_dir)
-    scores = {r["feature"]: r["f_score"] or 0.0 for r in SEL.anova_f(wide, names).collect()}
-    full = SEL.complete_critical(SEL.top_n(names, scores, 8), FE.feature_names(wide), 20)
+    ready, names = prepared(spark, sf_dir)
+    full = SEL.complete_critical(SEL.top_n(names, f_scores(ready, names), 8), ready.names, 20)
     return spark.createDataFrame([(i + 1, c) for i, c in enumerate(full)], "place bigint, feature string")
 
 

@@ -19,20 +19,20 @@ from flowloom.streaming import stateful as ST
 FILES = 7  # does not divide the captures evenly, so their state crosses micro-batches
 
 
-def stream_of(spark, df: DataFrame, order: str, files: int = FILES) -> DataFrame:
-    """``df`` as a file stream, one file per micro-batch, in key order.
+def stream_of(spark, df: DataFrame, order: str, steps: int = FILES, tasks: int = 4) -> DataFrame:
+    """``df`` as a file stream of ``steps`` micro-batches in key order.
 
-    File names grow with the key range, and each is written in its own append,
-    so that modification times put them in order.
+    Each key range is one append of ``tasks`` files, which is also what one
+    trigger takes; appends have growing modification times, so ranges do not mix.
     """
     folder = new_folder(spark, "stream")
     ends = df.agg(F.min(order).alias("a"), F.max(order).alias("b")).first()
-    width = (ends["b"] - ends["a"]) // files + 1
-    for i in range(files):
+    width = (ends["b"] - ends["a"]) // steps + 1
+    for i in range(steps):
         low = ends["a"] + i * width
         part = df.filter(F.col(order).between(low, low + width - 1))
-        part.coalesce(1).write.mode("append").parquet(folder)  # a test source: one file is one micro-batch
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        part.repartition(tasks).write.mode("append").parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", tasks).parquet(folder)
 
 
 @query("st1_flow_state", WITH + _RATES.replace("select packet_no, has_flow", "select packet_no, frame_len, has_flow").replace(

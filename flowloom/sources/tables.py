@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from flowloom import schemas as S
+from flowloom.operators.bounded import bounded_rows, small_side
 from flowloom.operators.columns import require_columns
 
 SEPARATORS = [",", ";", "\t", "|", " "]
@@ -88,23 +89,25 @@ def merge_parts(spark: SparkSession, folder: str, schema: T.StructType, mode: st
     """
     if mode == "compat":
         return spark.read.schema(schema).options(header=True, ignoreCorruptFiles=True, enforceSchema=True).csv(folder)
+    known = F.array(*[F.lit(f.name) for f in schema.fields])
     lines = spark.read.option("ignoreCorruptFiles", True).text(folder).select(
         F.input_file_name().alias("file"), "value"
     )
-    headers = lines.groupBy("file").agg(F.first("value").alias("header")).select("header").distinct()
+    # The header is the line made of nothing but column names; reading order is not needed to find it.
+    is_header = F.forall(F.split(F.col("value"), ","), lambda c: F.array_contains(known, F.trim(F.trim(c), F.lit('"'))))
+    headers = lines.filter(is_header).groupBy("file").agg(F.max("value").alias("header"))
+    rows = lines.filter(~is_header).join(small_side(headers), "file")
     out = None
-    for (header,) in headers.collect():  # one row per distinct header
+    for (header,) in bounded_rows(headers.select("header").distinct(), what="different headers"):
         names = [c.strip().strip('"') for c in header.split(",")]
-        parts = spark.read.schema(", ".join(f"`{n}` string" for n in names)).options(
-            header=True, ignoreCorruptFiles=True, enforceSchema=True
-        )
-        files = [r[0] for r in lines.filter(F.col("value") == header).select("file").distinct().collect()]
-        table = parts.csv(files).select(*[
-            (F.col(S.q(f.name)).try_cast(f.dataType) if f.name in names else F.lit(None).cast(f.dataType)).alias(f.name)
+        fields = ", ".join(f"`{n}` string" for n in names)
+        parsed = rows.filter(F.col("header") == header).select(F.from_csv("value", F.lit(fields)).alias("r"))
+        table = parsed.select(*[
+            (F.col(f"r.{S.q(f.name)}").try_cast(f.dataType) if f.name in names else F.lit(None).cast(f.dataType)).alias(f.name)
             for f in schema.fields
         ])
         out = table if out is None else out.unionByName(table)
-    return out
+    return spark.createDataFrame([], schema) if out is None else out
 
 
 # ---- partitioned and JSON tables ---------------------------------------------------------------

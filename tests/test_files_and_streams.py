@@ -123,7 +123,7 @@ def two_bursts(make_packets):
 
 def run_flow(spark, df, **kw):
     folder = new_folder(spark, "flow")
-    query = ST.flow_features(stream_of(spark, df, "packet_no", 8), folder, **kw)
+    query = ST.flow_features(stream_of(spark, df, "packet_no", 8, 1), folder, **kw)
     query.awaitTermination()
     return {r.packet_no: r.flow_packets for r in ST.read_output(spark, folder).collect()}
 

@@ -80,8 +80,7 @@ h as (
   select doc_id, s, regexp_extract_all(s, '{rules}') as hits, string_split_regex(s, '{rules}') as gaps from m),
 p as (
   select doc_id, j, hits[j] as hit,
-         list_sum(list_transform(gaps[1:j], x -> len(x))) + coalesce(list_sum(list_transform(hits[1:j - 1], x -> len(x))), 0)
-           as place
+         len(array_to_string(gaps[1:j], '')) + len(array_to_string(hits[1:j - 1], '')) as place
   from (select *, unnest(range(1, len(hits) + 1)) as j from h)),
 f as (
   select doc_id, string_agg(distinct name, ',' order by name) as licences,

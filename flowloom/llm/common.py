@@ -124,7 +124,8 @@ def shingle_sets(column: pa.Array, words: int, lower: bool = True) -> Iterator[n
     hashes, counts = word_hashes(*as_bytes(column), lower)
     wide = hashes.copy()
     for j in range(1, words):
-        wide[:len(hashes) - j] = wide[:len(hashes) - j] * _BASE + hashes[j:]
+        m = max(0, len(hashes) - j)
+        wide[:m] = wide[:m] * _BASE + hashes[j:]
     wide = mix(wide)
     begin = 0
     for n in counts.tolist():

@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import decontaminate, exact_dedup, language, licences, line_dedup, mixing, quality, url_filter
+from flowloom.llm import (
+    decontaminate,
+    exact_dedup,
+    jaccard_join,
+    language,
+    licences,
+    line_dedup,
+    mixing,
+    quality,
+    url_filter,
+)
 from flowloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +42,10 @@ from n
 """
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "share", "n_windows")
@@ -186,6 +200,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_decontaminate": op4_decontaminate,
     "op5_line_dedup": op5_line_dedup,
     "op6_license_scan": op6_license_scan,

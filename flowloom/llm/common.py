@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-# Arrow batches that go to Python: few rows, so that a batch of long texts stays small.
-BATCH_ROWS = 200
+# Arrow batches that go to Python: bounded by bytes, so that a batch of long texts stays small.
+BATCH_BYTES = 2 << 20
 # Texts are hashed in blocks of about this many bytes.
 BLOCK_BYTES = 1 << 20
 
@@ -22,9 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows of an Arrow batch for this session; texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Bound the bytes of an Arrow batch for this session; texts can be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def ascii_lower(c: Column) -> Column:

@@ -7,9 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from flowloom.operators.bounded import bounded_rows
+from flowloom.session import materialise
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Arrow batches that go to Python: bounded by bytes, so that a batch of long texts stays small.
@@ -140,3 +143,97 @@ def shingle_sets(column: pa.Array, words: int, lower: bool = True) -> Iterator[n
         else:
             yield np.zeros(0, np.uint64)
         begin += n
+
+
+# ---- places and counts over a whole table -------------------------------------------------------
+
+RANGES = 16  # tasks that rank a table
+
+
+def ranked(df: DataFrame, by: list[str], ranges: int = RANGES) -> DataFrame:
+    """``df`` with ``place``, from 0, in the order of ``by``, NULL first; rows must differ in ``by``.
+
+    Range partitions are ranked on their own and moved by the count of those before.
+    """
+    dealt = materialise(
+        df.repartitionByRange(ranges, *by).withColumn("range", F.spark_partition_id()), "ranked")
+    counts = dealt.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select(  # one row per range
+        "range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    within = F.row_number().over(Window.partitionBy("range").orderBy(*by)) - 1
+    return dealt.withColumn("within", within).join(F.broadcast(before), "range").select(
+        *df.columns, (F.col("before") + F.col("within")).alias("place"))
+
+
+# Hashes are counted by their first 32 bits and looked up by their first LEVEL_BITS.
+LEVEL_BITS = 24
+_PARTS = 256          # first 8 bits
+_FLUSH = 1 << 22      # hashes that a task sorts at once
+
+
+class HashCounts:
+    """Packs the first 32 bits of many 64-bit hashes into rows ``part, packed``, two bytes per hash.
+
+    A row holds, for one value of the first 8 bits, how many hashes have each value of the next 8, and the last 16
+    bits of all of them in that order.
+    """
+
+    def __init__(self):
+        self.held: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, hashes: np.ndarray) -> pa.RecordBatch | None:
+        self.held.append((hashes >> np.uint64(32)).astype(np.uint32))
+        self.size += len(hashes)
+        return self.flush() if self.size >= _FLUSH else None
+
+    def flush(self) -> pa.RecordBatch | None:
+        if not self.size:
+            return None
+        keys = np.sort(np.concatenate(self.held))
+        self.held, self.size = [], 0
+        counts = np.bincount(keys >> np.uint32(16), minlength=1 << 16).astype(np.uint32).reshape(_PARTS, 256)
+        ends = np.concatenate([[0], np.cumsum(counts.sum(1, dtype=np.int64))])
+        low = keys.astype(np.uint16)
+        rows = [(p, counts[p].tobytes() + low[ends[p]:ends[p + 1]].tobytes()) for p in range(_PARTS) if counts[p].any()]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "packed"])
+
+
+def hash_levels(packed: DataFrame) -> np.ndarray:
+    """Per value of the first ``LEVEL_BITS`` bits, the logarithm of the largest count of a 32-bit value under it.
+
+    Rows of one part are added up in a table of fixed size, whatever their number; the result is one byte per value.
+    """
+    under = 1 << (LEVEL_BITS - 8)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, part = np.zeros(1 << 24, np.uint32), -1
+
+        def levels():
+            most = table.reshape(under, -1).max(1)
+            packed = np.floor(np.log2(np.maximum(most, 1))).astype(np.uint8).tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([packed], pa.binary())], ["part", "levels"])
+
+        for batch in batches:
+            for p, row in zip(batch.column("part").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+                if p != part:
+                    if part >= 0:
+                        yield levels()
+                        table[:] = 0
+                    part = p
+                counts = np.frombuffer(row, np.uint32, 256)
+                low = np.frombuffer(row, np.uint16, offset=1024).astype(np.uint32)
+                np.add.at(table, (np.repeat(np.arange(256, dtype=np.uint32), counts) << np.uint32(16)) | low, np.uint32(1))
+        if part >= 0:
+            yield levels()
+
+    rows = packed.repartition("part").sortWithinPartitions("part").mapInArrow(add, "part int, levels binary")
+    out = np.zeros(1 << LEVEL_BITS, np.uint8)
+    for r in bounded_rows(rows, _PARTS, "parts"):
+        out[r["part"] * under:(r["part"] + 1) * under] = np.frombuffer(r["levels"], np.uint8)
+    return out
+
+
+def level_of(levels: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    return levels[(hashes >> np.uint64(64 - LEVEL_BITS)).astype(np.int64)]

@@ -5,15 +5,15 @@ sets that are similar enough share one of their first, rarest n-grams, so only
 those prefixes are joined. Length, positional and suffix filters drop pairs that
 can't reach the similarity, and each pair left is verified once on whole sets.
 
-* Rarity comes from a sketch of fixed size that counts all n-grams of all
-  documents. Any order that all documents share gives the same links; a better
-  count only leaves fewer pairs to verify.
+* Rarity comes from counts of all n-grams of all documents by the first 32 bits
+  of their hash, in a table of fixed size. Any order that all documents share
+  gives the same links; a better count only leaves fewer pairs to verify.
 * Texts with one and the same set are one node (``sid``) from the start.
 * Groups of thousands of near copies are never paired off. First every member
   of a prefix group is compared with one pivot of its length only. What these
   links connect is a component; the second step compares only members of
   different components, all of them, so no link between components is lost.
-* A prefix n-gram that the sketch calls very frequent is split into salts, so
+* A prefix n-gram that is very frequent is split into salts, so
   that a group stays bounded; pairs across salts are dealt out by pairs of salts.
 """
 
@@ -24,21 +24,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from flowloom.llm.common import shingle_sets, small_batches
+from flowloom.llm.common import HashCounts, hash_levels, level_of, shingle_sets, small_batches
 from flowloom.llm.components import components
 from flowloom.operators.bounded import bounded_rows
 from flowloom.session import materialise
 
-SKETCH_BITS = 20          # counters of the sketch, as a power of two
-CHUNK = 1 << 14           # counters per row while they are added up
 HOT_LEVEL = 20            # groups of about 2 ** HOT_LEVEL rows are split into salts
 BROADCAST_SETS = 2_000_000  # ids that are sent to every task to pick sets; more are picked by a join
 PAIRS_AT_ONCE = 500_000
 
+ROW = {"token": "bigint", "salt": "int", "salts": "int", "sid": "bigint", "n": "int", "pos": "int", "before": "int",
+       "total": "int"}
+
 
 def _sid(values: np.ndarray) -> int:
     """A signed 64-bit name of a set."""
@@ -49,78 +50,71 @@ def _id_type(docs: DataFrame) -> str:
     return docs.schema["doc_id"].dataType.simpleString()
 
 
-def members_and_sketch(docs: DataFrame, words: int, bits: int = SKETCH_BITS) -> tuple[DataFrame, np.ndarray]:
-    """``doc_id, sid, n`` per row of ``docs`` (sid NULL for empty sets), and the rarity level of every counter.
+def members_and_levels(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
+    """``doc_id, sid, n`` per row of ``docs`` (sid NULL for empty sets), and how frequent n-grams are, by hash.
 
-    One pass over the texts: each task also counts its n-grams into the sketch, whose size is fixed. A
-    level is the logarithm of a count.
+    One pass over the texts gives both.
     """
-
     pa_type = to_arrow_type(docs.schema["doc_id"].dataType)
+    names = ["doc_id", "sid", "n", "part", "packed"]
+
+    def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n = batch.num_rows
+        return pa.RecordBatch.from_arrays(
+            [pa.nulls(n, pa_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), *batch.columns], names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.int64)
+        counts = HashCounts()
         for batch in batches:
             sids, sizes = [], []
             for s in shingle_sets(batch.column("text"), words):
                 sids.append(_sid(s) if len(s) else None)
                 sizes.append(len(s))
-                np.add.at(counts, (s >> np.uint64(64 - bits)).astype(np.int64), 1)
-            none = pa.nulls(batch.num_rows, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), none,
-                 pa.nulls(batch.num_rows, pa.binary())], ["doc_id", "sid", "n", "chunk", "counts"])
-        used = [c for c in range(0, 1 << bits, CHUNK) if counts[c:c + CHUNK].any()]
-        if used:
-            none = pa.nulls(len(used), pa.int64())
+                full = counts.add(s)
+                if full is not None:
+                    yield counted(full)
+            n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(used), pa_type), none, pa.nulls(len(used), pa.int32()), pa.array([c // CHUNK for c in used], pa.int32()),
-                 pa.array([counts[c:c + CHUNK].tobytes() for c in used], pa.binary())],
-                ["doc_id", "sid", "n", "chunk", "counts"])
+                [batch.column("doc_id"), pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), pa.nulls(n, pa.int32()),
+                 pa.nulls(n, pa.binary())], names)
+        rest = counts.flush()
+        if rest is not None:
+            yield counted(rest)
 
     both = materialise(docs.select("doc_id", "text").mapInArrow(
-        scan, f"doc_id {_id_type(docs)}, sid bigint, n int, chunk int, counts binary"), "jaccard-scan")
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for c, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                total[c] = total.get(c, 0) + np.frombuffer(counts, np.int64)
-        levels = {c: np.floor(np.log2(np.maximum(v, 1))).astype(np.uint8).tobytes() for c, v in total.items()}
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(levels), pa.int32()), pa.array(list(levels.values()), pa.binary())], ["chunk", "levels"])
-
-    parts = both.filter("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(
-        add, "chunk int, levels binary")
-    levels = np.zeros(1 << bits, np.uint8)
-    for r in bounded_rows(parts, (1 << bits) // CHUNK, "parts of the sketch"):
-        levels[r["chunk"] * CHUNK:(r["chunk"] + 1) * CHUNK] = np.frombuffer(r["levels"], np.uint8)
-    return both.filter("chunk is null").select("doc_id", "sid", "n"), levels
+        scan, f"doc_id {_id_type(docs)}, sid bigint, n int, part int, packed binary"), "jaccard-scan")
+    levels = hash_levels(both.filter("part is not null").select("part", "packed"))
+    return both.filter("part is null").select("doc_id", "sid", "n"), levels
 
 
 def prefixes(docs: DataFrame, words: int, percent: int, levels: np.ndarray, hot_level: int = HOT_LEVEL) -> DataFrame:
-    """``token, salt, salts, sid, n, pos``: the rarest n-grams of every set, enough to share one with any similar set.
+    """``token, salt, salts, sid, n, pos, before, total``: the rarest n-grams of every set, enough to share one with any similar set.
 
-    ``salt`` is -1 unless the token is split into ``salts`` parts.
+    ``pos`` is the token's place in the order, ``before`` and ``total`` count the n-grams in front of it and in the whole set
+    that occur more than once in the corpus: no others can be shared. Sets with too few of those are left
+    out. ``salt`` is -1 unless the token is split into ``salts`` parts.
     """
-    bits = int(np.log2(len(levels)))
-    sent = docs.sparkSession.sparkContext.broadcast(levels)  # one byte per counter
+    sent = docs.sparkSession.sparkContext.broadcast(levels)  # 2 ** LEVEL_BITS bytes
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level_of = sent.value
         for batch in batches:
-            tokens, sids, sizes, places, marks = [], [], [], [], []
+            tokens, sids, sizes, places, marks, ahead, totals = [], [], [], [], [], [], []
             for s in shingle_sets(batch.column("text"), words):
                 n = len(s)
                 if not n:
                     continue
-                own = level_of[(s >> np.uint64(64 - bits)).astype(np.int64)]
+                own = level_of(sent.value, s)
+                total = int(np.count_nonzero(own))
+                if total * 100 < percent * n:
+                    continue
                 order = np.argsort(own, kind="stable")[:n - (percent * n + 99) // 100 + 1]
                 tokens.append(s[order].view(np.int64))
                 marks.append(own[order])
                 sids.append(np.full(len(order), _sid(s)))
                 sizes.append(np.full(len(order), n, np.int32))
                 places.append(np.arange(len(order), dtype=np.int32))
+                ahead.append(np.cumsum(own[order] > 0, dtype=np.int32) - (own[order] > 0))
+                totals.append(np.full(len(order), total, np.int32))
             if not tokens:
                 continue
             token, sid, mark = np.concatenate(tokens), np.concatenate(sids), np.concatenate(marks).astype(np.int64)
@@ -128,10 +122,9 @@ def prefixes(docs: DataFrame, words: int, percent: int, levels: np.ndarray, hot_
             salt = np.where(salts > 1, sid % salts, -1)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(token), pa.array(salt.astype(np.int32)), pa.array(salts.astype(np.int32)), pa.array(sid),
-                 pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))],
-                ["token", "salt", "salts", "sid", "n", "pos"])
+                 *[pa.array(np.concatenate(c).astype(np.int32)) for c in (sizes, places, ahead, totals)]], list(ROW))
 
-    return docs.select("text").mapInArrow(cut, "token bigint, salt int, salts int, sid bigint, n int, pos int")
+    return docs.select("text").mapInArrow(cut, ", ".join(f"{c} {t}" for c, t in ROW.items()))
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
@@ -164,7 +157,8 @@ def _changes(columns: list[np.ndarray]) -> np.ndarray:
 def shared_prefixes(rows: DataFrame, percent: int) -> DataFrame:
     """Prefix rows whose token some other set has too, each with the pivot of its token and length class.
 
-    ``class`` is the length class: sets of one class may be similar as far as their lengths tell.
+    ``class`` is the length class: sets of one class may be similar as far as their lengths tell. The pivot is the
+    set with the fewest rarer n-grams before the token: among near copies, one close to what they were copied from.
     """
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,30 +172,32 @@ def shared_prefixes(rows: DataFrame, percent: int) -> DataFrame:
             if not keep.any():
                 continue
             g, number = {k: v[keep] for k, v in g.items()}, number[keep]
-            length = np.floor(np.log(g["n"]) / np.log(100 / percent)).astype(np.int32)
+            length = np.floor(np.log(g["n"]) / np.log(100 / percent)).astype(np.int32) if percent < 100 else g["n"]
+            by = np.lexsort((g["sid"], g["pos"], length, number))
+            g, number, length = {k: v[by] for k, v in g.items()}, number[by], length[by]
             first = _changes([number, length])
             at = np.flatnonzero(first)[np.cumsum(first) - 1]
+            pivot = [pa.array(g[k][at]) for k in ("sid", "n", "before", "total")]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(g[k]) for k in ("token", "salt", "salts", "sid", "n", "pos")] +
-                [pa.array(length), pa.array(g["sid"][at]), pa.array(g["n"][at]), pa.array(g["pos"][at])],
-                ["token", "salt", "salts", "sid", "n", "pos", "class", "pivot", "pivot_n", "pivot_pos"])
+                [*[pa.array(g[k]) for k in ROW], pa.array(length), *pivot],
+                [*ROW, "class", "pivot", "pivot_n", "pivot_before", "pivot_total"])
 
     dealt = rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "sid")
+    schema = ", ".join(f"{c} {t}" for c, t in ROW.items())
     return dealt.mapInArrow(
-        group, "token bigint, salt int, salts int, sid bigint, n int, pos int, class int, pivot bigint, pivot_n int, "
-        "pivot_pos int")
+        group, schema + ", class int, pivot bigint, pivot_n int, pivot_before int, pivot_total int")
 
 
-def _may_link(n: Column, pos: Column, m: Column, at: Column, percent: int) -> Column:
-    """Length filter, and positional filter: what both can still share, given places of a common n-gram."""
-    most = F.least(pos, at) + 1 + F.least(n - pos, m - at) - 1
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (
-        most.cast("bigint") * (100 + percent) >= (n + m).cast("bigint") * percent)
+def _may_link(percent: int, n, before, total, m, ahead, whole, least, greatest):
+    """Length filter, and positional filter: what both can still share around a common n-gram. Columns or arrays."""
+    most = least(before, ahead) + 1 + least(total - before, whole - ahead) - 1
+    return (least(n, m) * 100 >= greatest(n, m) * percent) & (most * (100 + percent) >= (n + m) * percent)
 
 
 def pivot_pairs(shared: DataFrame, percent: int) -> DataFrame:
     """``a, b``: members with the pivots of their groups, and the pivots of one token's salts with the first of them."""
-    fits = _may_link(F.col("n"), F.col("pos"), F.col("pivot_n"), F.col("pivot_pos"), percent)
+    wide = [F.col(c).cast("bigint") for c in ("n", "before", "total", "pivot_n", "pivot_before", "pivot_total")]
+    fits = _may_link(percent, *wide, F.least, F.greatest)
     direct = shared.filter("sid != pivot").filter(fits).select(
         F.greatest("sid", "pivot").alias("a"), F.least("sid", "pivot").alias("b"))
     salted = shared.filter("salt >= 0 and sid = pivot").select("token", "class", "sid")
@@ -212,7 +208,7 @@ def pivot_pairs(shared: DataFrame, percent: int) -> DataFrame:
 
 def cross_pairs(shared: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """``a, b``: all pairs of one token whose sets lie in different components and pass the filters."""
-    named = shared.select("token", "salt", "salts", "sid", "n", "pos").join(
+    named = shared.select("token", "salt", "salts", "sid", "n", "before", "total").join(
         roots.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     named = materialise(named, "jaccard-named")
     mixed = named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi")
@@ -220,7 +216,7 @@ def cross_pairs(shared: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     own = F.greatest("salt", F.lit(0))
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     rows = rows.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own",
-                       "root", "sid", "n", "pos")
+                       "root", "sid", "n", "before", "total")
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _whole_groups(batches, ["token", "lo", "hi"]):
@@ -241,11 +237,8 @@ def cross_pairs(shared: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
                 offset = np.arange(len(left)) - np.repeat(np.cumsum(part) - part, part)
                 right = left_ends[left] + offset
                 begin = stop
-                n, m = g["n"][left].astype(np.int64), g["n"][right].astype(np.int64)
-                i, j = g["pos"][left].astype(np.int64), g["pos"][right].astype(np.int64)
-                ok = np.minimum(n, m) * 100 >= np.maximum(n, m) * percent
-                most = np.minimum(i, j) + np.minimum(n - i, m - j)
-                ok &= most * (100 + percent) >= (n + m) * percent
+                wide = [g[c][side].astype(np.int64) for side in (left, right) for c in ("n", "before", "total")]
+                ok = _may_link(percent, *wide, np.minimum, np.maximum)
                 ok &= (g["lo"][left] == g["hi"][left]) | (g["own"][left] != g["own"][right])
                 if ok.any():
                     a, b = g["sid"][left[ok]], g["sid"][right[ok]]
@@ -325,7 +318,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_groups(
-    docs: DataFrame, words: int = 5, percent: int = 80, bits: int = SKETCH_BITS, hot_level: int = HOT_LEVEL,
+    docs: DataFrame, words: int = 5, percent: int = 80, hot_level: int = HOT_LEVEL,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id`` per row of ``docs`` (``doc_id, text``).
 
@@ -336,7 +329,7 @@ def jaccard_groups(
     of its component are NULL. Repeated rows each get their row. n-grams are compared by 64-bit hash.
     """
     small_batches(docs.sparkSession)
-    members, levels = members_and_sketch(docs, words, bits)
+    members, levels = members_and_levels(docs, words)
     shared = materialise(shared_prefixes(prefixes(docs, words, percent, levels, hot_level), percent), "jaccard-shared")
     near = materialise(pivot_pairs(shared, percent), "jaccard-pivots")
     links = materialise(verified(near, sets_of(docs, members, near, words), percent), "jaccard-links")

@@ -13,12 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowloom.llm.common import ranked
 from flowloom.session import materialise
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
 BUCKETS = 65_536  # parts of the Pareto order per source
-RANGES = 16       # tasks that rank the sources
 SEED = "mix-1"
 
 
@@ -27,22 +27,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
 
 
-def ranked_sources(sizes: DataFrame, ranges: int = RANGES) -> DataFrame:
-    """``source, source_size, place``: places from 0 in code point order, NULL last.
-
-    Range partitions are ranked on their own and moved by the count of those before.
-    """
+def ranked_sources(sizes: DataFrame) -> DataFrame:
+    """``source, source_size, place``: places from 0 in code point order, NULL last."""
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = [F.col("source").isNull(), F.col("source")]
-    dealt = materialise(
-        totals.withColumn("missing", F.col("source").isNull()).repartitionByRange(ranges, "missing", "source")
-        .withColumn("range", F.spark_partition_id()), "mix-sources")
-    counts = dealt.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select(  # one row per range
-        "range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
-    within = F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1
-    return dealt.withColumn("within", within).join(F.broadcast(before), "range").select(
-        "source", "source_size", (F.col("before") + F.col("within")).alias("place"))
+    keyed = totals.withColumn("missing", F.col("source").isNull())
+    return ranked(keyed, ["missing", "source"]).drop("missing")
 
 
 def source_targets(sources: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:

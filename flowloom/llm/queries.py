@@ -16,6 +16,7 @@ from flowloom.llm import (
     line_dedup,
     mixing,
     quality,
+    suffix_dedup,
     url_filter,
 )
 from flowloom.llm.common import table
@@ -192,6 +193,11 @@ from p left join fit on p.page_id = fit.page_id
 """
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.predict(docs, *language.fit(docs))
@@ -206,6 +212,7 @@ QUERIES: dict[str, Query] = {
     "op6_license_scan": op6_license_scan,
     "op7_mix_sources": op7_mix_sources,
     "op8_url_filter": op8_url_filter,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_language_id": op10_language_id,
 }
 ORACLES: dict[str, str] = {

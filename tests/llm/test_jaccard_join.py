@@ -45,7 +45,7 @@ def answer(df):
     return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in df.collect()), key=repr)
 
 
-@pytest.mark.parametrize("options", [{}, {"hot_level": 1, "bits": 15}])
+@pytest.mark.parametrize("options", [{}, {"hot_level": 1}])
 def test_equals_brute_force(sf_docs, options):
     docs = [(r.doc_id, r.text) for r in sf_docs.collect()]
     assert answer(jaccard_groups(sf_docs, 4, 85, **options)) == brute(docs, 4, 85)
@@ -65,7 +65,7 @@ def test_many_near_copies_chains_and_odd_rows(make_docs, hot_level):
         docs.append((1000 + i, " ".join(chain)))
         chain = [*chain[1:], f"d{i}"]
     docs.append((None, " ".join(base)))
-    got = answer(jaccard_groups(make_docs(docs), 4, 85, bits=15, hot_level=hot_level))
+    got = answer(jaccard_groups(make_docs(docs), 4, 85, hot_level=hot_level))
     assert got == brute(docs, 4, 85)
 
 

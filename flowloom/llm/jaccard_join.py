@@ -39,6 +39,8 @@ PAIRS_AT_ONCE = 500_000
 
 ROW = {"token": "bigint", "salt": "int", "salts": "int", "sid": "bigint", "n": "int", "pos": "int", "before": "int",
        "total": "int"}
+_PIVOT = {"": "bigint", "_n": "int", "_before": "int", "_total": "int"}
+PIVOTED = {**ROW, "class": "int", **{f"{p}{c}": t for p in ("pivot", "above") for c, t in _PIVOT.items()}}
 
 
 def _sid(values: np.ndarray) -> int:
@@ -155,10 +157,10 @@ def _changes(columns: list[np.ndarray]) -> np.ndarray:
 
 
 def shared_prefixes(rows: DataFrame, percent: int) -> DataFrame:
-    """Prefix rows whose token some other set has too, each with the pivot of its token and length class.
+    """Prefix rows whose token some other set has too, each with the pivots of its token in its length class and the next.
 
     ``class`` is the length class: sets of one class may be similar as far as their lengths tell. The pivot is the
-    set with the fewest rarer n-grams before the token: among near copies, one close to what they were copied from.
+    set with the most n-grams that occur elsewhere: among near copies, one close to what they were copied from.
     """
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,19 +175,18 @@ def shared_prefixes(rows: DataFrame, percent: int) -> DataFrame:
                 continue
             g, number = {k: v[keep] for k, v in g.items()}, number[keep]
             length = np.floor(np.log(g["n"]) / np.log(100 / percent)).astype(np.int32) if percent < 100 else g["n"]
-            by = np.lexsort((g["sid"], g["pos"], length, number))
+            by = np.lexsort((g["sid"], -g["total"], length, number))
             g, number, length = {k: v[by] for k, v in g.items()}, number[by], length[by]
             first = _changes([number, length])
-            at = np.flatnonzero(first)[np.cumsum(first) - 1]
-            pivot = [pa.array(g[k][at]) for k in ("sid", "n", "before", "total")]
-            yield pa.RecordBatch.from_arrays(
-                [*[pa.array(g[k]) for k in ROW], pa.array(length), *pivot],
-                [*ROW, "class", "pivot", "pivot_n", "pivot_before", "pivot_total"])
+            heads = np.flatnonzero(first)
+            above = np.arange(len(heads))  # the class above, where the token has one
+            above[:-1] += (number[heads[1:]] == number[heads[:-1]]) & (length[heads[1:]] == length[heads[:-1]] + 1)
+            part = np.cumsum(first) - 1
+            pivots = [pa.array(g[k][at]) for at in (heads[part], heads[above[part]]) for k in ("sid", "n", "before", "total")]
+            yield pa.RecordBatch.from_arrays([*[pa.array(g[k]) for k in ROW], pa.array(length), *pivots], list(PIVOTED))
 
     dealt = rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "sid")
-    schema = ", ".join(f"{c} {t}" for c, t in ROW.items())
-    return dealt.mapInArrow(
-        group, schema + ", class int, pivot bigint, pivot_n int, pivot_before int, pivot_total int")
+    return dealt.mapInArrow(group, ", ".join(f"{c} {t}" for c, t in PIVOTED.items()))
 
 
 def _may_link(percent: int, n, before, total, m, ahead, whole, least, greatest):
@@ -196,10 +197,12 @@ def _may_link(percent: int, n, before, total, m, ahead, whole, least, greatest):
 
 def pivot_pairs(shared: DataFrame, percent: int) -> DataFrame:
     """``a, b``: members with the pivots of their groups, and the pivots of one token's salts with the first of them."""
-    wide = [F.col(c).cast("bigint") for c in ("n", "before", "total", "pivot_n", "pivot_before", "pivot_total")]
-    fits = _may_link(percent, *wide, F.least, F.greatest)
-    direct = shared.filter("sid != pivot").filter(fits).select(
-        F.greatest("sid", "pivot").alias("a"), F.least("sid", "pivot").alias("b"))
+    parts = []
+    for p in ("pivot", "above"):
+        wide = [F.col(c).cast("bigint") for c in ("n", "before", "total", f"{p}_n", f"{p}_before", f"{p}_total")]
+        parts.append(shared.filter(f"sid != {p}").filter(_may_link(percent, *wide, F.least, F.greatest)).select(
+            F.greatest("sid", p).alias("a"), F.least("sid", p).alias("b")))
+    direct = parts[0].unionByName(parts[1])
     salted = shared.filter("salt >= 0 and sid = pivot").select("token", "class", "sid")
     first = salted.groupBy("token", "class").agg(F.min("sid").alias("b"))
     across = salted.join(first, ["token", "class"]).filter("sid != b").select(F.col("sid").alias("a"), "b")

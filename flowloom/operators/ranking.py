@@ -216,7 +216,8 @@ def with_rank(
     ranked = hashed.withColumn(RANK, F.row_number().over(inside).cast("bigint"))
     if bits > 0:
         before = _cumulative(hashed.select(group, BUCKET), group).select(group, BUCKET, "_before")
-        ranked = ranked.join(small_side(before, 100_000), [group, BUCKET]).withColumn(
-            RANK, F.col(RANK) + F.col("_before")
-        ).drop("_before")
+        before = small_side(before, 100_000).withColumnsRenamed({group: "_group", BUCKET: "_part"})
+        same = F.col(group).eqNullSafe(F.col("_group")) & (F.col(BUCKET) == F.col("_part"))  # NULL is a class too
+        ranked = ranked.join(before, same).withColumn(RANK, F.col(RANK) + F.col("_before")).drop(
+            "_before", "_group", "_part")
     return ranked.drop(PLACE, BUCKET, "_all")

@@ -14,6 +14,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import Bucketizer, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from flowloom import schemas as S
 from flowloom.operators import features as FE
@@ -383,7 +384,7 @@ def original_features(df: DataFrame, n: int | None = None) -> DataFrame:
 
 
 def select_or_original(df: DataFrame, key: str, settings: SelectionSettings) -> tuple[DataFrame, FittedSelection | None]:
-    """Fitted features, or the original ones when fitting fails for any reason.
+    """Fitted features, or the original ones when the data can't be fitted; lost executors and the like are raised.
 
     Fitting runs its statistics jobs right here, so a failure shows inside the
     ``try`` and not when the result is used.
@@ -391,7 +392,7 @@ def select_or_original(df: DataFrame, key: str, settings: SelectionSettings) ->
     try:
         fitted = fit_select(df, key, settings)
         return fitted.transform(df), fitted
-    except Exception:
+    except (ValueError, AnalysisException):
         return original_features(df, settings.n_features), None
 
 

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from math import ceil, floor, sqrt
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom import schemas as S
 from flowloom.schemas import q
 
-# A single aggregate may hold this many values; beyond it the range is narrowed first.
+# A single aggregate may hold this many values; beyond it values are found digit by digit.
 EXACT_VALUES = 2_000_000
-COLLECTED_VALUES = 20_000
-COLUMNS_AT_ONCE = 4
 
 
 # ---- counts ------------------------------------------------------------------------------------
@@ -83,42 +82,15 @@ def moments(df: DataFrame, columns: list[str]) -> dict[str, dict[str, float]]:
 # ---- exact order statistics --------------------------------------------------------------------
 
 
-@dataclass
-class _Target:
-    """Search state for the value with ``rank`` smaller values before it (in sorted order)."""
-
-    column: str
-    rank: int
-    low: float | None = None   # inclusive bounds of the range that holds the value
-    high: float | None = None
-    below: int = 0             # values under ``low``
-    inside: int = 0            # values in the range
-    value: float | None = None
-    trial: tuple[float, float] = (0.0, 0.0)
-
-    def in_range(self) -> Column:
-        x = F.col(q(self.column)).cast("double")
-        ok = x.isNotNull()
-        if self.low is not None:
-            ok = ok & (x >= self.low)
-        if self.high is not None:
-            ok = ok & (x <= self.high)
-        return F.when(ok, x)
-
-
 def order_statistics(
-    df: DataFrame, ranks: dict[str, list[int]], counts: dict[str, int],
-    exact_values: int = EXACT_VALUES, collected_values: int = COLLECTED_VALUES,
+    df: DataFrame, ranks: dict[str, list[int]], counts: dict[str, int], exact_values: int = EXACT_VALUES,
 ) -> dict[tuple[str, int], float]:
     """Exact values at 0-based sorted positions of numeric columns, at any size.
 
     Spark's exact percentiles keep every distinct value of a column in one
     task, so they are only used for as many columns at once as hold at most
-    ``exact_values`` values together. For larger columns, each round is two aggregates of
-    bounded state: an approximate sketch proposes a narrow range around the
-    position, and counting the rows below and inside it makes that range exact.
-    A round shrinks the range by orders of magnitude; when at most
-    ``collected_values`` are left they are sorted and read off.
+    ``exact_values`` values together. All larger columns go through one search
+    together, whose number of passes is fixed: see ``_by_digits``.
     """
     out: dict[tuple[str, int], float] = {}
     batch: list[str] = []
@@ -129,58 +101,70 @@ def order_statistics(
         batch.append(c)
     if batch:
         out |= _small_order_statistics(df, {b: ranks[b] for b in batch}, counts)
-    large = [c for c in ranks if ranks[c] and counts[c] > exact_values]
-    for i in range(0, len(large), COLUMNS_AT_ONCE):
-        out |= _large_order_statistics(df, {c: ranks[c] for c in large[i:i + COLUMNS_AT_ONCE]}, counts, collected_values)
-    return out
+    large = {c: ranks[c] for c in ranks if ranks[c] and counts[c] > exact_values}
+    return out | _by_digits(df, large) if large else out
 
 
-def _large_order_statistics(df, ranks, counts, collected_values) -> dict[tuple[str, int], float]:
-    targets = [_Target(c, r, inside=counts[c]) for c, rs in ranks.items() for r in sorted(set(rs))]
-    while open_ := [t for t in targets if t.value is None]:
-        final = [t for t in open_ if t.inside <= collected_values]
-        if final:
-            row = df.agg(*[
-                F.sort_array(F.collect_list(t.in_range()))[t.rank - t.below].alias(f"v{i}")
-                for i, t in enumerate(final)
-            ]).first()
-            for i, t in enumerate(final):
-                t.value = row[f"v{i}"]
-            continue
-        _narrow(df, open_)
-    return {(t.column, t.rank): t.value for t in targets}
+# A double is read as a whole number of 64 bits in the same order, a digit of so many bits at a time: (bits below, bits).
+DIGITS = ((53, 11), (42, 11), (31, 11), (20, 11), (9, 11), (0, 9))
 
 
-def _narrow(df: DataFrame, targets: list[_Target], accuracy: int = 20_000) -> None:
-    exprs = []
-    for i, t in enumerate(targets):
-        at = (t.rank - t.below) / max(t.inside - 1, 1)
-        slack = 2.0 / accuracy
-        around = [min(max(at - slack, 0.0), 1.0), min(max(at + slack, 0.0), 1.0)]
-        exprs.append(F.percentile_approx(t.in_range(), around, accuracy).alias(f"p{i}"))
-    row = df.agg(*exprs).first()
-    exprs = []
-    for i, t in enumerate(targets):
-        t.trial = (row[f"p{i}"][0], row[f"p{i}"][1])
-        x = t.in_range()
-        exprs += [
-            F.count(F.when(x < t.trial[0], 1)).alias(f"b{i}"),
-            F.count(F.when(x.between(*t.trial), 1)).alias(f"i{i}"),
-            F.max(F.when(x < t.trial[0], x)).alias(f"l{i}"),
-            F.min(F.when(x > t.trial[1], x)).alias(f"h{i}"),
-        ]
-    row = df.agg(*exprs).first()
-    for i, t in enumerate(targets):
-        under, within = row[f"b{i}"], row[f"i{i}"]
-        if t.rank < t.below + under:  # the sketch proposed too high a range; what is below it holds the value
-            t.high, t.inside = row[f"l{i}"], under
-        elif t.rank >= t.below + under + within:
-            t.low, t.below, t.inside = row[f"h{i}"], t.below + under + within, t.inside - under - within
-        else:
-            t.low, t.high = t.trial
-            t.below, t.inside = t.below + under, within
-            if t.low == t.high:
-                t.value = t.low
+def _ordered_bits(x: np.ndarray) -> np.ndarray:
+    """Unsigned numbers in the order of the doubles; -0.0 counts as 0.0."""
+    bits = (x + 0.0).view(np.int64)
+    return np.where(bits < 0, ~bits, bits ^ np.int64(-(2**63))).view(np.uint64)
+
+
+def _double(key: int) -> float:
+    bits = key ^ (1 << 63) if key >> 63 else key ^ (2**64 - 1)
+    return float(np.array([bits], np.uint64).view(np.float64)[0])
+
+
+def _by_digits(df: DataFrame, ranks: dict[str, list[int]]) -> dict[tuple[str, int], float]:
+    """Order statistics by radix search: every pass fixes one digit of all values sought, in all columns at once.
+
+    A pass counts the values of each column that agree with the digits known so
+    far by their next digit; the digit that holds the rank follows from the
+    counts. Ties need no care, and there are ``len(DIGITS)`` passes whatever the data.
+    """
+    columns = list(ranks)
+    data = df.select(*[F.col(q(c)).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    sought = {(i, r): (0, r) for i, c in enumerate(columns) for r in set(ranks[c])}  # (digits so far, rank among those)
+    for below, bits in DIGITS:
+        groups = sorted({(i, known) for (i, _), (known, _) in sought.items()})
+        place = {g: k for k, g in enumerate(groups)}
+        layout = {
+            i: (place[(i, min(own))], np.array(sorted(own), np.uint64))
+            for i in range(len(columns)) for own in [{k for j, k in groups if j == i}]
+        }
+
+        def count(batches, below=below, bits=bits, n_groups=len(groups), layout=layout):
+            cells = np.zeros(n_groups << bits, np.int64)
+            for batch in batches:
+                for i, (first, known) in layout.items():
+                    x = batch.column(i).drop_null().to_numpy(zero_copy_only=False)
+                    key = _ordered_bits(x)
+                    top = key >> np.uint64(below + bits) if below + bits < 64 else np.zeros_like(key)
+                    at = np.minimum(np.searchsorted(known, top), len(known) - 1)
+                    hit = known[at] == top
+                    digit = (key[hit] >> np.uint64(below)) & np.uint64((1 << bits) - 1)
+                    np.add.at(cells, ((first + at[hit]) << bits) | digit.astype(np.int64), 1)
+            used = np.flatnonzero(cells)
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(cells[used])], ["cell", "n"])
+
+        found = data.mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+        group = F.shiftright("cell", bits)
+        upto = F.sum("n").over(Window.partitionBy(group).orderBy("cell"))  # at most 2 ** bits rows per group
+        wanted = df.sparkSession.createDataFrame(
+            [(place[(i, known)], i, r, rest) for (i, r), (known, rest) in sought.items()],
+            "grp bigint, i int, r bigint, rest bigint")
+        rows = found.select(group.alias("grp"), "cell", "n", upto.alias("upto")).join(F.broadcast(wanted), "grp").filter(
+            "upto - n <= rest and rest < upto").select("i", "r", "cell", (F.col("rest") - F.col("upto") + F.col("n")).alias("rest"))
+        sought = {
+            (x["i"], x["r"]): ((sought[(x["i"], x["r"])][0] << bits) | (x["cell"] & ((1 << bits) - 1)), x["rest"])
+            for x in rows.collect()  # one row per value sought
+        }
+    return {(columns[i], r): _double(key) for (i, r), (key, _) in sought.items()}
 
 
 def _small_order_statistics(df, ranks, counts) -> dict[tuple[str, int], float]:
@@ -198,7 +182,6 @@ def _small_order_statistics(df, ranks, counts) -> dict[tuple[str, int], float]:
 
 def quantiles(
     df: DataFrame, shares: dict[str, list[float]], exact_values: int = EXACT_VALUES,
-    collected_values: int = COLLECTED_VALUES,
 ) -> dict[tuple[str, float], float | None]:
     """Exact quantiles with linear interpolation between neighbours; None for an empty column."""
     if not shares:
@@ -208,7 +191,7 @@ def quantiles(
     ranks: dict[str, list[int]] = {}
     for (c, _), at in where.items():
         ranks.setdefault(c, []).extend([floor(at), ceil(at)])
-    values = order_statistics(df, ranks, counts, exact_values, collected_values)
+    values = order_statistics(df, ranks, counts, exact_values)
     out: dict[tuple[str, float], float | None] = {(c, p): None for c, ps in shares.items() for p in ps}
     for (c, p), at in where.items():
         a, b = values[(c, floor(at))], values[(c, ceil(at))]

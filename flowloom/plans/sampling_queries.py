@@ -172,13 +172,13 @@ _SHOWN_SQL = ", ".join(f'r."{c}"' for c in _SHOWN)
     union all select d.label, {_SHOWN_SQL} from d join r on r.label = d.label and r.rn = {_index(0)}
     union all select label, {_SHOWN_SQL.replace('r.', '')} from {_SYNTHETIC.format(d="d2")})
   select label, count(*) as n, """ + ", ".join(
-    f'round(sum("{c}"), 3) as {S.snake(c)}' for c in _SHOWN) + " from allrows group by label")
+    f'round(sum(cast("{c}" as decimal(28,9))), 3) as {S.snake(c)}' for c in _SHOWN) + " from allrows group by label")
 def s08(spark, sf_dir):
     df = clean_flows(spark, sf_dir)
     counts = R.class_counts(df, S.LABEL)
     out = SP.balanced_dataset(df, "flow_id", *sizes(counts), counts=counts)
     return out.groupBy("label").agg(
-        F.count(F.lit(1)).alias("n"), *[F.round(F.sum(S.q(c)), 3).alias(S.snake(c)) for c in _SHOWN])
+        F.count(F.lit(1)).alias("n"), *[F.round(F.sum(F.col(S.q(c)).cast("decimal(28,9)")), 3).alias(S.snake(c)) for c in _SHOWN])
 
 
 @query("g09_kept_report", WITH + """select label, available, kept, target, target as written,

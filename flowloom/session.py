@@ -41,11 +41,13 @@ def local_session(app: str = "flowloom", cores: str = "*", **extra: str) -> Spar
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach: ``spark.checkpoint.dir`` where the cluster names one.
 
-    Only a session without that setting (a test on one machine) gets a new
-    folder of its own.
+    Only a session on one machine without that setting (a test) gets a new
+    folder of its own; on a cluster, executors could not reach it.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         application = spark.sparkContext.applicationId
         if application not in _TEST_FOLDERS:
             _TEST_FOLDERS[application] = tempfile.mkdtemp(prefix="run-")

@@ -104,3 +104,12 @@ def test_balanced_counts(spark, small):
 def test_sampling_moves_no_rows(rows):
     plan = R.take_random(rows, "label", "key", {"DDoS": 500, "Benign": 100})._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan and "Window" not in plan
+
+
+def test_rank_of_a_missing_class_at_any_size(spark):
+    from flowloom.operators import ranking as R
+
+    df = spark.createDataFrame([(f"k{i}", None if i % 10 == 0 else "a") for i in range(1000)], "k string, label string")
+    one = {r.k: r._rank for r in R.with_rank(df, "label", "k", rows_per_bucket=10**6).collect()}
+    many = {r.k: r._rank for r in R.with_rank(df, "label", "k", rows_per_bucket=10).collect()}
+    assert one == many and len(one) == 1000

@@ -23,7 +23,7 @@ def numbers(spark):
 def test_order_statistics_when_narrowing(numbers):
     df, values = numbers
     shares = {"a": [0.0, 0.25, 0.5, 0.8, 1.0], "b c": [0.5, 0.9]}
-    narrow = ST.quantiles(df, shares, exact_values=100, collected_values=20)
+    narrow = ST.quantiles(df, shares, exact_values=100)
     direct = ST.quantiles(df, shares)
     for (c, p), got in narrow.items():
         data = values if c == "a" else -values * values
@@ -98,7 +98,7 @@ def test_mutual_information_by_hand(spark):
     df = spark.createDataFrame([(float(i % 2), float(i // 50), "ab"[i % 2]) for i in range(100)], "x double, y double, label string")
     got = {r.feature: r.mi_score for r in SEL.mutual_information(df, ["x", "y"]).collect()}
     assert got["x"] == pytest.approx(math.log(2)) and got["y"] == pytest.approx(0.0, abs=1e-12)
-    narrow = {r.feature: r.mi_score for r in SEL.mutual_information(df, ["x", "y"], exact_values=10, collected_values=5).collect()}
+    narrow = {r.feature: r.mi_score for r in SEL.mutual_information(df, ["x", "y"], exact_values=10).collect()}
     assert narrow == got
 
 
@@ -145,3 +145,35 @@ def test_column_checks(spark):
         C.require_columns(df, ["Rate", "IAT"])
     zero = FE.fill_zero(spark.createDataFrame([(None, None), (float("nan"), "x")], "a double, b string")).collect()
     assert [tuple(r) for r in zero] == [(0.0, "0"), (0.0, "x")]
+
+
+def test_order_statistics_of_tied_and_odd_columns(spark):
+    """The digit search ends on heavy ties, and knows signs, zeros, NULL and neighbours in value."""
+    rng = np.random.default_rng(2)
+    n = 3000
+    columns = {
+        "half": [float(i % 2) for i in range(n)],
+        "fifth": [float(i % 5 == 0) for i in range(n)],
+        "two": [1e300 if i < 10 else (7.0 if i % 2 else -7.0) for i in range(n)],
+        "nulls": [None if i % 3 else float(i) for i in range(n)],
+        "signs": [-0.0 if i % 2 else 0.0 for i in range(n)],
+        "close": [1.0 + 2.0**-52 * (i % 4) for i in range(n)],
+        "wide": [float(x) for x in rng.standard_normal(n) * 10.0 ** rng.integers(-200, 200, n)],
+    }
+    rows = list(zip(*columns.values(), strict=True))
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in columns))
+    shares = {c: [0.0, 0.25, 0.5, 0.8, 1.0] for c in columns}
+    assert ST.quantiles(df, shares, exact_values=10) == ST.quantiles(df, shares)
+
+
+def test_passes_do_not_grow_with_columns(spark):
+    df = spark.range(500).selectExpr(*[f"cast(id % {i + 2} as double) as c{i}" for i in range(20)])
+    jobs = []
+    for names in (["c0"], df.columns):
+        group = f"digits-{len(names)}"
+        spark.sparkContext.setJobGroup(group, group)
+        counts = {c: 500 for c in names}
+        ST.order_statistics(df, {c: [100, 400] for c in names}, counts, exact_values=10)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs[0] == jobs[1]

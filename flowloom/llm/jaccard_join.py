@@ -10,7 +10,7 @@ can't reach the similarity, and each pair left is verified once on whole sets.
   gives the same links; a better count only leaves fewer pairs to verify.
 * Texts with one and the same set are one node (``sid``) from the start.
 * Groups of thousands of near copies are never paired off. First every member
-  of a prefix group is compared with one pivot of its length only. What these
+  of a prefix group is compared with the pivots of its length class and the two beside it only. What these
   links connect is a component; the second step compares only members of
   different components, all of them, so no link between components is lost.
 * A prefix n-gram that is very frequent is split into salts, so
@@ -20,6 +20,7 @@ can't reach the similarity, and each pair left is verified once on whole sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +38,11 @@ HOT_LEVEL = 20            # groups of about 2 ** HOT_LEVEL rows are split into s
 BROADCAST_SETS = 2_000_000  # ids that are sent to every task to pick sets; more are picked by a join
 PAIRS_AT_ONCE = 500_000
 
-ROW = {"token": "bigint", "salt": "int", "salts": "int", "sid": "bigint", "n": "int", "pos": "int", "before": "int",
-       "total": "int"}
+ROW = {"token": "bigint", "salt": "int", "salts": "int", "sid": "bigint", "n": "int", "before": "int", "total": "int"}
+PREFIX = {**ROW, "core": "int"}
 _PIVOT = {"": "bigint", "_n": "int", "_before": "int", "_total": "int"}
-PIVOTED = {**ROW, "class": "int", **{f"{p}{c}": t for p in ("pivot", "above") for c, t in _PIVOT.items()}}
+PIVOTS = ("pivot", "above", "below")  # of the own length class, the next and the one before
+PIVOTED = {**ROW, "class": "int", **{f"{p}{c}": t for p in PIVOTS for c, t in _PIVOT.items()}}
 
 
 def _sid(values: np.ndarray) -> int:
@@ -90,17 +92,19 @@ def members_and_levels(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarr
 
 
 def prefixes(docs: DataFrame, words: int, percent: int, levels: np.ndarray, hot_level: int = HOT_LEVEL) -> DataFrame:
-    """``token, salt, salts, sid, n, pos, before, total``: the rarest n-grams of every set, enough to share one with any similar set.
+    """``token, salt, salts, sid, n, before, total, core``: the rarest n-grams of every set, enough to share one with any similar set.
 
-    ``pos`` is the token's place in the order, ``before`` and ``total`` count the n-grams in front of it and in the whole set
+    ``before`` and ``total`` count the n-grams in front of the token and in the whole set
     that occur more than once in the corpus: no others can be shared. Sets with too few of those are left
-    out. ``salt`` is -1 unless the token is split into ``salts`` parts.
+    out. ``core`` is by how many the n-grams about as frequent as the token, or more so, outnumber the rarer ones: it is highest
+    for the set that adds least to what the token's sets have in common and leaves least of it out.
+    ``salt`` is -1 unless the token is split into ``salts`` parts.
     """
     sent = docs.sparkSession.sparkContext.broadcast(levels)  # 2 ** LEVEL_BITS bytes
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, sids, sizes, places, marks, ahead, totals = [], [], [], [], [], [], []
+            tokens, sids, sizes, marks, ahead, totals, cores = [], [], [], [], [], [], []
             for s in shingle_sets(batch.column("text"), words):
                 n = len(s)
                 if not n:
@@ -109,14 +113,16 @@ def prefixes(docs: DataFrame, words: int, percent: int, levels: np.ndarray, hot_
                 total = int(np.count_nonzero(own))
                 if total * 100 < percent * n:
                     continue
-                order = np.argsort(own, kind="stable")[:n - (percent * n + 99) // 100 + 1]
+                ranked = np.argsort(own, kind="stable")
+                order = ranked[:n - (percent * n + 99) // 100 + 1]
                 tokens.append(s[order].view(np.int64))
                 marks.append(own[order])
                 sids.append(np.full(len(order), _sid(s)))
                 sizes.append(np.full(len(order), n, np.int32))
-                places.append(np.arange(len(order), dtype=np.int32))
                 ahead.append(np.cumsum(own[order] > 0, dtype=np.int32) - (own[order] > 0))
                 totals.append(np.full(len(order), total, np.int32))
+                rarer = np.searchsorted(own[ranked], np.maximum(own[order].astype(np.int64) - 1, 1))
+                cores.append(n - 2 * rarer)
             if not tokens:
                 continue
             token, sid, mark = np.concatenate(tokens), np.concatenate(sids), np.concatenate(marks).astype(np.int64)
@@ -124,9 +130,9 @@ def prefixes(docs: DataFrame, words: int, percent: int, levels: np.ndarray, hot_
             salt = np.where(salts > 1, sid % salts, -1)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(token), pa.array(salt.astype(np.int32)), pa.array(salts.astype(np.int32)), pa.array(sid),
-                 *[pa.array(np.concatenate(c).astype(np.int32)) for c in (sizes, places, ahead, totals)]], list(ROW))
+                 *[pa.array(np.concatenate(c).astype(np.int32)) for c in (sizes, ahead, totals, cores)]], list(PREFIX))
 
-    return docs.select("text").mapInArrow(cut, ", ".join(f"{c} {t}" for c, t in ROW.items()))
+    return docs.select("text").mapInArrow(cut, ", ".join(f"{c} {t}" for c, t in PREFIX.items()))
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
@@ -157,10 +163,10 @@ def _changes(columns: list[np.ndarray]) -> np.ndarray:
 
 
 def shared_prefixes(rows: DataFrame, percent: int) -> DataFrame:
-    """Prefix rows whose token some other set has too, each with the pivots of its token in its length class and the next.
+    """Prefix rows whose token some other set has too, each with the pivots of its token in its length class and both neighbours.
 
-    ``class`` is the length class: sets of one class may be similar as far as their lengths tell. The pivot is the
-    set with the most n-grams that occur elsewhere: among near copies, one close to what they were copied from.
+    ``class`` is the length class: sets of one class may be similar as far as their lengths tell, and so may those of
+    neighbouring classes. The pivot is the set of highest ``core``: among near copies, one close to what they were copied from.
     """
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,14 +181,18 @@ def shared_prefixes(rows: DataFrame, percent: int) -> DataFrame:
                 continue
             g, number = {k: v[keep] for k, v in g.items()}, number[keep]
             length = np.floor(np.log(g["n"]) / np.log(100 / percent)).astype(np.int32) if percent < 100 else g["n"]
-            by = np.lexsort((g["sid"], -g["total"], length, number))
+            by = np.lexsort((g["sid"], -g["core"], length, number))
             g, number, length = {k: v[by] for k, v in g.items()}, number[by], length[by]
             first = _changes([number, length])
             heads = np.flatnonzero(first)
             above = np.arange(len(heads))  # the class above, where the token has one
-            above[:-1] += (number[heads[1:]] == number[heads[:-1]]) & (length[heads[1:]] == length[heads[:-1]] + 1)
+            below = above.copy()
+            next_to = (number[heads[1:]] == number[heads[:-1]]) & (length[heads[1:]] == length[heads[:-1]] + 1)
+            above[:-1] += next_to
+            below[1:] -= next_to
             part = np.cumsum(first) - 1
-            pivots = [pa.array(g[k][at]) for at in (heads[part], heads[above[part]]) for k in ("sid", "n", "before", "total")]
+            pivots = [pa.array(g[k][heads[of[part]]]) for of in (np.arange(len(heads)), above, below)
+                      for k in ("sid", "n", "before", "total")]
             yield pa.RecordBatch.from_arrays([*[pa.array(g[k]) for k in ROW], pa.array(length), *pivots], list(PIVOTED))
 
     dealt = rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "sid")
@@ -198,11 +208,11 @@ def _may_link(percent: int, n, before, total, m, ahead, whole, least, greatest):
 def pivot_pairs(shared: DataFrame, percent: int) -> DataFrame:
     """``a, b``: members with the pivots of their groups, and the pivots of one token's salts with the first of them."""
     parts = []
-    for p in ("pivot", "above"):
+    for p in PIVOTS:
         wide = [F.col(c).cast("bigint") for c in ("n", "before", "total", f"{p}_n", f"{p}_before", f"{p}_total")]
         parts.append(shared.filter(f"sid != {p}").filter(_may_link(percent, *wide, F.least, F.greatest)).select(
             F.greatest("sid", p).alias("a"), F.least("sid", p).alias("b")))
-    direct = parts[0].unionByName(parts[1])
+    direct = reduce(DataFrame.unionByName, parts)
     salted = shared.filter("salt >= 0 and sid = pivot").select("token", "class", "sid")
     first = salted.groupBy("token", "class").agg(F.min("sid").alias("b"))
     across = salted.join(first, ["token", "class"]).filter("sid != b").select(F.col("sid").alias("a"), "b")

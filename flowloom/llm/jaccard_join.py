@@ -37,6 +37,7 @@ from flowloom.session import materialise
 HOT_LEVEL = 20            # groups of about 2 ** HOT_LEVEL rows are split into salts
 BROADCAST_SETS = 2_000_000  # ids that are sent to every task to pick sets; more are picked by a join
 PAIRS_AT_ONCE = 500_000
+MARK_BITS = 512           # of the suffix filter: sets may differ in about half as many n-grams for it to tell them apart
 
 ROW = {"token": "bigint", "salt": "int", "salts": "int", "sid": "bigint", "n": "int", "before": "int", "total": "int"}
 PREFIX = {**ROW, "core": "int"}
@@ -50,45 +51,55 @@ def _sid(values: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(values.tobytes()) - (1 << 63)
 
 
+def _mark(values: np.ndarray) -> bytes:
+    """For each of ``MARK_BITS`` classes of n-grams, whether the set holds an odd number of them.
+
+    Two marks differ in no more bits than their sets in n-grams.
+    """
+    return np.packbits(np.bincount((values % np.uint64(MARK_BITS)).astype(np.int64), minlength=MARK_BITS) & 1).tobytes()
+
+
 def _id_type(docs: DataFrame) -> str:
     return docs.schema["doc_id"].dataType.simpleString()
 
 
 def members_and_levels(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
-    """``doc_id, sid, n`` per row of ``docs`` (sid NULL for empty sets), and how frequent n-grams are, by hash.
+    """``doc_id, sid, n, mark`` per row of ``docs`` (sid NULL for empty sets), and how frequent n-grams are, by hash.
 
     One pass over the texts gives both.
     """
     pa_type = to_arrow_type(docs.schema["doc_id"].dataType)
-    names = ["doc_id", "sid", "n", "part", "packed"]
+    names = ["doc_id", "sid", "n", "mark", "part", "packed"]
 
     def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
         n = batch.num_rows
         return pa.RecordBatch.from_arrays(
-            [pa.nulls(n, pa_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), *batch.columns], names)
+            [pa.nulls(n, pa_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), *batch.columns],
+            names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = HashCounts()
         for batch in batches:
-            sids, sizes = [], []
+            sids, sizes, marks = [], [], []
             for s in shingle_sets(batch.column("text"), words):
                 sids.append(_sid(s) if len(s) else None)
                 sizes.append(len(s))
+                marks.append(_mark(s))
                 full = counts.add(s)
                 if full is not None:
                     yield counted(full)
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), pa.nulls(n, pa.int32()),
-                 pa.nulls(n, pa.binary())], names)
+                [batch.column("doc_id"), pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(marks, pa.binary()),
+                 pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         rest = counts.flush()
         if rest is not None:
             yield counted(rest)
 
     both = materialise(docs.select("doc_id", "text").mapInArrow(
-        scan, f"doc_id {_id_type(docs)}, sid bigint, n int, part int, packed binary"), "jaccard-scan")
+        scan, f"doc_id {_id_type(docs)}, sid bigint, n int, mark binary, part int, packed binary"), "jaccard-scan")
     levels = hash_levels(both.filter("part is not null").select("part", "packed"))
-    return both.filter("part is null").select("doc_id", "sid", "n"), levels
+    return both.filter("part is null").select("doc_id", "sid", "n", "mark"), levels
 
 
 def prefixes(docs: DataFrame, words: int, percent: int, levels: np.ndarray, hot_level: int = HOT_LEVEL) -> DataFrame:
@@ -199,6 +210,11 @@ def shared_prefixes(rows: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(group, ", ".join(f"{c} {t}" for c, t in PIVOTED.items()))
 
 
+def _need(percent: int, size):
+    """The n-grams that two similar sets of ``size`` n-grams in all share at least."""
+    return (percent * size + 99 + percent) // (100 + percent)
+
+
 def _may_link(percent: int, n, before, total, m, ahead, whole, least, greatest):
     """Length filter, and positional filter: what both can still share around a common n-gram. Columns or arrays."""
     most = least(before, ahead) + 1 + least(total - before, whole - ahead) - 1
@@ -219,17 +235,22 @@ def pivot_pairs(shared: DataFrame, percent: int) -> DataFrame:
     return direct.unionByName(across).distinct()
 
 
-def cross_pairs(shared: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: all pairs of one token whose sets lie in different components and pass the filters."""
+def cross_pairs(shared: DataFrame, roots: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: all pairs of one token whose sets lie in different components and pass the filters.
+
+    The suffix filter compares the marks of both sets (``members``): sets whose marks differ in more bits than similar
+    sets may differ in n-grams are no pair.
+    """
     named = shared.select("token", "salt", "salts", "sid", "n", "before", "total").join(
         roots.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     named = materialise(named, "jaccard-named")
     mixed = named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi")
-    rows = named.join(mixed.select("token"), "token", "left_semi")
+    marks = members.filter("sid is not null").groupBy("sid").agg(F.first("mark").alias("mark"))
+    rows = named.join(mixed.select("token"), "token", "left_semi").join(marks, "sid")
     own = F.greatest("salt", F.lit(0))
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     rows = rows.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own",
-                       "root", "sid", "n", "before", "total")
+                       "root", "sid", "n", "before", "total", "mark")
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _whole_groups(batches, ["token", "lo", "hi"]):
@@ -237,6 +258,7 @@ def cross_pairs(shared: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
             runs = np.flatnonzero(_changes([g["token"], g["lo"], g["hi"], g["root"]]))
             ends = np.append(runs[1:], len(g["sid"]))
             group_end = starts[np.searchsorted(starts, runs, side="right")]
+            mark = np.frombuffer(b"".join(g["mark"]), np.uint64).reshape(len(g["sid"]), -1)
             # each row with all rows of later components in its group
             left_ends = np.repeat(ends, ends - runs)
             count = np.repeat(group_end, ends - runs) - left_ends
@@ -253,6 +275,10 @@ def cross_pairs(shared: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
                 wide = [g[c][side].astype(np.int64) for side in (left, right) for c in ("n", "before", "total")]
                 ok = _may_link(percent, *wide, np.minimum, np.maximum)
                 ok &= (g["lo"][left] == g["hi"][left]) | (g["own"][left] != g["own"][right])
+                left, right = left[ok], right[ok]
+                size = g["n"][left].astype(np.int64) + g["n"][right]
+                apart = np.bitwise_count(mark[left] ^ mark[right]).sum(1, dtype=np.int64)
+                ok = apart <= size - 2 * _need(percent, size)
                 if ok.any():
                     a, b = g["sid"][left[ok]], g["sid"][right[ok]]
                     found = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1), axis=0)
@@ -303,7 +329,7 @@ def sets_of(docs: DataFrame, members: DataFrame, pairs: DataFrame, words: int) -
 def similar(x: np.ndarray, y: np.ndarray, percent: int, steps: int = 8) -> bool:
     """Whether two sorted sets reach the similarity; the suffix filter first compares how many values lie in each range."""
     n, m = len(x), len(y)
-    need = (percent * (n + m) + 99 + percent) // (100 + percent)
+    need = _need(percent, n + m)
     if m > 4 * steps:
         bounds = y[m // steps::max(1, m // steps)]
         apart = np.abs(np.diff(np.concatenate([[0], np.searchsorted(x, bounds), [n]])) -
@@ -347,7 +373,7 @@ def jaccard_groups(
     near = materialise(pivot_pairs(shared, percent), "jaccard-pivots")
     links = materialise(verified(near, sets_of(docs, members, near, words), percent), "jaccard-links")
     roots = components(links)
-    rest = materialise(cross_pairs(shared, roots, percent).join(near, ["a", "b"], "left_anti"), "jaccard-rest")
+    rest = materialise(cross_pairs(shared, roots, members, percent).join(near, ["a", "b"], "left_anti"), "jaccard-rest")
     if not rest.isEmpty():
         more = materialise(verified(rest, sets_of(docs, members, rest, words), percent), "jaccard-more")
         roots = components(more.unionByName(roots.select(F.col("id").alias("a"), F.col("root").alias("b"))))

@@ -201,13 +201,13 @@ def _row_count(conditions: list[Column]) -> Column:
 # ---- the whole chain ---------------------------------------------------------------------------
 
 
-def learn(df: DataFrame) -> TableStatistics:
-    """Read everything engineering needs from the table: three aggregates, whatever its size."""
+def learn(df: DataFrame, key: str | None = None) -> TableStatistics:
+    """Read everything engineering needs from the table: three aggregates, whatever its size. ``key`` names rows and is no feature."""
     medians = learn_medians(df)
     clean = _imputed(df, df, medians)
     flags = flag_columns(clean)
     # Anomaly columns are the first three numeric ones in schema order.
-    first = numeric_columns(clean)[:3]
+    first = [c for c in numeric_columns(clean) if c != key][:3]
     m = moments(clean, list(dict.fromkeys([*flags, *first])))
     cut = {c: [0.8] for c in ("Rate", "IAT") if c in clean.columns}
     high = quantiles(clean, cut)
@@ -242,14 +242,14 @@ def feature_family(feature: str, temporal: list[str], behavioural: list[str], ne
     return "Original"
 
 
-def engineer(df: DataFrame, stats: TableStatistics | None = None) -> Engineered:
+def engineer(df: DataFrame, stats: TableStatistics | None = None, key: str | None = None) -> Engineered:
     """Clean the table, then add the temporal, behavioural and network columns.
 
     Compat: the statistics are those of the table passed in. Strict: pass the
     statistics learnt when the selection was fitted.
     """
     if stats is None:
-        stats = learn(df)
+        stats = learn(df, key)
         clean = _imputed(df, df, stats.medians)
     else:
         clean = clean_impute(df, stats.medians)

@@ -49,26 +49,22 @@ def variance_filter(
 # ---- scores ----------------------------------------------------------------------------------
 
 
-def anova_f(df: DataFrame, columns: list[str], by: str = S.LABEL, means: dict[str, float] | None = None) -> DataFrame:
+def anova_f(df: DataFrame, columns: list[str], by: str = S.LABEL) -> DataFrame:
     """``feature, f_score``: between-class over within-class variance of every column.
 
-    Values are centred on the global mean first, so the sums of squares keep
-    their digits. One hash aggregate of (class, feature) cells.
+    One hash aggregate of (class, feature) cells. Each cell holds a mean and central moments, so the sums of squares keep
+    their digits without a pass for the global mean.
     """
-    if means is None:
-        means = {c: m["mean"] for c, m in moments(df, columns).items()}
-    centres = F.array(*[F.lit(means[c]).cast("double") for c in columns])
     names = F.array(*[F.lit(c) for c in columns])
-    long = long_form(df, columns, by).filter("x is not null")
-    cells = long.select(by, "pos", (F.col("x") - F.element_at(centres, F.col("pos") + 1)).alias("x")).groupBy(by, "pos").agg(
-        F.count("x").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("t"))
-    sums = cells.groupBy(F.element_at(names, F.col("pos") + 1).alias("feature")).agg(
-        F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("t").alias("t"),
-        F.sum(F.try_divide(F.col("s") * F.col("s"), F.col("n"))).alias("between"),
-    )
-    ssb = F.col("between") - F.try_divide(F.col("s") * F.col("s"), F.col("n"))
-    ssw = F.col("t") - F.col("between")
-    score = F.try_divide(F.try_divide(ssb, F.col("k") - 1), F.try_divide(ssw, F.col("n") - F.col("k")))
+    cells = long_form(df, columns, by).filter("x is not null").groupBy(by, "pos").agg(
+        F.count("x").alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("var"))
+    whole = Window.partitionBy("pos")  # one row per class
+    centre = F.sum(F.col("n") * F.col("mean")).over(whole) / F.sum("n").over(whole)
+    off = F.col("mean") - F.col("centre")
+    sums = cells.withColumn("centre", centre).groupBy(F.element_at(names, F.col("pos") + 1).alias("feature")).agg(
+        F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * off * off).alias("ssb"),
+        F.sum(F.col("n") * F.col("var")).alias("ssw"))
+    score = F.try_divide(F.try_divide("ssb", F.col("k") - 1), F.try_divide("ssw", F.col("n") - F.col("k")))
     return sums.select("feature", score.alias("f_score"))
 
 
@@ -295,6 +291,7 @@ class FittedSelection:
     temporal: list[str] = field(default_factory=list)
     behavioural: list[str] = field(default_factory=list)
     network: list[str] = field(default_factory=list)
+    key: str | None = None
 
     def transform(self, df: DataFrame, mode: str = "compat", keep: list[str] | None = None) -> DataFrame:
         """Engineer, pick the stored features in order, apply the stored scale.
@@ -302,7 +299,7 @@ class FittedSelection:
         Compat: table statistics are recomputed on ``df``. Strict: those of the
         fit are used, which also makes this work on a stream.
         """
-        made = FE.engineer(df, self.statistics if mode == "strict" else None)
+        made = FE.engineer(df, self.statistics if mode == "strict" else None, self.key)
         here = [c for c in self.features if c in made.df.columns]
         rest = [c for c in (keep or [S.LABEL]) if c in made.df.columns]
         picked = made.df.select(*[q(c) for c in rest], *[q(c) for c in here])
@@ -327,11 +324,8 @@ class Prepared:
     def varied(self, threshold: float = VARIANCE_THRESHOLD) -> list[str]:
         return variance_filter(self.df, self.names, threshold, self.moments)
 
-    def means(self, columns: list[str]) -> dict[str, float]:
-        return {c: self.moments[c]["mean"] for c in columns}
-
     def anova(self, columns: list[str]) -> DataFrame:
-        return anova_f(self.df, columns, means=self.means(columns))
+        return anova_f(self.df, columns)
 
     def score(self, columns: list[str]) -> None:
         """Fill in both scores, one row per feature, unless they are there."""
@@ -348,7 +342,7 @@ class Prepared:
 
 def prepare(df: DataFrame, key: str) -> Prepared:
     """Engineer the table and write it down: scores and forests pass over it many times."""
-    made = FE.engineer(df)
+    made = FE.engineer(df, key=key)
     made.df = materialise(made.df, "engineered")
     names = [c for c in made.df.columns if c not in (S.LABEL, key)]
     return Prepared(made, names, moments(made.df, names))
@@ -374,7 +368,8 @@ def fit_select(
     if len(final) != n:
         raise ValueError(f"{n} features wanted, {len(final)} found")
     return FittedSelection(
-        final, scores, importance, ready.scale(final), made.statistics, made.temporal, made.behavioural, made.network)
+        final, scores, importance, ready.scale(final), made.statistics, made.temporal, made.behavioural, made.network,
+        key)
 
 
 def original_features(df: DataFrame, n: int | None = None) -> DataFrame:

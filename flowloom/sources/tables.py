@@ -85,21 +85,22 @@ def write_csv(df: DataFrame, path: str) -> None:
 def merge_parts(spark: SparkSession, folder: str, schema: T.StructType, mode: str = "compat") -> DataFrame:
     """All part files of a folder as one table; unreadable files are skipped.
 
-    Compat: columns are taken by position. Strict: by the name in each file's header.
+    Compat: columns are taken by position. Strict: by the name in each file's header, which is its first line. Columns
+    that the schema doesn't name are left out, those that the file doesn't have are NULL, and lines that repeat the header
+    are no rows. A file whose first line names no column of the schema is refused.
     """
     if mode == "compat":
         return spark.read.schema(schema).options(header=True, ignoreCorruptFiles=True, enforceSchema=True).csv(folder)
-    known = F.array(*[F.lit(f.name) for f in schema.fields])
     lines = spark.read.option("ignoreCorruptFiles", True).text(folder).select(
-        F.input_file_name().alias("file"), "value"
-    )
-    # The header is the line made of nothing but column names; reading order is not needed to find it.
-    is_header = F.forall(F.split(F.col("value"), ","), lambda c: F.array_contains(known, F.trim(F.trim(c), F.lit('"'))))
-    headers = lines.filter(is_header).groupBy("file").agg(F.max("value").alias("header"))
-    rows = lines.filter(~is_header).join(small_side(headers), "file")
+        F.input_file_name().alias("file"), "value",
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("at"))
+    headers = lines.groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    rows = lines.select("file", "value").join(small_side(headers), "file").filter("value != header")
     out = None
     for (header,) in bounded_rows(headers.select("header").distinct(), what="different headers"):
         names = [c.strip().strip('"') for c in header.split(",")]
+        if not set(names) & set(schema.fieldNames()):
+            raise ValueError(f"no header in a file that starts with {header!r}")
         fields = ", ".join(f"`{n}` string" for n in names)
         parsed = rows.filter(F.col("header") == header).select(F.from_csv("value", F.lit(fields)).alias("r"))
         table = parsed.select(*[
@@ -184,6 +185,15 @@ def write_metadata(metadata: DataFrame, folder: str) -> None:
     metadata.write.mode("overwrite").json(f"{folder}/dataset_metadata")
 
 
+def replace_folder(spark: SparkSession, fresh: str, folder: str) -> None:
+    """Puts a finished folder in the place of another one. In between there is no folder, never a mixed one."""
+    new, old = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (fresh, folder))
+    files = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(old, True)
+    if not files.rename(new, old):
+        raise OSError(f"{fresh} can't take the place of {folder}")
+
+
 def read_metadata(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(METADATA_SCHEMA).json(f"{folder}/dataset_metadata")
 

@@ -4,6 +4,7 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowloom import schemas as S
 from flowloom.functions.text import instruction_records
@@ -49,6 +50,26 @@ def test_merge_by_position_and_name(spark, tmp_path):
     assert sorted(tuple(r) for r in IO.merge_parts(spark, str(tmp_path), schema, "strict").collect()) == [(1.0, 2.0), (4.0, 3.0)]
 
 
+def test_merge_keeps_rows_of_files_with_other_columns(spark, tmp_path):
+    schema = T.StructType([T.StructField("a", T.DoubleType()), T.StructField("b", T.DoubleType())])
+    (tmp_path / "1.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "2.csv").write_text("b,note,a\n3,x,4\nb,note,a\n5,a,6\n")
+    (tmp_path / "3.csv").write_text("b\n7\n")
+    rows = IO.merge_parts(spark, str(tmp_path), schema, "strict").collect()
+    assert sorted(map(tuple, rows), key=lambda r: r[1]) == [(1.0, 2.0), (4.0, 3.0), (6.0, 5.0), (None, 7.0)]
+    (tmp_path / "4.csv").write_text("8,9\n")
+    with pytest.raises(ValueError, match="no header"):
+        IO.merge_parts(spark, str(tmp_path), schema, "strict")
+
+
+def test_replace_folder(spark, tmp_path):
+    old, new = str(tmp_path / "set"), str(tmp_path / "set-new")
+    spark.range(3).write.parquet(old)
+    spark.range(5).write.parquet(new)
+    IO.replace_folder(spark, new, old)
+    assert spark.read.parquet(old).count() == 5 and not (tmp_path / "set-new").exists()
+
+
 def test_publish_skips_and_guards(spark):
     df = spark.range(40).select(F.col("id").cast("string").alias("k"), F.col("id").cast("double").alias("x"), F.lit("c").alias("label"))
     rows = SP.stratified_split(instruction_records(df, keep=["k"]), "k", by="output").drop("k")

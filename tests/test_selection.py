@@ -177,3 +177,9 @@ def test_passes_do_not_grow_with_columns(spark):
         jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
     spark.sparkContext.setJobGroup("", "")
     assert jobs[0] == jobs[1]
+
+
+def test_numeric_key_is_no_anomaly_column(spark):
+    df = spark.sql("select id as k, double(id % 3) as `Header_Length`, double(id) as Rate, double(id % 5) as IAT, 'x' as label from range(20)")
+    assert "k" not in FE.learn(df, "k").z
+    assert list(FE.learn(df, "k").z) == ["Header_Length", "Rate", "IAT"]

@@ -116,7 +116,7 @@ def running(blocks: Blocks, by: list[str], runs: list[Run], carry: DataFrame | N
 
     ``by`` must contain the scope of the blocks. Rows with a NULL in ``by`` get
     the value of their own block only; callers mask them. ``carry`` replaces
-    the computed per-block starting values (the streaming jobs pass state in).
+    the computed per-block starting values.
     """
     keys = [*by, BLOCK]
     ordered = Window.partitionBy(*blocks.scope, BLOCK, *[c for c in by if c not in blocks.scope]).orderBy(

@@ -1,214 +1,198 @@
-"""Streaming forms of the running packet operators.
-
-Every micro-batch goes through the same two-level running aggregates as a batch
-job; the only difference is where a group starts from. The state of a group
-(what all earlier batches held of it) is one small row, kept as a Parquet table
-in the shared folder, one version per batch. In a batch it acts as a block in
-front of the first one, so a flow that holds a third of the traffic is still
-cut into blocks and spread over tasks, and no group is handed to one Python
-worker.
-
-State version and output of a batch are both named after the batch, so a batch
-that is run again after a failure reads the same state and overwrites the same
-output: results are exactly-once.
+"""Streaming forms of the running packet operators, on Spark's own keyed state.
+
+Each operator groups the stream by its key and keeps a state of constant size per
+key with ``applyInPandasWithState``; Spark stores it, versions it with the checkpoint
+and, where a watermark is set, expires it. Rows of a key must arrive in position
+order from one micro-batch to the next; inside a micro-batch they are sorted.
+
+A micro-batch holds the rows of one key in one task, so its size must be bounded
+at the source: set ``maxFilesPerTrigger`` (or the like of the source) on the
+stream. Results do not depend on how the stream is cut into micro-batches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql.streaming.state import GroupState
 
 from flowloom import schemas as S
 from flowloom.functions import packets as P
 from flowloom.operators import packets as W
-from flowloom.operators.running import (
-    BLOCK,
-    DEFAULT_BLOCK_ROWS,
-    Blocks,
-    Run,
-    _merge,
-    carries,
-    cut_blocks,
-    partials,
-)
-
-STATE_BLOCK = -1  # in front of every real block
-SEEN = "_seen_us"
-IDLE_SECONDS = 120
-
-
-@dataclass
-class StateStore:
-    """Versions of one state table: ``<folder>/<name>/batch=<id>``."""
-
-    spark: SparkSession
-    folder: str
-    name: str
-
-    def path(self, batch_id: int) -> str:
-        return f"{self.folder}/state/{self.name}/batch={batch_id}"
-
-    def before(self, batch_id: int) -> DataFrame | None:
-        """The state left by the batch before this one."""
-        if batch_id == 0:
-            return None
-        try:
-            return self.spark.read.parquet(self.path(batch_id - 1))
-        except AnalysisException:
-            return None
-
-    def save(self, batch_id: int, state: DataFrame) -> None:
-        state.write.mode("overwrite").parquet(self.path(batch_id))
-
-
-def next_state(part: DataFrame, by: list[str], runs: list[Run], now: Column | None, idle_us: int | None) -> DataFrame:
-    """One row per group from its old state and the partials of the batch; idle groups expire."""
-    ordered = [_merge_over(r) for r in runs]
-    state = part.groupBy(*by).agg(*ordered, F.max(SEEN).alias(SEEN))
-    if idle_us is not None and now is not None:
-        state = state.filter(F.col(SEEN) >= now - F.lit(idle_us))
-    return state.withColumn(BLOCK, F.lit(STATE_BLOCK).cast("bigint"))
-
-
-def _merge_over(run: Run) -> Column:
-    """Merge of partials in a plain aggregate, where first and last need the block order spelled out."""
-    if run.fn == "first":
-        return F.min_by(run.name, BLOCK).alias(run.name)
-    if run.fn == "prev":
-        return F.max_by(run.name, BLOCK).alias(run.name)
-    return _merge(run, F.col(run.name)).alias(run.name)
-
-
-def step(
-    blocks: Blocks, by: list[str], runs: list[Run], store: StateStore, batch_id: int,
-    apply: Callable[[DataFrame], Blocks], idle_seconds: int | None = None, live: Column | None = None,
-) -> Blocks:
-    """Run one operator on one micro-batch.
-
-    ``apply`` gets the per-block starting values and returns the operator's
-    result. The new state is written first, from the partials of this batch and
-    the old state, both of which a repeated batch finds unchanged.
-    """
-    rows = blocks.df if live is None else blocks.df.filter(live)
-    part = partials(rows, [*by, BLOCK], [*runs, Run(SEEN, "max", F.col("ts_us"))], blocks.order)
-    old = store.before(batch_id)
-    if old is not None:
-        part = part.unionByName(old.select(*part.columns))
-    now = None
-    if idle_seconds is not None:
-        newest = part.agg(F.max(SEEN)).first()[0]  # one number: the stream's clock
-        now = F.lit(newest)
-    store.save(batch_id, next_state(part, by, runs, now, None if idle_seconds is None else idle_seconds * 1_000_000))
-    return apply(carries(part, by, runs))
-
+from flowloom.operators.running import Blocks
+from flowloom.schemas import q
 
-# ---- jobs --------------------------------------------------------------------------------------
+NO_TIME = np.iinfo(np.int64).max
 
 
-def _run(
-    stream: DataFrame, folder: str, process: Callable[[DataFrame, int], DataFrame], name: str,
-) -> StreamingQuery:
-    """Start ``process`` on every micro-batch until the source is drained; output per batch is overwritten."""
+def _in_order(parts: Iterator[pd.DataFrame], position: str) -> pd.DataFrame:
+    """All rows of a key in this micro-batch; ``position`` is unique inside the key."""
+    return pd.concat(parts, ignore_index=True).sort_values(position, kind="stable", ignore_index=True)
 
-    def on_batch(batch: DataFrame, batch_id: int) -> None:
-        process(batch, batch_id).write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
 
+def _start(df: DataFrame, folder: str, name: str) -> StreamingQuery:
+    """Append to ``folder/out`` until the source is drained; the file sink takes each micro-batch once."""
     return (
-        stream.writeStream.queryName(name).foreachBatch(on_batch)
-        .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        df.writeStream.queryName(name).format("parquet").outputMode("append")
+        .option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(availableNow=True).start()
     )
 
 
 def read_output(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out/batch=*").drop("batch")
-
-
-def late_filter(batch: DataFrame, store: StateStore, batch_id: int, delay_seconds: int | None) -> DataFrame:
-    """Drop rows older than the watermark left by the earlier batches, and move it forward."""
-    if delay_seconds is None:
-        return batch
-    old = store.before(batch_id)
-    mark = None if old is None else old.agg(F.max("mark")).first()[0]
-    newest = batch.agg(F.max("ts_us")).first()[0]
-    ahead = [v for v in (mark, None if newest is None else newest - delay_seconds * 1_000_000) if v is not None]
-    store.save(batch_id, batch.sparkSession.createDataFrame([(max(ahead) if ahead else None,)], "mark bigint"))
-    return batch if mark is None else batch.filter(F.col("ts_us") >= F.lit(mark))
+    return spark.read.parquet(f"{folder}/out")
+
+
+# ---- flows -------------------------------------------------------------------------------------
+
+_FLOW_KEY = {"a_ip": "string", "a_port": "int", "b_ip": "string", "b_port": "int"}
+_FLOW_VALUES = {"flow_packets": "bigint", "flow_bytes": "bigint", "flow_us": "bigint", "tcp_packets": "bigint"}
+_FLOW_STATE = ", ".join(f"{c}_{p} bigint" for p in ("tcp", "udp") for c in ("n", "bytes", "lo", "hi")) + ", seen bigint"
+_EMPTY_FLOW = (0, 0, NO_TIME, -NO_TIME) * 2 + (-NO_TIME,)
+
+
+def _flow_update(idle_us: int | None, timeout: bool) -> Callable:
+    """Running values of one endpoint pair; TCP and UDP are kept apart, and a pause longer than ``idle_us`` starts anew."""
+
+    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = _in_order(parts, W.POSITION)
+        old = tuple(state.get) if state.exists else _EMPTY_FLOW
+        ts = rows["ts_us"].to_numpy(np.int64)
+        latest = np.maximum.accumulate(np.append(old[8], ts))
+        # A pause leaves the latest time of the new part of the flow equal to that of the whole flow.
+        new = np.zeros(len(ts), bool)
+        if idle_us is not None:
+            new = (latest[:-1] != -NO_TIME) & (ts > latest[:-1] + idle_us)
+        part = pd.Series(np.cumsum(new))
+        first = (part == 0).to_numpy()
+        out, kept = {c: np.zeros(len(ts), np.int64) for c in _FLOW_VALUES}, []
+        for i, number in enumerate((S.TCP, S.UDP)):
+            mine = (rows["ip_proto"] == number).to_numpy()
+            n0, bytes0, lo0, hi0 = old[4 * i:4 * i + 4]
+            n = pd.Series(mine.astype(np.int64)).groupby(part).cumsum().to_numpy() + first * n0
+            size = pd.Series(np.where(mine, rows["frame_len"].fillna(0).to_numpy(np.int64), 0))
+            size = size.groupby(part).cumsum().to_numpy() + first * bytes0
+            lo = pd.Series(np.where(mine, ts, NO_TIME)).groupby(part).cummin().to_numpy()
+            hi = pd.Series(np.where(mine, ts, -NO_TIME)).groupby(part).cummax().to_numpy()
+            lo, hi = np.where(first, np.minimum(lo, lo0), lo), np.where(first, np.maximum(hi, hi0), hi)
+            out["flow_packets"][mine], out["flow_bytes"][mine] = n[mine], size[mine]
+            out["flow_us"][mine] = (hi - lo)[mine]
+            if number == S.TCP:
+                out["tcp_packets"] = n
+            kept += [int(v[-1]) for v in (n, size, lo, hi)]
+        state.update((*kept, int(latest[-1])))
+        if timeout:
+            state.setTimeoutTimestamp((int(latest[-1]) + idle_us) // 1000 + 1)
+        yield pd.DataFrame({
+            W.CAPTURE: key[0], W.POSITION: rows[W.POSITION],
+            **{c: pd.Series([v] * len(ts), dtype=object) for c, v in zip(_FLOW_KEY, key[1:], strict=True)}, **out})
+
+    return update
 
 
 def flow_features(
     stream: DataFrame, folder: str, idle_seconds: int | None = None, delay_seconds: int | None = None,
-    block_rows: int = DEFAULT_BLOCK_ROWS,
 ) -> StreamingQuery:
     """Per-packet flow values (duration, packets, bytes, rates) with per-flow state.
 
-    ``idle_seconds`` drops flows that have been silent that long (120 s is a
-    usual value for live traffic); ``delay_seconds`` drops rows that late.
+    A flow starts anew after a pause of more than ``idle_seconds`` behind its own latest packet (120 s is a usual
+    value for live traffic). ``delay_seconds`` is the watermark: packets that late are dropped, and with both
+    settings the state of a silent flow is removed. Frames outside TCP and UDP have no flow, all values 0, and are never late.
+    ``ts_us`` and the position of a packet are not NULL.
     """
-    spark = stream.sparkSession
-    flows, marks = StateStore(spark, folder, "flows"), StateStore(spark, folder, "marks")
-
-    def process(batch: DataFrame, batch_id: int) -> DataFrame:
-        kept = late_filter(W.keep_frames(batch), marks, batch_id, delay_seconds)
-        blocks = cut_blocks(kept, [W.CAPTURE], W.POSITION, block_rows, multi=True)
-        keyed = W._with(blocks, flow=P.endpoints())
-        out = step(
-            keyed, [W.CAPTURE, W.FLOW], W.flow_state_runs(), flows, batch_id,
-            lambda carry: W.flow_runs(blocks, carry), idle_seconds, F.col(W.FLOW).isNotNull(),
-        )
-        df = W.rates(W.directions(out)).df
-        return df.select(
-            W.CAPTURE, W.POSITION, "flow_us", "flow_packets", "flow_bytes", "src_to_dst_pkt", "dst_to_src_pkt",
-            "rate", "srate", "drate",
-        )
-
-    return _run(stream, folder, process, "flow_features")
-
-
-def capture_features(stream: DataFrame, folder: str, block_rows: int = DEFAULT_BLOCK_ROWS) -> StreamingQuery:
-    """Time since the previous and the first frame, with per-capture state."""
-    store = StateStore(stream.sparkSession, folder, "captures")
-
-    def process(batch: DataFrame, batch_id: int) -> DataFrame:
-        blocks = cut_blocks(W.keep_frames(batch), [W.CAPTURE], W.POSITION, block_rows, multi=True)
-        out = step(blocks, [W.CAPTURE], W.capture_runs(), store, batch_id, lambda carry: W.capture_times(blocks, carry))
-        return out.df.select(W.CAPTURE, W.POSITION, "iat_us", "cumulative_us")
-
-    return _run(stream, folder, process, "capture_features")
-
+    kept = W.keep_frames(stream).withColumn(W.FLOW, P.endpoints())
+    flows = kept.filter(F.col(W.FLOW).isNotNull())
+    ends = [F.col(f"{W.FLOW}.{c[0]}.{c[2:]}").alias(c) for c in _FLOW_KEY]
+    columns = [W.CAPTURE, W.POSITION, "ts_us", "ip_proto", "frame_len", *ends]
+    if delay_seconds is not None:
+        flows = flows.withColumn("_time", F.timestamp_micros("ts_us")).withWatermark("_time", f"{delay_seconds} seconds")
+        columns.append("_time")
+    timeout = idle_seconds is not None and delay_seconds is not None
+    position = kept.schema[W.POSITION].dataType.simpleString()
+    schema = ", ".join([f"{W.CAPTURE} {kept.schema[W.CAPTURE].dataType.simpleString()}", f"{W.POSITION} {position}",
+                        *[f"{c} {t}" for c, t in (_FLOW_KEY | _FLOW_VALUES).items()]])
+    # With a watermark Spark drops late rows only where the state may time out by event time.
+    kind = "NoTimeout" if delay_seconds is None else "EventTimeTimeout"
+    values = flows.select(*columns).groupBy(W.CAPTURE, *_FLOW_KEY).applyInPandasWithState(
+        _flow_update(None if idle_seconds is None else idle_seconds * 1_000_000, timeout), schema, _FLOW_STATE, "append", kind)
+    end = {e: F.struct(F.col(f"{e}_ip").alias("ip"), F.col(f"{e}_port").alias("port")) for e in "ab"}
+    values = values.withColumn(W.FLOW, F.struct(end["a"].alias("a"), end["b"].alias("b")))
+    df = W.rates(W.directions(Blocks(values, (W.CAPTURE,), W.POSITION, False))).df
+    shown = ["flow_us", "flow_packets", "flow_bytes", "src_to_dst_pkt", "dst_to_src_pkt", "rate", "srate", "drate"]
+    others = kept.filter(F.col(W.FLOW).isNull()).select(
+        W.CAPTURE, W.POSITION, *[F.lit(0).cast(df.schema[c].dataType).alias(c) for c in shown])
+    return _start(df.select(W.CAPTURE, W.POSITION, *shown).unionByName(others), folder, "flow_features")
+
+
+# ---- captures ----------------------------------------------------------------------------------
+
+
+def _capture_update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    rows = _in_order(parts, W.POSITION)
+    ts = rows["ts_us"].to_numpy(np.int64)
+    first, last = state.get if state.exists else (int(ts[0]), int(ts[0]))
+    state.update((first, int(ts[-1])))
+    yield pd.DataFrame({
+        W.CAPTURE: key[0], W.POSITION: rows[W.POSITION], "iat_us": np.diff(ts, prepend=last), "cumulative_us": ts - first})
+
+
+def _capture_keys(stream: DataFrame) -> str:
+    return ", ".join(f"{c} {stream.schema[c].dataType.simpleString()}" for c in (W.CAPTURE, W.POSITION))
+
+
+def capture_features(stream: DataFrame, folder: str) -> StreamingQuery:
+    """Time since the previous and the first frame; the state of a capture is its first and its last time."""
+    rows = W.keep_frames(stream).select(W.CAPTURE, W.POSITION, "ts_us")
+    out = rows.groupBy(W.CAPTURE).applyInPandasWithState(
+        _capture_update, f"{_capture_keys(rows)}, iat_us bigint, cumulative_us bigint", "first bigint, last bigint", "append",
+        "NoTimeout")
+    return _start(out, folder, "capture_features")
+
+
+_STATISTICS = ["w_sum", "w_min", "w_max", "w_avg", "w_std", "w_magnitude", "w_radius", "w_covariance", "w_variance", "w_weight"]
+
+
+def _window_update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    rows = _in_order(parts, W.POSITION)
+    open_ = list(state.get[0]) if state.exists else []  # sizes of the window that is not complete yet, NaN where unknown
+    sizes = pd.Series(np.concatenate([open_, rows["frame_len"].to_numpy(np.float64, na_value=np.nan)]))
+    whole = len(sizes) // W.WINDOW_FRAMES * W.WINDOW_FRAMES
+    state.update(([float(v) for v in sizes[whole:]],))
+    out = pd.DataFrame(0.0, index=range(len(sizes)), columns=_STATISTICS)
+    if whole:
+        number = np.arange(whole) // W.WINDOW_FRAMES
+        by = sizes[:whole].groupby(number)
+        total, low, high, std = by.sum(min_count=1), by.min(), by.max(), by.std(ddof=0)
+        mean = total / W.WINDOW_FRAMES
+        squares = (sizes[:whole] ** 2).groupby(number).sum(min_count=1)
+        made = [total, low, high, mean, std, np.sqrt(squares), high - low, by.var(ddof=0), std * std, mean]
+        out.iloc[W.WINDOW_FRAMES - 1:whole:W.WINDOW_FRAMES] = np.column_stack([v.to_numpy() for v in made])
+    out = out.iloc[len(open_):].reset_index(drop=True)
+    yield pd.concat([pd.DataFrame({W.CAPTURE: key[0], W.POSITION: rows[W.POSITION]}), out], axis=1)
+
+
+def window_features(stream: DataFrame, folder: str) -> StreamingQuery:
+    """Statistics of every 20 frames of a capture, on the last frame of the window; 0 elsewhere.
+
+    State is the sizes of the frames, at most 19, of the window that is not complete yet.
+    """
+    rows = W.keep_frames(stream).select(W.CAPTURE, W.POSITION, "frame_len")
+    out = rows.groupBy(W.CAPTURE).applyInPandasWithState(
+        _window_update, f"{_capture_keys(rows)}, " + ", ".join(f"{c} double" for c in _STATISTICS), "sizes array<double>",
+        "append", "NoTimeout")
+    return _start(out, folder, "window_features")
 
-def window_features(stream: DataFrame, folder: str, block_rows: int = DEFAULT_BLOCK_ROWS) -> StreamingQuery:
-    """Statistics of every 20 frames of a capture.
 
-    State is the frame count per capture and the frames (at most 19 per
-    capture) of the window that is not complete yet; they take part in the next
-    batch and are not shown again.
-    """
-    spark = stream.sparkSession
-    counts, tails = StateStore(spark, folder, "counts"), StateStore(spark, folder, "tails")
-
-    def process(batch: DataFrame, batch_id: int) -> DataFrame:
-        blocks = cut_blocks(W.keep_frames(batch), [W.CAPTURE], W.POSITION, block_rows, multi=True)
-        numbered = step(
-            blocks, [W.CAPTURE], W.capture_runs(), counts, batch_id, lambda carry: W.capture_times(blocks, carry)
-        ).df.select(W.CAPTURE, W.POSITION, BLOCK, "frame_len", "_frame_no", F.lit(True).alias("_new"))
-        old = tails.before(batch_id)
-        rows = numbered if old is None else numbered.unionByName(old.withColumn("_new", F.lit(False)))
-        number = F.floor((F.col("_frame_no") - 1) / F.lit(W.WINDOW_FRAMES))
-        size = F.count(F.lit(1)).over(Window.partitionBy(W.CAPTURE, number))
-        open_ = rows.withColumn("_size", size).filter(F.col("_size") < W.WINDOW_FRAMES).drop("_size", "_new")
-        tails.save(batch_id, open_)
-        out = W.window_statistics(Blocks(rows, (W.CAPTURE,), W.POSITION, True)).df
-        return out.filter("_new").select(
-            W.CAPTURE, W.POSITION, "w_sum", "w_min", "w_max", "w_avg", "w_std", "w_magnitude", "w_radius",
-            "w_covariance", "w_variance", "w_weight",
-        )
-
-    return _run(stream, folder, process, "window_features")
+# ---- labels ------------------------------------------------------------------------------------
 
 
 def label_counts(stream: DataFrame, by: str = S.LABEL) -> DataFrame:
@@ -228,31 +212,35 @@ def write_complete(df: DataFrame, folder: str, name: str) -> StreamingQuery:
     )
 
 
-def capped_rows(
-    stream: DataFrame, folder: str, cap: int, by: str, position: str, block_rows: int = DEFAULT_BLOCK_ROWS
-) -> StreamingQuery:
-    """The first ``cap`` rows of each class in arrival order; later rows of a full class are dropped.
+def _cap_update(cap: int, position: str) -> Callable:
+    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        taken = state.get[0] if state.exists else 0
+        if taken >= cap:
+            return
+        rows = pd.concat(parts, ignore_index=True)
+        rows = rows.iloc[rows[position].astype("int64").argsort(kind="stable")[:cap - taken]]
+        state.update((taken + len(rows),))
+        yield rows
 
-    State is one count per class. ``position`` grows with arrival.
-    """
-    store = StateStore(stream.sparkSession, folder, "caps")
+    return update
 
-    def process(batch: DataFrame, batch_id: int) -> DataFrame:
-        rows = batch.withColumn("ts_us", F.lit(0).cast("bigint"))
-        blocks = cut_blocks(rows, [by], position, block_rows, multi=True)
-        run = [Run("_seen_rows", "count")]
-        from flowloom.operators.running import running
 
-        out = step(blocks, [by], run, store, batch_id, lambda carry: running(blocks, [by], run, carry))
-        return out.df.filter(F.col("_seen_rows") <= cap).drop("_seen_rows", "ts_us", BLOCK)
+def capped_rows(stream: DataFrame, folder: str, cap: int, by: str, position: str) -> StreamingQuery:
+    """The first ``cap`` rows of each class in arrival order; later rows of a full class are dropped.
 
-    return _run(stream, folder, process, "capped_rows")
+    State is one count per class. ``position`` is a whole number that grows with arrival. Rows without a class are left out, as in
+    the batch form.
+    """
+    numbers = [f.name for f in stream.schema if isinstance(f.dataType, T.NumericType)]
+    # pandas has no whole numbers with gaps: numbers travel as text, which keeps every digit
+    text = {c: F.col(q(c)).cast("string") for c in numbers}
+    rows = stream.filter(F.col(q(by)).isNotNull()).withColumns(text)
+    out = rows.groupBy(q(by)).applyInPandasWithState(
+        _cap_update(cap, position), rows.schema, "taken bigint", "append", "NoTimeout")
+    back = [F.col(q(f.name)).cast(f.dataType).alias(f.name) if f.name in numbers else F.col(q(f.name)) for f in stream.schema]
+    return _start(out.select(*back), folder, "capped_rows")
 
 
 def write_rows(df: DataFrame, folder: str, name: str) -> StreamingQuery:
     """A stateless transformation to Parquet."""
-    return (
-        df.writeStream.queryName(name).format("parquet").outputMode("append")
-        .option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True).start()
-    )
+    return _start(df, folder, name)

@@ -142,38 +142,56 @@ def two_bursts(make_packets):
     return make_packets([dict(ts_us=1_000_000_000 + t * 1_000_000) for t in times])
 
 
-def run_flow(spark, df, **kw):
+def run_flow(spark, df, steps=8, **kw):
     folder = new_folder(spark, "flow")
-    query = ST.flow_features(stream_of(spark, df, "packet_no", 8, 1), folder, **kw)
+    query = ST.flow_features(stream_of(spark, df, "packet_no", steps, 1), folder, **kw)
     query.awaitTermination()
     return {r.packet_no: r.flow_packets for r in ST.read_output(spark, folder).collect()}
 
 
 def test_flow_state_without_expiry(spark, make_packets):
-    assert run_flow(spark, two_bursts(make_packets), block_rows=2) == {i: i + 1 for i in range(8)}
+    assert run_flow(spark, two_bursts(make_packets)) == {i: i + 1 for i in range(8)}
 
 
 def test_idle_flows_expire_and_late_rows_drop(spark, make_packets):
     got = run_flow(spark, two_bursts(make_packets), idle_seconds=120, delay_seconds=60)
-    # A flow is forgotten once the stream's clock is 120 s past its last packet.
+    # A flow is forgotten once it has been silent for more than 120 s.
     assert got[2] == 3 and got[4] == got[3] + 1 and 7 not in got
 
 
-def test_repeated_batch_changes_nothing(spark, make_packets):
-    df = two_bursts(make_packets)
-    folder = new_folder(spark, "again")
-    store = ST.StateStore(spark, folder, "flows")
-    runs = W.capture_runs()
-
-    def one(batch_id, low, high):
-        part = df.filter(F.col("packet_no").between(low, high))
-        blocks = W.blocks_of(part, 3, multi=True)
-        out = ST.step(blocks, [W.CAPTURE], runs, store, batch_id, lambda carry: W.capture_times(blocks, carry))
-        return sorted(tuple(r) for r in out.df.select("packet_no", "_frame_no", "cumulative_us").collect())
-
-    one(0, 0, 3)
-    first = one(1, 4, 7)
-    assert one(1, 4, 7) == first and [r[1] for r in first] == [5, 6, 7, 8]
+def test_expiry_does_not_depend_on_micro_batches(spark, make_packets):
+    df = two_bursts(make_packets).filter("packet_no < 7")
+    for steps in (1, 2, 5):
+        assert run_flow(spark, df, steps, idle_seconds=120, delay_seconds=60) == {0: 1, 1: 2, 2: 3, 3: 1, 4: 2, 5: 3, 6: 1}
+
+
+def test_streams_agree_with_batch_after_a_restart(spark, make_packets):
+    rows = [dict(ts_us=1_000_000 * (i * 7 % 50), ip_proto=(6, 17, 1)[i % 3], frame_len=60 + i % 11, capture_id="ab"[i % 2])
+            for i in range(97)]
+    df = make_packets(rows)
+    blocks = W.capture_times(W.blocks_of(df))
+    batch = W.rates(W.directions(W.flow_runs(W.window_statistics(blocks)))).df
+    for run, columns in (
+        (ST.flow_features, ["flow_us", "flow_packets", "flow_bytes", "dst_to_src_pkt", "rate", "srate"]),
+        (ST.capture_features, ["iat_us", "cumulative_us"]),
+        (ST.window_features, ["w_sum", "w_min", "w_max", "w_std", "w_covariance", "w_magnitude"]),
+    ):
+        source, folder = new_folder(spark, "source"), new_folder(spark, "out")
+        for low, high in ((0, 30), (31, 96)):  # the second run goes on from the checkpoint of the first
+            df.filter(F.col("packet_no").between(low, high)).coalesce(1).write.mode("append").parquet(source)
+            run(spark.readStream.schema(df.schema).parquet(source), folder).awaitTermination()
+        cells = ["packet_no", *[F.round(c, 6).alias(c) for c in columns]]
+        got = ST.read_output(spark, folder).select(*cells).orderBy("packet_no").collect()
+        assert got == batch.select(*cells).orderBy("packet_no").collect(), run.__name__
+
+
+def test_capped_rows_without_class_and_with_gaps(spark):
+    rows = [(i, None if i % 5 == 0 else "ab"[i % 2], None if i % 3 else 2**60 + i) for i in range(40)]
+    df = spark.createDataFrame(rows, "id bigint, label string, n bigint")
+    folder = new_folder(spark, "caps")
+    ST.capped_rows(stream_of(spark, df, "id", 4, 1), folder, 7, "label", "id").awaitTermination()
+    want = [r for c in "ab" for r in [x for x in rows if x[1] == c][:7]]
+    assert sorted(map(tuple, ST.read_output(spark, folder).collect())) == sorted(want)
 
 
 def test_blanks_in_names_survive(spark):

@@ -35,6 +35,7 @@ TRAIN_SPAN = 48
 STEPS = 500
 TRAIN_LANES = 256
 SEED = 7
+NOTHING = 256   # in place of a byte where a stretch has ended
 
 F4 = np.float32
 
@@ -43,7 +44,7 @@ F4 = np.float32
 class Net:
     """Weights; ``table[d]`` holds what a byte adds to the three gates of direction d, gates being rows."""
 
-    table: list[np.ndarray]    # (3H, 257): byte 256 stands for nothing
+    table: list[np.ndarray]    # (3H, 257): byte NOTHING stands for none
     inner: list[np.ndarray]    # (3H, H)
     bias: list[np.ndarray]     # (H, 1): of the candidate's recurrent part
     out: np.ndarray            # (C, 2H)
@@ -65,8 +66,13 @@ def new_net(classes: int, hidden: int = HIDDEN, seed: int = SEED) -> Net:
 
 
 def _read(net: Net, d: int, steps: np.ndarray, keep: dict | None = None) -> np.ndarray:
-    """States (T, H, B) of direction ``d`` over ``steps`` (T, B), in the order of the text."""
+    """States (T, H, B) of direction ``d`` over ``steps`` (T, B), in the order of the text.
+
+    Where there is no byte the state is zero, so that a text reads the same however long those beside it are.
+    """
     t_all, lanes = steps.shape
+    nothing = steps == NOTHING
+    padded = nothing.any(axis=1)
     table, inner, bias = net.table[d], net.inner[d], net.bias[d]
     hidden = inner.shape[1]
     states = np.empty((t_all, hidden, lanes), F4)
@@ -90,6 +96,8 @@ def _read(net: Net, d: int, steps: np.ndarray, keep: dict | None = None) -> np.n
         np.subtract(h, cand, out=new)
         new *= gates[hidden:]
         new += cand
+        if padded[t]:
+            new[:, nothing[t]] = 0
         if keep is not None:
             keep[t] = (h, gates, own[2 * hidden:], cand)
         h = new
@@ -110,16 +118,19 @@ def label_positions(net: Net, steps: np.ndarray, states: tuple[np.ndarray, np.nd
 
 
 def gradients(net: Net, steps: np.ndarray, labels: np.ndarray) -> tuple[float, list[np.ndarray]]:
-    """Mean cross-entropy over all positions and its gradients, by backpropagation through time."""
+    """Mean cross-entropy over all positions that hold a byte and its gradients, by backpropagation through time."""
     keep: tuple[dict, dict] = ({}, {})
     states = tuple(_read(net, d, steps, keep[d]) for d in range(2))
     p = label_positions(net, steps, states)
     t_all, classes, lanes = p.shape
     hidden = states[0].shape[1]
-    loss = float(-np.log(np.maximum(p[:, labels, np.arange(lanes)], 1e-9)).mean())
+    inside = steps != NOTHING
+    count = max(int(inside.sum()), 1)
+    loss = float(-np.log(np.maximum(p[:, labels, np.arange(lanes)], 1e-9))[inside].sum() / count)
     error = p
     error[:, labels, np.arange(lanes)] -= 1
-    error /= F4(t_all * lanes)
+    error *= inside[:, None, :]
+    error /= F4(count)
     g_out = np.concatenate([np.einsum("tcb,thb->ch", error, s) for s in states], 1)
     g_out_bias = error.sum(axis=(0, 2))[:, None]
     g_table, g_inner, g_bias = [], [], []
@@ -131,7 +142,7 @@ def gradients(net: Net, steps: np.ndarray, labels: np.ndarray) -> tuple[float, l
         for t in range(t_all - 1, -1, -1) if d == 0 else range(t_all):
             before, gates, own, cand = keep[d][t]
             reset, update = gates[:hidden], gates[hidden:]
-            g = back + from_out[t]
+            g = (back + from_out[t]) * inside[t]
             g_cand = g * (1 - update) * (1 - cand * cand)
             open_ = ((gates > 0) & (gates < 1)) * F4(0.25)
             g_update = g * (before - cand) * open_[hidden:]
@@ -155,7 +166,7 @@ def train(spans: list[bytes], labels: list[int], classes: int, steps: int = STEP
     """Adam on random stretches, languages drawn evenly."""
     net = new_net(classes, seed=seed)
     rng = np.random.default_rng(seed)
-    data = np.full((len(spans), TRAIN_SPAN), 256, np.int64)
+    data = np.full((len(spans), TRAIN_SPAN), NOTHING, np.int64)
     for i, s in enumerate(spans):
         data[i, :len(s)] = np.frombuffer(s[:TRAIN_SPAN], np.uint8)
     y = np.array(labels)
@@ -239,7 +250,7 @@ def pooled(net: Net, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         longest = int(size[own[0]])
         where = begin[own] + np.arange(longest)[:, None]
         inside = np.arange(longest)[:, None] < size[own]
-        steps = np.where(inside, data[np.minimum(where, len(data) - 1)], np.int16(256)).astype(np.int64)
+        steps = np.where(inside, data[np.minimum(where, len(data) - 1)], np.int16(NOTHING)).astype(np.int64)
         p = label_positions(net, steps)
         p *= inside[:, None, :]
         np.add.at(total, owner[own], p.sum(axis=0).T)
@@ -250,8 +261,8 @@ def predict(docs: DataFrame, net: Net | None, languages: list[str]) -> DataFrame
     """``doc_id, held_out, lang_pred, score`` per row of ``docs``.
 
     ``score`` is the mean probability of the predicted language. NULL and empty texts, texts without a letter, and all
-    texts when there was nothing to learn from are ``und`` with score 0. Repeated rows get the same answer; a NULL
-    doc_id counts as held out.
+    texts when there was nothing to learn from are ``und`` with score 0. Repeated rows get the same answer, the score
+    up to the last digits of a float; a NULL doc_id counts as held out.
     """
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((net, languages))  # a few thousand numbers per language

@@ -325,6 +325,23 @@ def flow_summary(packets: DataFrame) -> DataFrame:
     return out.withColumn("flow_us", F.col("last_us") - F.col("first_us"))
 
 
+def flow_positions(packets: DataFrame, span_us: int = 1_000_000) -> DataFrame:
+    """``capture_id, packet_no, place``: the place of every packet of a flow by time; of equal times by ``packet_no``.
+
+    Ranked inside stretches of ``span_us`` of a flow, to which the packets of all earlier stretches are added, so
+    that a hot flow is spread over tasks.
+    """
+    rows = keep_frames(packets).select(CAPTURE, POSITION, "ts_us", "ip_proto", P.endpoints().alias(FLOW)).filter(
+        F.col(FLOW).isNotNull()).withColumn("_stretch", F.floor(F.col("ts_us") / F.lit(span_us)))
+    flow = [CAPTURE, "ip_proto", FLOW]
+    earlier = Window.partitionBy(*flow).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(*flow, "_stretch").agg(F.count(F.lit(1)).alias("_n")).select(
+        *flow, "_stretch", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*flow, "_stretch").orderBy("ts_us", POSITION))
+    return rows.withColumn("_inside", inside).join(before, [*flow, "_stretch"]).select(
+        CAPTURE, POSITION, (F.col("_before") + F.col("_inside")).cast("bigint").alias("place"))
+
+
 def paired_directions(packets: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """The i-th packet sent by one endpoint next to the i-th packet sent by the other.
 

@@ -5,16 +5,17 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from flowloom import schemas as S
 from flowloom.functions import text as X
 from flowloom.operators import evaluation as EV
+from flowloom.operators import features as FE
 from flowloom.operators import packets as W
 from flowloom.operators import scoring as SC
 from flowloom.operators import statistics as ST
-from flowloom.operators.running import Run, running
 from flowloom.plans import sweep as SW
 from flowloom.plans.feature_queries import SMALL_FORESTS
-from flowloom.plans.fixtures import PREDICTIONS, predictions, read
-from flowloom.plans.packet_queries import WITH as PACKET_WITH, blocks
+from flowloom.plans.fixtures import PREDICTIONS, packets, predictions, read
+from flowloom.plans.packet_queries import WITH as PACKET_WITH
 from flowloom.plans.registry import query
 from flowloom.plans.sampling_queries import SPLIT_CTE, WITH as FLOW_WITH, clean_flows
 from flowloom.session import new_folder
@@ -170,14 +171,15 @@ def k04(spark, sf_dir):
     return EV.outcome_sample(predictions(spark, sf_dir), "row_id", 100).select("row_id", "outcome")
 
 
-@query("k05_flow_positions", PACKET_WITH + """select packet_no, row_number() over (partition by capture_id, ip_proto, flow
-  order by ts_us) as place from k where has_flow""")
-def k05(spark, sf_dir):
-    from flowloom.functions import packets as P
+# Packets that arrive up to six minutes late, so that time and position disagree.
+_LATE = "ts_us - 60000000 * (packet_no % 7)"
+
 
-    b = W._with(blocks(spark, sf_dir), flow=P.endpoints())
-    out = running(b, [W.CAPTURE, W.FLOW, "ip_proto"], [Run("place", "count")]).df
-    return out.filter("flow is not null").select("packet_no", "place")
+@query("k05_flow_positions", PACKET_WITH + f"""select packet_no, row_number() over (partition by capture_id, ip_proto, flow
+  order by {_LATE}, packet_no) as place from k where has_flow""")
+def k05(spark, sf_dir):
+    late = packets(spark, sf_dir).withColumn("ts_us", F.expr(_LATE))
+    return W.flow_positions(late).select("packet_no", "place")
 
 
 @query("u01_union", """select 'orders' as source, o_orderkey as id, o_totalprice as amount from orders
@@ -221,25 +223,20 @@ _RULE = """case when "IAT" >= 1.0 then 'Unknown' when "IAT" < 0.3 then 'Benign'
 
 @query("x01_score_table", FLOW_WITH + f"select flow_id, {_RULE} as predicted_class from f")
 def x01(spark, sf_dir):
-    df = clean_flows(spark, sf_dir).select("flow_id", "IAT", "Rate")
-    return SC.score_table(df, load_rule).select("flow_id", "predicted_class")
+    return SC.score_table(clean_flows(spark, sf_dir), load_rule).select("flow_id", "predicted_class")
 
 
 @query("x02_score_instructions", FLOW_WITH + f"select flow_id, label as truth, {_RULE} as predicted, true as timed from f")
 def x02(spark, sf_dir):
-    slim = clean_flows(spark, sf_dir).select("flow_id", "IAT", "Rate", "label")
-    records = X.instruction_records(slim, keep=["flow_id"])
-    out = SC.score_instructions(records, load_rule, ["IAT", "Rate"])
+    records = X.instruction_records(clean_flows(spark, sf_dir), keep=["flow_id"])
+    out = SC.score_instructions(records, load_rule, S.FEATURES)
     return out.select("flow_id", F.col("true").alias("truth"), "predicted", (F.col("inference_time") >= 0).alias("timed"))
 
 
 @query("x05_baseline_forest")
 def x05(spark, sf_dir):
-    df = clean_flows(spark, sf_dir)
-    columns = ["IAT", "Srate", "flow_duration", "syn_flag_number", "ack_count", "Variance"]
-    safe = df.select("flow_id", "label", *columns)
-    model = SC.fit_baseline(safe, columns, trees=10, depth=6)
-    scored = SC.apply_baseline(model, safe).select(F.col("label").alias("true"), F.col("predicted_class").alias("predicted"))
+    df = FE.clean_impute(clean_flows(spark, sf_dir))
+    scored = SC.apply_baseline(SC.fit_baseline(df, S.FEATURES), df).select(F.col("label").alias("true"), F.col("predicted_class").alias("predicted"))
     return EV.confusion(EV.pair_counts(scored)).withColumnRenamed("true", "truth")
 
 

@@ -38,11 +38,11 @@ def b05(spark, sf_dir):
     return df.select("flow_id", "label", *[F.col(q(c)).alias(snake(c)) for c in S.FEATURES])
 
 
-@query("b06_clean_impute", WITH + """select flow_id, label, coalesce("Rate", (select median("Rate") from f)) as rate,
-  "Srate" as srate, "IAT" as iat from f""")
+@query("b06_clean_impute", WITH + "select flow_id, label, " + ", ".join(
+    f"coalesce({_id(c)}, (select median({_id(c)}) from f)) as {snake(c)}" for c in S.FEATURES) + " from f")
 def b06(spark, sf_dir):
     df = FE.clean_impute(clean_flows(spark, sf_dir))
-    return df.select("flow_id", "label", F.col("Rate").alias("rate"), F.col("Srate").alias("srate"), F.col("IAT").alias("iat"))
+    return df.select("flow_id", "label", *[F.col(q(c)).alias(snake(c)) for c in S.FEATURES])
 
 
 @query("b07_select_features", WITH + "select " + ", ".join(f"{_id(c)} as {snake(c)}" for c in S.FEATURES[:12]) + ", label from f")
@@ -59,14 +59,24 @@ def b10(spark, sf_dir):
     return spark.createDataFrame([(c, c in binary) for c in df.columns], "feature string, is_binary boolean")
 
 
-@query("b11_cast_binary", WITH + 'select flow_id, cast("HTTP" as int) as http, cast("syn_flag_number" as int) as syn from f')
+# Columns of the fixture that hold nothing but 0 and 1.
+_BINARY = {c for c in S.FEATURES if c.endswith("_flag_number")} | set(
+    S.FEATURES[S.FEATURES.index("HTTP"):S.FEATURES.index("LLC") + 1]) | {"Drate"}
+
+
+@query("b11_cast_binary", WITH + "select flow_id, " + ", ".join(
+    f"cast({_id(c)} as int) as {snake(c)}" if c in _BINARY else f"{_id(c)} as {snake(c)}" for c in S.FEATURES) + " from f")
 def b11(spark, sf_dir):
-    df = clean_flows(spark, sf_dir).select("flow_id", F.col("HTTP").alias("http"), F.col("syn_flag_number").alias("syn"))
+    df = clean_flows(spark, sf_dir).select("flow_id", *[F.col(q(c)).alias(snake(c)) for c in S.FEATURES])
     binary = C.detect_binary(df)
     return C.uncast_binary(C.cast_binary(df, binary), binary)
 
 
-@query("b12_detect_discrete")
+@query("b12_detect_discrete", WITH + """, u as (select feature, bool_and(x in (0, 1)) as is_binary from (unpivot (select """ + ", ".join(
+    _id(c) for c in S.FEATURES) + """ from f) on columns(*) into name feature value x) group by feature),
+  d as (select pos, u.feature from u join (values """ + ", ".join(f"({i}, '{c}')" for i, c in enumerate(S.FEATURES)) + """) as o(pos, feature)
+    on o.feature = u.feature where is_binary union all select 1000, 'label')
+select cast(row_number() over (order by pos) - 1 as int) as place, feature from d""")
 def b12(spark, sf_dir):
     names = C.detect_discrete(clean_flows(spark, sf_dir).drop("flow_id"))
     return spark.createDataFrame([(i, c) for i, c in enumerate(names)], "place int, feature string")

@@ -7,6 +7,8 @@ form rounded on the exact binary value.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,20 +33,27 @@ def py_repr(x: Column) -> Column:
     )
 
 
-def fmt4(x: Column) -> Column:
-    """Four decimals, rounded on the exact binary value, ties to even; NULL stays NULL.
+def fixed(x: Column, places: int) -> Column:
+    """``places`` decimals (1 to 9), rounded on the exact binary value, ties to even; NULL stays NULL.
 
     The pattern form of ``format_number`` rounds like that, with two
-    exceptions: the double nearest to 0.00005, which lies above the tie, and
-    numbers so large that their shortest digits end before the fourth decimal.
+    exceptions: half a unit of the last decimal, whose double lies above the tie for 1, 2 and 4 places, and
+    numbers so large that their shortest digits end before the last decimal.
     Those are put together from the whole part and the exact binary fraction.
     """
-    text = F.call_function("format_number", x, F.lit("0.0000"))
+    text = F.call_function("format_number", x, F.lit("0." + "0" * places))
     size = F.abs(x)
-    fraction = F.bround((size - F.floor(size)).try_cast("decimal(38,18)"), 4)
-    exact = (F.floor(size).cast("decimal(30,0)") + fraction).cast("decimal(30,4)").cast("string")
+    fraction = F.bround((size - F.floor(size)).try_cast("decimal(38,18)"), places)
+    exact = (F.floor(size).cast("decimal(28,0)") + fraction).cast(f"decimal({28 + places},{places})").cast("string")
+    half = float(f"5e-{places + 1}")
+    unit = "0." + "0" * (places - 1) + "1" if Fraction(half) > Fraction(5, 10 ** (places + 1)) else "0." + "0" * places
     return (
-        F.when(size == 5e-5, F.when(x > 0, "0.0001").otherwise("-0.0001"))
+        F.when(size == half, F.when(x > 0, unit).otherwise(f"-{unit}"))
         .when(size < 4e11, text)
         .otherwise(F.concat(F.when(x < 0, "-").otherwise(""), exact))
     )
+
+
+def fmt4(x: Column) -> Column:
+    """Four decimals, see :func:`fixed`."""
+    return fixed(x, 4)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowloom.functions.formatting import fmt4
+from flowloom.functions.formatting import fixed, fmt4
 from flowloom.operators.bounded import bounded_rows
 from flowloom.operators.statistics import time_statistics
 
@@ -172,9 +172,9 @@ def report(df: DataFrame, time_column: str) -> DataFrame:
         *[(f"{title}", F.concat(fmt4(F.col(c)), F.lit(" seconds"))) for title, c in (
             ("Average Inference Time", "mean"), ("Median Inference Time", "median"), ("Min Inference Time", "min"),
             ("Max Inference Time", "max"), ("Standard Deviation", "std"))],
-        ("Throughput", F.concat(F.format_string("%.2f", "throughput"), F.lit(" samples/second"))),
+        ("Throughput", F.concat(fixed(F.col("throughput"), 2), F.lit(" samples/second"))),
     ])
-    percent = F.format_string("%.1f", F.col("support") * 100.0 / total)
+    percent = fixed(F.col("support") * 100.0 / total, 1)
     share = F.concat("label", F.lit(": "), F.col("support").cast("string"), F.lit(" samples ("), percent, F.lit("%)"))
     spread = classes.select(*line("CLASS DISTRIBUTION", place, share))
     return overall.unionByName(each).unionByName(inference).unionByName(spread)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowloom.functions import text as X
-from flowloom.functions.formatting import fmt4, py_repr
+from flowloom.functions.formatting import fixed, fmt4, py_repr
 from flowloom.functions.labels import binary_label, canon_label
 from flowloom.schemas import q
 
@@ -104,3 +104,10 @@ def test_text_needs_no_python(spark):
     df = one(spark, flow_duration=1.0, Rate=2.0).withColumn("label", F.lit("x"))
     plan = X.text_table(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_fixed_decimals_round_the_binary_value(spark):
+    values = [0.0, 0.005, 0.015, 0.025, 2.675, 0.125, 0.375, 12.25, 12.35, 0.05, 0.15, 0.25, -0.125, -2.5, 99.95, 1e-9, 4.5e11, 123456.785]
+    for places in (1, 2, 4):
+        df = spark.createDataFrame([(v,) for v in values], "x double").select("x", fixed(F.col("x"), places).alias("t"))
+        assert {r.x: r.t for r in df.collect()} == {v: f"{v:.{places}f}" for v in values}

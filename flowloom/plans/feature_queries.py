@@ -309,7 +309,7 @@ def m13(spark, sf_dir):
 @query("m05_rf_importance")
 def m05(spark, sf_dir):
     df = read(spark, sf_dir, "embeddings")
-    names = [f"e{i}" for i in range(16)]
+    names = [f"e{i}" for i in range(len(df.select("embedding").first()[0]))]  # all vectors are equally long
     wide = df.select("vec_id", F.col("label").cast("string").alias("label"), *[
         F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(names)])
     found = SEL.rf_importance(wide, names, "vec_id", forests=(SEL.Forest(20, 8), SEL.Forest(10, 5)))

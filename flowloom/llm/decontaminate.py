@@ -3,9 +3,9 @@
 Numbers, names and units of a text become typed placeholders, so that a
 benchmark question with other numbers or names keeps its template. Windows of
 consecutive template words are joined by hash with those of the benchmark. A
-hit counts only if the slots agree: within one aligned stretch, a value of the
-benchmark always stands for the same value of the document, and the other way
-round. Windows of plain words have no slots and must be the same words.
+hit counts only if the slots agree: within one aligned stretch, a value of
+the benchmark always stands for the same value of the document, and the other
+way round. Windows of plain words have no slots and must be the same words.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.llm.common import mix, small_batches, text_key
@@ -24,8 +24,10 @@ from flowloom.operators.bounded import bounded_rows
 from flowloom.session import materialise
 
 WINDOW = 8
-# Share of an item's windows that an aligned stretch must hold for a leak.
+# Share of an item's windows that a document must hold for a leak.
 MIN_SHARE = 0.3
+# So many template words in a row are a leak whatever their share of the item.
+MIN_RUN = 13
 # Windows of the benchmark that are sent to every task to sort out others early; beyond it, all windows are joined by shuffle.
 BROADCAST_WINDOWS = 1_000_000
 
@@ -47,6 +49,7 @@ def _base(word: str) -> int:
 
 
 NUMBER, NAME, UNIT = (np.uint64(_base(x)) for x in ("<number>", "<name>", "<unit>"))
+_STEP = 0x9E3779B97F4A7C15
 _PLAIN, _NUMBER_SLOT, _NAME_SLOT, _UNIT_WORD, _QUANTITY, _NOTHING = range(6)
 
 
@@ -95,7 +98,8 @@ class Templates:
     ``hash`` per template word, ``owner`` the text it belongs to, and where a
     slot's value is found. A capitalised word is a name unless it begins a
     sentence or the text; a unit is one only behind a number; a number with its
-    unit attached is two template words.
+    unit attached is two template words. Windows are cut for both readings of an
+    ``opener``, a word that may be a name.
     """
 
     def __init__(self, texts: list[str | None], known: Words):
@@ -122,6 +126,7 @@ class Templates:
         after_number = np.zeros(len(kept), bool)
         after_number[1:] = (kinds[:-1] == _NUMBER_SLOT) & (owner[1:] == owner[:-1])
         twice = kinds == _QUANTITY
+        opener = np.zeros(len(kept), bool)
         slot = (kinds == _NUMBER_SLOT) | twice | ((kinds == _NAME_SLOT) & ~begins) | ((kinds == _UNIT_WORD) & after_number)
         value = np.array(known.hash, np.uint64)[ids]
         value[slot & ((kinds == _NUMBER_SLOT) | twice)] = NUMBER
@@ -133,40 +138,75 @@ class Templates:
         self.hash, self.owner = np.repeat(value, times), np.repeat(owner, times)
         self.hash[self.part == 1] = UNIT
         self.slot, self.ids, self.known = np.repeat(slot, times), np.repeat(ids, times), known
+        self.opener = np.repeat(opener, times)
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First word, length and hash of every window; a text of fewer words is one window, its whole length."""
+    def windows(self, size: int, shorter: tuple[int, ...] | None = None) -> Iterator[tuple[np.ndarray, int, int, np.ndarray]]:
+        """First words, length, reading and hashes of all windows, one part after the other.
+
+        Besides windows of ``size`` words, windows of each length in ``shorter``; with None, a text of fewer words is one
+        window, its whole length. Bit t of a reading: the window's t-th opener is a name.
+        """
         n = len(self.hash)
+        if not n:
+            return
         mixed = mix(self.hash)
-        counts = np.bincount(self.owner, minlength=1) if n else np.zeros(0, np.int64)
+        counts = np.bincount(self.owner)
         starts = np.cumsum(counts) - counts
-        first = np.arange(max(0, n - size + 1))
-        first = first[self.owner[first] == self.owner[first + size - 1]] if len(first) else first
-        parts = [(first, size)] + [(starts[counts == m], m) for m in range(1, size) if (counts == m).any()]
-        at, lengths, hashes = [], [], []
-        for begin, m in parts:
+        openers = np.flatnonzero(self.opener)
+        change = mix(np.array([NAME]))[0] - mixed[openers]
+        seen = np.concatenate([[0], np.cumsum(self.opener)])
+        for m in (size, *(range(1, size) if shorter is None else shorter)):
+            if m < size and shorter is None:
+                begin = starts[counts == m]
+            else:
+                begin = np.arange(max(0, n - m + 1))
+                begin = begin[self.owner[begin] == self.owner[begin + m - 1]]
+            if not len(begin):
+                continue
             h = np.full(len(begin), m, np.uint64)
             for j in range(m):
-                h = h * np.uint64(0x9E3779B97F4A7C15) + mixed[begin + j]
-            at.append(begin)
-            lengths.append(np.full(len(begin), m))
-            hashes.append(mix(h).view(np.int64))
-        return np.concatenate(at), np.concatenate(lengths), np.concatenate(hashes)
+                h = h * np.uint64(_STEP) + mixed[begin + j]
+            power = np.array([pow(_STEP, m - 1 - j, 1 << 64) for j in range(m)], np.uint64)
+            yield begin, m, 0, mix(h).view(np.int64)
+            n_openers = seen[begin + m] - seen[begin]
+            for reading in range(1, 1 << int(n_openers.max())):
+                has = n_openers >= reading.bit_length()
+                at, other = begin[has], h[has]
+                for t in range(reading.bit_length()):
+                    if reading >> t & 1:
+                        which = seen[at] + t
+                        other = other + change[which] * power[openers[which] - at]
+                yield at, m, reading, mix(other).view(np.int64)
 
     def place(self, at: np.ndarray) -> np.ndarray:
         """Place of a template word in its own text."""
         return at - np.searchsorted(self.owner, self.owner[at])
 
-    def slots(self, at: int, length: int) -> list[str]:
-        """Values in a window, an empty string for a plain word."""
-        return [
-            self.known.values[self.ids[i]][self.part[i]] if self.slot[i] else "" for i in range(at, at + length)]
+    def is_whole(self, at: np.ndarray, length: int) -> np.ndarray:
+        """Whether the window is all of its text."""
+        return np.bincount(self.owner)[self.owner[at]] == length
 
+    def slots(self, at: int, length: int, reading: int) -> list[str]:
+        """Values in a window, an empty string for a plain word."""
+        out = []
+        for i in range(at, at + length):
+            name = self.slot[i]
+            if self.opener[i]:
+                name, reading = reading & 1, reading >> 1
+            out.append(self.known.values[self.ids[i]][self.part[i]] if name else "")
+        return out
+
+
+def windows(
+    df: DataFrame, key: list[str], size: int = WINDOW, wanted: np.ndarray | None = None,
+    shorter: tuple[int, ...] | None = None,
+) -> DataFrame:
+    """``*key, pos, h, slots, whole`` of the column ``text``; only windows whose hash is in the sorted ``wanted``, if given.
 
-def windows(df: DataFrame, key: list[str], size: int = WINDOW, wanted: np.ndarray | None = None) -> DataFrame:
-    """``*key, pos, h, slots`` of the column ``text``; only windows whose hash is in the sorted ``wanted``, if given."""
+    ``whole``: the window is all of its text. For ``shorter`` see ``Templates.windows``.
+    """
     schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in key)
-    schema += ", pos bigint, h bigint, slots array<string>"
+    schema += ", pos bigint, h bigint, slots array<string>, whole boolean"
     spread = df.sparkSession.sparkContext.broadcast(wanted) if wanted is not None else None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,40 +214,59 @@ def windows(df: DataFrame, key: list[str], size: int = WINDOW, wanted: np.ndarra
         only = spread.value if spread is not None else None
         for batch in batches:
             made = Templates(batch.column("text").to_pylist(), known)
-            at, lengths, hashes = made.windows(size)
-            if only is not None:
-                hit = np.zeros(len(at), bool)
-                if len(only):
-                    hit = only[np.minimum(np.searchsorted(only, hashes), len(only) - 1)] == hashes
-                at, lengths, hashes = at[hit], lengths[hit], hashes[hit]
-            if not len(at):
-                continue
-            picked = [batch.column(k).take(pa.array(made.owner[at])) for k in key]
-            slots = [made.slots(a, n) for a, n in zip(at.tolist(), lengths.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*picked, pa.array(made.place(at)), pa.array(hashes), pa.array(slots, pa.list_(pa.string()))],
-                [*key, "pos", "h", "slots"])
+            for at, length, reading, hashes in made.windows(size, shorter):
+                if only is not None:
+                    hit = np.zeros(len(at), bool)
+                    if len(only):
+                        hit = only[np.minimum(np.searchsorted(only, hashes), len(only) - 1)] == hashes
+                    at, hashes = at[hit], hashes[hit]
+                if not len(at):
+                    continue
+                picked = [batch.column(k).take(pa.array(made.owner[at])) for k in key]
+                slots = [made.slots(a, length, reading) for a in at.tolist()]
+                yield pa.RecordBatch.from_arrays(
+                    [*picked, pa.array(made.place(at)), pa.array(hashes), pa.array(slots, pa.list_(pa.string())),
+                     pa.array(made.is_whole(at, length))],
+                    [*key, "pos", "h", "slots", "whole"])
 
     return df.select(*key, "text").mapInArrow(cut, schema)
 
 
+def _twice(values: Column) -> Column:
+    """Values that an array holds more than once."""
+    in_order = F.array_sort(values)
+    return F.array_distinct(F.filter(in_order, lambda x, i: (i > 0) & (F.get(in_order, i - 1) == x)))
+
+
+def _longest_run(places: Column) -> Column:
+    """Length of the longest run of consecutive numbers in an array of distinct ones."""
+    step = F.aggregate(
+        F.array_sort(places),
+        F.struct(F.lit(-2).cast("bigint").alias("last"), F.lit(0).alias("now"), F.lit(0).alias("best")),
+        lambda a, x: F.struct(
+            x.alias("last"), F.when(x == a["last"] + 1, a["now"] + 1).otherwise(1).alias("now"),
+            F.greatest(a["best"], F.when(x == a["last"] + 1, a["now"] + 1).otherwise(1)).alias("best")))
+    return step["best"]
+
+
 def leaks(
     docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, min_share: float = MIN_SHARE,
-    broadcast_windows: int = BROADCAST_WINDOWS,
+    broadcast_windows: int = BROADCAST_WINDOWS, min_run: int = MIN_RUN,
 ) -> DataFrame:
     """``doc_id, k, item_id, share, n_windows``: which documents hold which items; ``k`` is the key of the document's text.
 
-    ``share`` is the largest share of an item's windows that one alignment of the document holds with consistent
-    slots, ``n_windows`` their number; pairs below ``min_share`` are left out. Texts of fewer words than a window
+    ``n_windows`` is the number of different windows of an item that the document holds, over all alignments, and
+    ``share`` their share. An alignment whose slots disagree counts nothing. Pairs below ``min_share`` are left out unless one alignment
+    holds ``min_run`` template words in a row. Windows of nothing but slots begin no such run unless their values are the same. Texts of fewer words than a window
     match only whole texts of the same template; empty and NULL texts match nothing. Repeated documents or items
     count once; a NULL id is an id like any other. Empty tables give no pairs.
     """
     spark = docs.sparkSession
     small_batches(spark)
     items = benchmark.select("item_id", text_key(F.col("text")).alias("item_k"), "text").dropDuplicates(["item_id", "item_k"])
-    known = windows(items, ["item_id", "item_k"], size)
-    known = materialise(known.withColumn("item_windows", F.count(F.lit(1)).over(
-        Window.partitionBy("item_id", "item_k"))), "leak-items")
+    known = windows(items, ["item_id", "item_k"], size).withColumn("length", F.size("slots")).drop("whole")
+    known = materialise(known.withColumn("item_windows", F.max("pos").over(
+        Window.partitionBy("item_id", "item_k")) + 1), "leak-items")
     wanted = None
     if known.count() <= broadcast_windows:  # else all windows of the documents go into the join
         wanted = np.sort(np.array([r["h"] for r in bounded_rows(
@@ -217,14 +276,21 @@ def leaks(
     hits = windows(keyed, ["doc_id", "k"], size, wanted).withColumnsRenamed({"pos": "doc_pos", "slots": "doc_slots"})
     pairs = F.arrays_zip(F.col("slots").alias("b"), F.col("doc_slots").alias("d"))
     pairs = F.filter(pairs, lambda x: (x["b"] != "") | (x["d"] != ""))
-    aligned = hits.join(known, "h").groupBy(
+    told = F.array_contains("slots", "") | (F.col("slots") == F.col("doc_slots"))  # by a plain word or its very values
+    joined = hits.join(known, "h").filter(told | F.col("whole") | (F.col("length") == size))
+    aligned = joined.groupBy(
         "doc_id", "k", "item_id", "item_k", "item_windows", (F.col("doc_pos") - F.col("pos")).alias("shift"),
-    ).agg(  # bounded by the windows of an item
-        F.count_distinct("pos").alias("n_windows"), F.array_distinct(F.flatten(F.collect_list(pairs))).alias("pairs"))
-    values = (F.array_distinct(F.transform("pairs", lambda x: x["b"])), F.array_distinct(F.transform("pairs", lambda x: x["d"])))
-    agrees = (F.size(values[0]) == F.size("pairs")) & (F.size(values[1]) == F.size("pairs"))
-    found = aligned.filter(agrees).withColumn("share", F.col("n_windows") / F.col("item_windows"))
-    return found.filter(F.col("share") >= min_share).groupBy("doc_id", "k", "item_id").agg(
+    ).agg(F.collect_set(F.struct("pos", told.alias("told"), pairs.alias("pairs"))).alias("held"))  # bounded by the windows of an item
+    # Values on either side that stand for more than one of the other.
+    aligned = aligned.withColumn("pairs", F.array_distinct(F.flatten(F.transform("held", lambda x: x["pairs"]))))
+    aligned = aligned.withColumn("bad_b", _twice(F.transform("pairs", lambda x: x["b"]))).withColumn(
+        "bad_d", _twice(F.transform("pairs", lambda x: x["d"])))
+    aligned = aligned.filter((F.size("bad_b") == 0) & (F.size("bad_d") == 0)).withColumn("run", _longest_run(F.array_distinct(
+        F.transform(F.filter("held", lambda x: x["told"]), lambda x: x["pos"]))))
+    found = aligned.select("doc_id", "k", "item_id", "item_k", "item_windows", "run", F.explode("held.pos").alias("pos")).groupBy(
+        "doc_id", "k", "item_id", "item_k", "item_windows").agg(F.count_distinct("pos").alias("n_windows"), F.max("run").alias("run"))
+    found = found.withColumn("share", F.col("n_windows") / F.col("item_windows"))
+    return found.filter((F.col("share") >= min_share) | (F.col("run") + (size - 1) >= min_run)).groupBy("doc_id", "k", "item_id").agg(
         F.max("share").alias("share"), F.max("n_windows").alias("n_windows"))
 
 

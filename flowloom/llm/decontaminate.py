@@ -37,6 +37,10 @@ UNITS = frozenset(
     "meter meters metre metres kilometer kilometers miles inches feet yards grams kilograms pounds ounces liters litres "
     "gallons dollars euros cents usd eur gbp mph kmh kph hz khz mhz ghz v kv w kw mw j kj cal kcal pa kpa bar c f k".split()
 )
+_NUMBER_WORD = re.compile(
+    "(?:{0}|{1}|(?:{1})-(?:{0})|zero|ten|eleven|twelve|(?:thir|four|fif|six|seven|eigh|nine)teen|dozen|hundred|thousand|million|billion)"
+    .format("one|two|three|four|five|six|seven|eight|nine", "twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety"))
+_INSIDE_NAME = str.maketrans("", "", "'’-.")
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:st|nd|rd|th)?[%$€£]?")
 _UNIT_BEHIND = re.compile(r"([+-]?\d[\d.,]*)([a-zµ°]+)")
 _EDGE = "\"'`´“”„‘’«»()[]{}<>.,;:!?¡¿*_|-–—…"
@@ -74,13 +78,14 @@ class Words(dict):
         values = (low, "")
         if not word:
             kind = _NOTHING
-        elif _NUMBER.fullmatch(word):
+        elif _NUMBER.fullmatch(word) or _NUMBER_WORD.fullmatch(low):
             kind = _NUMBER_SLOT
         elif (m := _UNIT_BEHIND.fullmatch(low)) and m[2] in UNITS:
             kind, values = _QUANTITY, (m[1], m[2])
         elif low in UNITS:
             kind = _UNIT_WORD
-        elif word[0].isupper() and word[1:].islower():
+        elif word[0].isupper() and (
+                word[1:].islower() or word != word.upper() and word.translate(_INSIDE_NAME).isalpha()):
             kind = _NAME_SLOT
         else:
             kind = _PLAIN
@@ -96,10 +101,10 @@ class Templates:
     """Template words of many texts end to end.
 
     ``hash`` per template word, ``owner`` the text it belongs to, and where a
-    slot's value is found. A capitalised word is a name unless it begins a
-    sentence or the text; a unit is one only behind a number; a number with its
-    unit attached is two template words. Windows are cut for both readings of an
-    ``opener``, a word that may be a name.
+    slot's value is found. A capitalised word is a name; where it begins a
+    sentence or the text (``opener``), it may be a plain word as well, and
+    windows are cut for both readings. A unit is one only behind a number; a
+    number with its unit attached is two template words.
     """
 
     def __init__(self, texts: list[str | None], known: Words):
@@ -126,7 +131,7 @@ class Templates:
         after_number = np.zeros(len(kept), bool)
         after_number[1:] = (kinds[:-1] == _NUMBER_SLOT) & (owner[1:] == owner[:-1])
         twice = kinds == _QUANTITY
-        opener = np.zeros(len(kept), bool)
+        opener = (kinds == _NAME_SLOT) & begins
         slot = (kinds == _NUMBER_SLOT) | twice | ((kinds == _NAME_SLOT) & ~begins) | ((kinds == _UNIT_WORD) & after_number)
         value = np.array(known.hash, np.uint64)[ids]
         value[slot & ((kinds == _NUMBER_SLOT) | twice)] = NUMBER

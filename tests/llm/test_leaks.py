@@ -35,3 +35,16 @@ def test_part_of_a_long_item(found):
 def test_numbers_alone_are_no_run(found):
     item = " ".join([*words(60), *map(str, range(100, 120))])
     assert found(item, " ".join(map(str, range(500, 520)))) == []
+
+
+def test_names_that_open_sentences(found):
+    item = "Anna has 5 red apples. Ben has 7 apples. How many apples do they have?"
+    other = "Carla has 6 red apples. Dora has 9 apples. How many apples do they have?"
+    assert found(item, other, other.lower(), "The sun has set. " + other) == [0, 2]
+    assert found("The old house by the lake was sold again", "and so the old house by the lake was sold again") == [0]
+
+
+def test_wider_names_and_numbers(found):
+    item = "Today Mr O'Brien gave three pears to Jean-Luc and twenty-one plums to McDonald before noon"
+    other = "Today Mr Smith gave 4 pears to Anna and nine plums to Lee before noon"
+    assert found(item, other) == [0]

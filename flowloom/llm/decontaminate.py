@@ -262,8 +262,9 @@ def leaks(
 
     ``n_windows`` is the number of different windows of an item that the document holds, over all alignments, and
     ``share`` their share. An alignment whose slots disagree counts nothing. Pairs below ``min_share`` are left out unless one alignment
-    holds ``min_run`` template words in a row. Windows of nothing but slots begin no such run unless their values are the same. Texts of fewer words than a window
-    match only whole texts of the same template; empty and NULL texts match nothing. Repeated documents or items
+    holds ``min_run`` template words in a row. Windows of nothing but slots begin no such run and, inside a longer
+    document, are no short item, unless their values are the same. Items of fewer words than a window are one
+    window of their length; empty and NULL texts match nothing. Repeated documents or items
     count once; a NULL id is an id like any other. Empty tables give no pairs.
     """
     spark = docs.sparkSession
@@ -272,13 +273,15 @@ def leaks(
     known = windows(items, ["item_id", "item_k"], size).withColumn("length", F.size("slots")).drop("whole")
     known = materialise(known.withColumn("item_windows", F.max("pos").over(
         Window.partitionBy("item_id", "item_k")) + 1), "leak-items")
+    shorter = tuple(r["length"] for r in bounded_rows(
+        known.filter(F.col("length") < size).select("length").distinct(), size, "lengths of short items"))
     wanted = None
     if known.count() <= broadcast_windows:  # else all windows of the documents go into the join
         wanted = np.sort(np.array([r["h"] for r in bounded_rows(
             known.select("h").distinct(), broadcast_windows, "benchmark windows")], np.int64))
     # Repeated documents are cut once: the key goes ahead of the join only as far as its hits.
     keyed = docs.select("doc_id", text_key(F.col("text")).alias("k"), "text")
-    hits = windows(keyed, ["doc_id", "k"], size, wanted).withColumnsRenamed({"pos": "doc_pos", "slots": "doc_slots"})
+    hits = windows(keyed, ["doc_id", "k"], size, wanted, shorter).withColumnsRenamed({"pos": "doc_pos", "slots": "doc_slots"})
     pairs = F.arrays_zip(F.col("slots").alias("b"), F.col("doc_slots").alias("d"))
     pairs = F.filter(pairs, lambda x: (x["b"] != "") | (x["d"] != ""))
     told = F.array_contains("slots", "") | (F.col("slots") == F.col("doc_slots"))  # by a plain word or its very values

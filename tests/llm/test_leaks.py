@@ -48,3 +48,11 @@ def test_wider_names_and_numbers(found):
     item = "Today Mr O'Brien gave three pears to Jean-Luc and twenty-one plums to McDonald before noon"
     other = "Today Mr Smith gave 4 pears to Anna and nine plums to Lee before noon"
     assert found(item, other) == [0]
+
+
+def test_short_item_in_a_long_text(found):
+    before, behind = words(30), words(30, "x")
+    inside = " ".join([*before, "What is the capital of France?", *behind])
+    assert found("What is the capital of France?", inside, "What is the capital", "What is the capital of Spain?") == [0, 2]
+    assert found("What is the capital of France?", inside, broadcast_windows=0) == [0]
+    assert found("17 4", "a text with 23 8 in it", "a text with 17 4 in it", "23 8") == [1, 2]

@@ -3,7 +3,7 @@
 Numbers, names and units of a text become typed placeholders, so that a
 benchmark question with other numbers or names keeps its template. Windows of
 consecutive template words are joined by hash with those of the benchmark. A
-hit counts only if the slots agree: within one aligned stretch, a value of
+window counts only if its slots agree: within one aligned stretch, a value of
 the benchmark always stands for the same value of the document, and the other
 way round. Windows of plain words have no slots and must be the same words.
 """
@@ -261,7 +261,8 @@ def leaks(
     """``doc_id, k, item_id, share, n_windows``: which documents hold which items; ``k`` is the key of the document's text.
 
     ``n_windows`` is the number of different windows of an item that the document holds, over all alignments, and
-    ``share`` their share. An alignment whose slots disagree counts nothing. Pairs below ``min_share`` are left out unless one alignment
+    ``share`` their share. Of an alignment whose slots disagree, the windows with a value that stands for several others, or
+    for which several stand, are left out and the rest counts. Pairs below ``min_share`` are left out unless one alignment
     holds ``min_run`` template words in a row. Windows of nothing but slots begin no such run and, inside a longer
     document, are no short item, unless their values are the same. Items of fewer words than a window are one
     window of their length; empty and NULL texts match nothing. Repeated documents or items
@@ -293,7 +294,9 @@ def leaks(
     aligned = aligned.withColumn("pairs", F.array_distinct(F.flatten(F.transform("held", lambda x: x["pairs"]))))
     aligned = aligned.withColumn("bad_b", _twice(F.transform("pairs", lambda x: x["b"]))).withColumn(
         "bad_d", _twice(F.transform("pairs", lambda x: x["d"])))
-    aligned = aligned.filter((F.size("bad_b") == 0) & (F.size("bad_d") == 0)).withColumn("run", _longest_run(F.array_distinct(
+    agree = F.filter("held", lambda x: ~F.arrays_overlap(x["pairs"]["b"], F.col("bad_b")) &
+                     ~F.arrays_overlap(x["pairs"]["d"], F.col("bad_d")))
+    aligned = aligned.withColumn("held", agree).withColumn("run", _longest_run(F.array_distinct(
         F.transform(F.filter("held", lambda x: x["told"]), lambda x: x["pos"]))))
     found = aligned.select("doc_id", "k", "item_id", "item_k", "item_windows", "run", F.explode("held.pos").alias("pos")).groupBy(
         "doc_id", "k", "item_id", "item_k", "item_windows").agg(F.count_distinct("pos").alias("n_windows"), F.max("run").alias("run"))

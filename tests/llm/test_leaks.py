@@ -56,3 +56,9 @@ def test_short_item_in_a_long_text(found):
     assert found("What is the capital of France?", inside, "What is the capital", "What is the capital of Spain?") == [0, 2]
     assert found("What is the capital of France?", inside, broadcast_windows=0) == [0]
     assert found("17 4", "a text with 23 8 in it", "a text with 17 4 in it", "23 8") == [1, 2]
+
+
+def test_a_slot_that_disagrees_takes_its_windows_only(found):
+    item = " ".join(["5 km", *words(20), "5 wagons"])
+    assert found(item, item.replace("5 km", "6 km")) == [0]
+    assert found(" ".join(["3 km", *words(20), "5 wagons"]), " ".join(["4 km", *words(20), "4 wagons"])) == [0]

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.llm.common import mix, small_batches, text_key
@@ -217,13 +217,16 @@ def windows(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
         only = spread.value if spread is not None else None
+        if only is not None:  # few hashes pass the first look, by their last bits
+            seen = np.zeros(1 << 22, bool)
+            seen[only & (len(seen) - 1)] = True
         for batch in batches:
             made = Templates(batch.column("text").to_pylist(), known)
             for at, length, reading, hashes in made.windows(size, shorter):
                 if only is not None:
-                    hit = np.zeros(len(at), bool)
-                    if len(only):
-                        hit = only[np.minimum(np.searchsorted(only, hashes), len(only) - 1)] == hashes
+                    hit = np.flatnonzero(seen[hashes & (len(seen) - 1)])
+                    if len(hit):
+                        hit = hit[only[np.minimum(np.searchsorted(only, hashes[hit]), len(only) - 1)] == hashes[hit]]
                     at, hashes = at[hit], hashes[hit]
                 if not len(at):
                     continue
@@ -237,21 +240,37 @@ def windows(
     return df.select(*key, "text").mapInArrow(cut, schema)
 
 
-def _twice(values: Column) -> Column:
-    """Values that an array holds more than once."""
-    in_order = F.array_sort(values)
-    return F.array_distinct(F.filter(in_order, lambda x, i: (i > 0) & (F.get(in_order, i - 1) == x)))
+def agreeing(aligned: DataFrame) -> DataFrame:
+    """Column ``held`` of alignments becomes ``run, places``: what is left without the windows whose slots disagree.
 
+    ``run`` is the longest run of windows that are ``told``. Work is linear in the slots of an alignment.
+    """
+    keys = [c for c in aligned.columns if c != "held"]
 
-def _longest_run(places: Column) -> Column:
-    """Length of the longest run of consecutive numbers in an array of distinct ones."""
-    step = F.aggregate(
-        F.array_sort(places),
-        F.struct(F.lit(-2).cast("bigint").alias("last"), F.lit(0).alias("now"), F.lit(0).alias("best")),
-        lambda a, x: F.struct(
-            x.alias("last"), F.when(x == a["last"] + 1, a["now"] + 1).otherwise(1).alias("now"),
-            F.greatest(a["best"], F.when(x == a["last"] + 1, a["now"] + 1).otherwise(1)).alias("best")))
-    return step["best"]
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs, places = [], []
+            for held in batch.column("held").to_pylist():
+                stands: tuple[dict, dict] = ({}, {})  # values on either side, with all that they stand for
+                for x in held:
+                    for pair in x["pairs"]:
+                        stands[0].setdefault(pair["b"], set()).add(pair["d"])
+                        stands[1].setdefault(pair["d"], set()).add(pair["b"])
+                good = [x for x in held if all(
+                    len(stands[0][p["b"]]) == 1 and len(stands[1][p["d"]]) == 1 for p in x["pairs"])]
+                run = best = 0
+                last = -2
+                for pos in sorted({x["pos"] for x in good if x["told"]}):
+                    run = run + 1 if pos == last + 1 else 1
+                    last, best = pos, max(best, run)
+                runs.append(best)
+                places.append(sorted({x["pos"] for x in good}))
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(k) for k in keys], pa.array(runs, pa.int64()), pa.array(places, pa.list_(pa.int64()))],
+                [*keys, "run", "places"])
+
+    schema = ", ".join(f"{k} {aligned.schema[k].dataType.simpleString()}" for k in keys)
+    return aligned.mapInArrow(check, f"{schema}, run bigint, places array<bigint>")
 
 
 def leaks(
@@ -290,15 +309,8 @@ def leaks(
     aligned = joined.groupBy(
         "doc_id", "k", "item_id", "item_k", "item_windows", (F.col("doc_pos") - F.col("pos")).alias("shift"),
     ).agg(F.collect_set(F.struct("pos", told.alias("told"), pairs.alias("pairs"))).alias("held"))  # bounded by the windows of an item
-    # Values on either side that stand for more than one of the other.
-    aligned = aligned.withColumn("pairs", F.array_distinct(F.flatten(F.transform("held", lambda x: x["pairs"]))))
-    aligned = aligned.withColumn("bad_b", _twice(F.transform("pairs", lambda x: x["b"]))).withColumn(
-        "bad_d", _twice(F.transform("pairs", lambda x: x["d"])))
-    agree = F.filter("held", lambda x: ~F.arrays_overlap(x["pairs"]["b"], F.col("bad_b")) &
-                     ~F.arrays_overlap(x["pairs"]["d"], F.col("bad_d")))
-    aligned = aligned.withColumn("held", agree).withColumn("run", _longest_run(F.array_distinct(
-        F.transform(F.filter("held", lambda x: x["told"]), lambda x: x["pos"]))))
-    found = aligned.select("doc_id", "k", "item_id", "item_k", "item_windows", "run", F.explode("held.pos").alias("pos")).groupBy(
+    aligned = agreeing(aligned.drop("shift"))
+    found = aligned.select("doc_id", "k", "item_id", "item_k", "item_windows", "run", F.explode("places").alias("pos")).groupBy(
         "doc_id", "k", "item_id", "item_k", "item_windows").agg(F.count_distinct("pos").alias("n_windows"), F.max("run").alias("run"))
     found = found.withColumn("share", F.col("n_windows") / F.col("item_windows"))
     return found.filter((F.col("share") >= min_share) | (F.col("run") + (size - 1) >= min_run)).groupBy("doc_id", "k", "item_id").agg(

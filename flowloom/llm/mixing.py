@@ -106,6 +106,18 @@ def uniform(key: Column, seed: str) -> Column:
     return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / float(16**12)
 
 
+def cuts(known: DataFrame) -> DataFrame:
+    """``source, bucket, before``: the part of the order in which a source's rest runs out, the only one to be sorted.
+
+    Documents with certain copies only have no place in the order; a source of nothing else has no cut.
+    """
+    # words per part of the order
+    parts = known.filter("odds_left > 0").groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.max("rest").alias("rest"))
+    up = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("before", F.coalesce(F.sum("words").over(up), F.lit(0)))
+    return parts.filter("before <= rest and before + words > rest").select("source", "bucket", "before")
+
+
 def mix_sources(
     docs: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES, seed: str = SEED, buckets: int = BUCKETS,
 ) -> DataFrame:
@@ -129,18 +141,14 @@ def mix_sources(
     ).select("s.doc_id", "s.source", "s.size", "s.tie", "c.target", "c.copies", "c.odds_left", "c.rest")
     known = known.withColumn("q", pareto_place(uniform(F.col("doc_id").cast("string"), seed), F.col("odds_left")))
     known = known.withColumn("bucket", F.least(F.floor(F.col("q") * buckets), F.lit(buckets - 1)).cast("int"))
-    # words per part of the order; the part in which the source's rest runs out is the only one to be sorted
-    parts = known.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.max("rest").alias("rest"))
-    up = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("before", F.coalesce(F.sum("words").over(up), F.lit(0)))
-    cut = parts.filter("before <= rest and before + words > rest").select("source", "bucket", "before")
+    cut = cuts(known)
     cut = materialise(cut, "mix-cuts")  # one row per source
     known = known.alias("k").join(cut.alias("c"), F.col("k.source").eqNullSafe(F.col("c.source")), "left").select(
         "k.*", F.col("c.bucket").alias("cut"), "before")
-    sure = known.filter("cut is null or bucket != cut").withColumn(
+    sure = known.filter("odds_left <= 0 or cut is null or bucket != cut").withColumn(
         "more", (F.col("cut").isNull() & (F.col("rest") > 0)) | (F.coalesce(F.col("bucket") < F.col("cut"), F.lit(False))))
     order = Window.partitionBy("source").orderBy("q", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    at_cut = known.filter("bucket = cut").withColumn(
+    at_cut = known.filter("odds_left > 0 and bucket = cut").withColumn(
         "so_far", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0))
     ).withColumn("more", F.col("so_far") + F.col("size") / 2.0 <= F.col("rest")).drop("so_far")
     taken = sure.unionByName(at_cut).withColumn(

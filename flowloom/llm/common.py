@@ -45,6 +45,11 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
+def text_digest(text: Column) -> Column:
+    """32 bytes that stand for a text."""
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
+
 # ---- words of many texts at once ----------------------------------------------------------------
 
 _SPACE = np.zeros(256, bool)

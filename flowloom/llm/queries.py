@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.llm import (
+    alignment,
     decontaminate,
     exact_dedup,
     jaccard_join,
@@ -17,6 +18,7 @@ from flowloom.llm import (
     mixing,
     quality,
     suffix_dedup,
+    token_counts,
     url_filter,
 )
 from flowloom.llm.common import table
@@ -203,6 +205,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, *language.fit(docs))
 
 
+def op11_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokens(table(spark, sf_dir, "documents"))
+
+
+def op12_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_exact_dedup": op2_exact_dedup,
@@ -214,6 +224,8 @@ QUERIES: dict[str, Query] = {
     "op8_url_filter": op8_url_filter,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_language_id": op10_language_id,
+    "op11_align_tokens": op11_align_tokens,
+    "op12_count_tokens": op12_count_tokens,
 }
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": OP2_SQL,

@@ -11,6 +11,7 @@ from flowloom.llm import (
     alignment,
     decontaminate,
     exact_dedup,
+    hard_negatives,
     jaccard_join,
     language,
     licences,
@@ -213,6 +214,31 @@ def op12_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+OP13_SQL = """
+with r as (
+  select vec_id, (case when vec_id % 7 = 0 then (label::bigint + 1) % 10 else label end)::bigint as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)) as q
+  from embeddings
+  where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.vec_id as anchor_id, r.vec_id, r.label = a.label as same, list_inner_product(a.q, r.q)::bigint as score
+  from r as a join r on a.vec_id <> r.vec_id where a.vec_id % 100 = 0),
+p as (
+  select anchor_id, vec_id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, (row_number() over w)::int as rank, vec_id as negative_id, positive_score,
+       score as negative_score
+from p join s using (anchor_id)
+where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+window w as (partition by anchor_id, positive_id order by score desc, vec_id)
+qualify row_number() over w <= 10
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_exact_dedup": op2_exact_dedup,
@@ -226,6 +252,7 @@ QUERIES: dict[str, Query] = {
     "op10_language_id": op10_language_id,
     "op11_align_tokens": op11_align_tokens,
     "op12_count_tokens": op12_count_tokens,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": OP2_SQL,
@@ -233,4 +260,5 @@ ORACLES: dict[str, str] = {
     "op6_license_scan": _op6_sql(),
     "op7_mix_sources": OP7_SQL,
     "op8_url_filter": OP8_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }

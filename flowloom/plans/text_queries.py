@@ -15,6 +15,7 @@ from flowloom.plans.sampling_queries import SPLIT_CTE, WITH, clean_flows
 
 from flowloom.session import new_folder
 from flowloom.sources import tables as IO
+from flowloom.sources.delimited import first_rows
 
 
 def _num(c: str) -> str:
@@ -206,6 +207,51 @@ def a01(spark, sf_dir):
         F.count_distinct("label").alias("n_labels"))
 
 
+@query("a01_unlike_files", FLOWS)
+def a01_unlike(spark, sf_dir):
+    """Three kinds of files in one folder: another order of columns, another separator, one column more."""
+    from pyspark.sql import types as T
+
+    from flowloom.plans.fixtures import flows
+
+    folder = new_folder(spark, "unlike")
+    rows = flows(spark, sf_dir).withColumn("kind", F.pmod(F.xxhash64("flow_id"), F.lit(3)))
+    names = ["flow_id", *S.FLOW_COLUMNS]
+    kinds = [(names, ","), (names[::-1], ";"), ([*names[20:], "kind", *names[:20]], "\t")]
+    for kind, (columns, sep) in enumerate(kinds):
+        rows.filter(F.col("kind") == kind).select(*(F.col(S.q(c)) for c in columns)).write.mode("append").options(
+            header=True, sep=sep, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(folder)
+    schema = T.StructType([T.StructField("flow_id", T.StringType()), *S.FLOW_SCHEMA.fields])
+    return IO.read_flow_csv(spark, folder, schema)
+
+
+def event_files(spark, sf_dir):
+    """The events in 30 files, in order, read back with their position."""
+    folder = new_folder(spark, "ordered")
+    events = read(spark, sf_dir, "events").select("event_id", "event_type")
+    events.repartitionByRange(30, "event_id").sortWithinPartitions("event_id").write.option("header", True).csv(folder)
+    return IO.read_flow_csv(spark, folder, events.schema, position=True)
+
+
+@query("k06_file_order", """select event_id, event_type, row_number() over (order by event_id) - 1 as position from events""")
+def k06(spark, sf_dir):
+    return event_files(spark, sf_dir)
+
+
+@query("s13_head_of_files", "select event_id, event_type from events order by event_id limit (select count(*) // 12 from events)")
+def s13_files(spark, sf_dir):
+    rows = event_files(spark, sf_dir)
+    return first_rows(rows, rows.count() // 12).select("event_id", "event_type")
+
+
+@query("s15_first_come_of_files", """with e as (select event_id, event_type, row_number() over (partition by event_type
+  order by event_id) as rn from events) select event_id, event_type from e
+  where rn <= (select count(*) // 12 from events)""")
+def s15_files(spark, sf_dir):
+    rows = event_files(spark, sf_dir)
+    return SP.cap_first_come(rows, "position", rows.count() // 12, by="event_type").select("event_id", "event_type")
+
+
 @query("a02_sniff_sep", WITH + "select ';' as sep, count(*) as n, count(distinct label) as n_labels from f")
 def a02(spark, sf_dir):
     folder = new_folder(spark, "semicolon")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,62 +10,35 @@ from pyspark.sql.utils import AnalysisException
 from flowloom import schemas as S
 from flowloom.operators.bounded import bounded_rows, small_side
 from flowloom.operators.columns import require_columns
-
-SEPARATORS = [",", ";", "\t", "|", " "]
-BAD = "_corrupt_record"
-
+from flowloom.sources.delimited import SEPARATORS, files_of, head_of, layout_of, literal, read_files, with_position
 
 # ---- delimited files -------------------------------------------------------------------------
 
 
 def sniff_separator(spark: SparkSession, path: str) -> str:
-    """Comma if the header has one, else the separator that splits the header into most columns."""
-    first = spark.read.text(path).first()
-    if first is None:
-        return SEPARATORS[0]
-    counts = {s: first[0].count(s) for s in SEPARATORS}
-    if counts[","]:
-        return ","
-    best = max(SEPARATORS, key=lambda s: counts[s])
-    return best if counts[best] else ","
-
-
-def header_of(spark: SparkSession, path: str, sep: str) -> list[str]:
-    first = spark.read.text(path).first()
-    return [c.strip().strip('"') for c in first[0].split(sep)] if first else []
-
+    """The separator of the first file, by name, that has a line."""
+    for file in files_of(spark, path):
+        layout = layout_of(head_of(spark, file))
+        if layout is not None:
+            return layout.sep
+    return SEPARATORS[0]
 
-def field_count(line: Column, sep: str) -> Column:
-    """Number of fields of a line; separators inside double quotes do not count."""
-    unquoted = F.regexp_replace(line, '"(?:[^"]|"")*"', "")
-    return F.length(unquoted) - F.length(F.regexp_replace(unquoted, re.escape(sep), "")) + 1
 
+def read_delimited(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, sep: str | None = None, position: bool = False,
+) -> DataFrame:
+    """Delimited files, each by its own header and, without ``sep``, its own separator; see ``delimited.read_files``."""
+    rows = read_files(spark, path, schema, sep, where=position)
+    return with_position(rows) if position else rows
 
-def read_delimited(spark: SparkSession, path: str, schema: T.StructType | None = None, sep: str | None = None) -> DataFrame:
-    """Delimited files with a header: short rows are padded with NULL, rows with too many fields are dropped.
 
-    The permissive reader hands over every line that does not fit; only those
-    with too many fields go.
-    """
-    sep = sniff_separator(spark, path) if sep is None else sep
-    if schema is None:
-        schema = T.StructType([
-            T.StructField(c, T.StringType() if c == S.LABEL else T.DoubleType()) for c in header_of(spark, path, sep)
-        ])
-    names = schema.fieldNames()
-    reader = spark.read.schema(T.StructType([*schema.fields, T.StructField(BAD, T.StringType())]))
-    rows = reader.options(
-        header=True, sep=sep, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD, enforceSchema=True,
-    ).csv(path)
-    fits = F.col(BAD).isNull() | (field_count(F.col(BAD), sep) <= len(names))
-    return rows.filter(fits).drop(BAD)
-
-
-def read_flow_csv(spark: SparkSession, folder: str, schema: T.StructType | None = S.FLOW_SCHEMA) -> DataFrame:
-    """All ``part-*.csv`` files of a folder; fails when there are none."""
-    path = f"{folder.rstrip('/')}/part-*.csv"
+def read_flow_csv(
+    spark: SparkSession, folder: str, schema: T.StructType | None = S.FLOW_SCHEMA, position: bool = False,
+) -> DataFrame:
+    """All ``part-*.csv`` files of a folder; fails when there are none. ``position`` numbers the rows in file order."""
+    path = f"{literal(folder.rstrip('/'))}/part-*.csv"
     try:
-        return read_delimited(spark, path, schema)
+        return read_delimited(spark, path, schema, position=position)
     except AnalysisException as e:
         raise FileNotFoundError(f"no part-*.csv in {folder}") from e
 

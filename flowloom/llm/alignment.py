@@ -23,7 +23,7 @@ from flowloom.llm import subwords
 from flowloom.llm.common import small_batches, text_digest
 from flowloom.session import materialise
 
-PART_BYTES = 16 << 20   # texts of one part; a longer text is a part of its own
+PART_BYTES = 8 << 20    # texts of one part; a longer text is a part of its own
 HOT_SHARE = 1_000       # texts that make up more than one in HOT_SHARE of all rows are joined by broadcast
 
 _SEPARATORS = np.frombuffer(b",|;", np.uint8)

@@ -19,7 +19,7 @@ from flowloom import schemas as S
 from flowloom.functions import packets as P
 from flowloom.functions.formatting import py_repr
 from flowloom.functions.labels import run_label
-from flowloom.operators.running import BLOCK, DEFAULT_BLOCK_ROWS, Blocks, Run, cut_blocks, running
+from flowloom.operators.running import BLOCK, DEFAULT_BLOCK_ROWS, Blocks, Level, Run, cut_blocks, running, running_levels
 
 CAPTURE, POSITION = "capture_id", "packet_no"
 WINDOW_FRAMES = 20  # fixed value: frames per statistics window
@@ -52,9 +52,12 @@ def capture_runs() -> list[Run]:
 
 def capture_times(blocks: Blocks, carry: DataFrame | None = None) -> Blocks:
     """``iat_us`` since the previous frame and ``cumulative_us`` since the first one."""
-    out = running(blocks, [CAPTURE], capture_runs(), carry)
+    return _times(running(blocks, [CAPTURE], capture_runs(), carry))
+
+
+def _times(blocks: Blocks) -> Blocks:
     return _with(
-        out,
+        blocks,
         iat_us=F.coalesce(F.col("ts_us") - F.col("_prev_ts"), F.lit(0)),
         cumulative_us=F.col("ts_us") - F.col("_first_ts"),
     )
@@ -124,10 +127,13 @@ def _own(prefix: str) -> Column:
 
 def flow_runs(blocks: Blocks, carry: DataFrame | None = None) -> Blocks:
     """``flow_packets, flow_bytes, flow_us, tcp_packets`` of the row's flow; 0 outside TCP and UDP."""
-    out = running(_with(blocks, flow=P.endpoints()), [CAPTURE, FLOW], flow_state_runs(), carry)
+    return _flow_values(running(_with(blocks, flow=P.endpoints()), [CAPTURE, FLOW], flow_state_runs(), carry))
+
+
+def _flow_values(blocks: Blocks) -> Blocks:
     has_flow = F.col(FLOW).isNotNull()
     return _with(
-        out,
+        blocks,
         flow_packets=F.when(has_flow, _own("_n")).otherwise(F.lit(0)).cast("bigint"),
         flow_bytes=F.when(has_flow, _own("_bytes")).otherwise(F.lit(0)).cast("bigint"),
         flow_lo_us=F.when(has_flow, _own("_lo")),
@@ -157,18 +163,24 @@ def directions(blocks: Blocks, mode: str = "compat") -> Blocks:
             dst_to_src_pkt=F.when(back, F.col("flow_packets")).otherwise(F.lit(0)),
             dst_to_src_byte=F.when(back, F.col("flow_bytes")).otherwise(F.lit(0)),
         )
+    return _strict_directions(running(blocks, [CAPTURE, FLOW, "ip_proto"], direction_runs()))
+
+
+def direction_runs() -> list[Run]:
     src = F.struct(F.col("src_ip").alias("ip"), F.col("src_port").cast("int").alias("port"))
     forward = F.coalesce(src == F.col("flow.a"), F.lit(False))
     size = F.col("frame_len").cast("bigint")
-    runs = [
+    return [
         Run("src_to_dst_pkt", "sum", F.when(forward, F.lit(1)).otherwise(F.lit(0))),
         Run("src_to_dst_byte", "sum", F.when(forward, size).otherwise(F.lit(0))),
         Run("dst_to_src_pkt", "sum", F.when(forward, F.lit(0)).otherwise(F.lit(1))),
         Run("dst_to_src_byte", "sum", F.when(forward, F.lit(0)).otherwise(size)),
     ]
-    out = running(blocks, [CAPTURE, FLOW, "ip_proto"], runs)
+
+
+def _strict_directions(blocks: Blocks) -> Blocks:
     has_flow = F.col(FLOW).isNotNull()
-    return _with(out, **{r.name: F.when(has_flow, F.col(r.name)).otherwise(F.lit(0)) for r in runs})
+    return _with(blocks, **{r.name: F.when(has_flow, F.col(r.name)).otherwise(F.lit(0)) for r in direction_runs()})
 
 
 def rates(blocks: Blocks) -> Blocks:
@@ -416,11 +428,16 @@ def packet_features(
 ) -> DataFrame:
     """The 49-column feature table, one row per kept frame, plus ``capture_id`` and ``packet_no``.
 
-    The label is one constant for the run, or ``labels(capture_id, label)``.
+    The label is one constant for the run, or ``labels(capture_id, label)``. One exchange when no capture passes a block; else
+    four over two scans: rows with their starting values, partials, prefixes, and windows of 20 frames that straddle blocks.
     """
-    blocks = capture_times(blocks_of(packets, block_rows))
-    blocks = rates(directions(flow_runs(window_statistics(blocks)), mode))
-    df = blocks.df
+    levels = [Level((), capture_runs()), Level((FLOW,), flow_state_runs())]
+    if mode == "strict":
+        levels.append(Level((FLOW, "ip_proto"), direction_runs()))
+    blocks = running_levels(_with(blocks_of(packets, block_rows), flow=P.endpoints()), levels)
+    blocks = _flow_values(_times(blocks))
+    blocks = _strict_directions(blocks) if mode == "strict" else directions(blocks)
+    df = window_statistics(rates(blocks)).df
     flags = {f: P.tcp_flag(f) for f in S.TCP_FLAG_BITS}
     cumulative = seconds(F.col("cumulative_us"))
     left = seconds(F.col("cumulative_us")) - seconds(F.col("flow_us"))

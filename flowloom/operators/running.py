@@ -13,6 +13,9 @@ of all packets), so the running value is computed in two levels instead:
 The two parts are put together by a join on (group, block). When no group
 reaches past one block, which one cheap aggregate over two columns finds out,
 step 2 and the join are left out of the plan.
+
+Several levels of groups (captures, flows inside them) share one carry table,
+built in one more pass over the bare source: see :func:`running_levels`.
 """
 
 from __future__ import annotations
@@ -132,3 +135,75 @@ def running(blocks: Blocks, by: list[str], runs: list[Run], carry: DataFrame | N
             {r.name: _combine(r, F.col(r.name), F.col(f"_before_{r.name}")) for r in runs}
         ).drop(*[f"_before_{r.name}" for r in runs])
     return Blocks(df, blocks.scope, blocks.order, blocks.multi)
+
+
+@dataclass(frozen=True)
+class Level:
+    """Runs over one kind of group: the scope of the blocks and the columns ``by``."""
+
+    by: tuple[str, ...]
+    runs: list[Run]
+
+
+_LEVEL = "_level"
+
+
+def level_carries(blocks: Blocks, levels: list[Level]) -> DataFrame:
+    """One table of starting values for all levels: ``scope, by..., _block, _level, _before_<run>...``.
+
+    Every source row counts once per level in one map-side aggregate, so that all levels cost one pass, one exchange of
+    partials and one of their prefix sums. A row whose ``by`` holds a NULL belongs to no group of that level.
+    """
+    names = list(dict.fromkeys(c for lv in levels for c in lv.by))
+    level = F.col(_LEVEL)
+    rows = blocks.df.withColumn(_LEVEL, F.explode(F.array(*[F.lit(i) for i in range(len(levels))])))
+    known = F.lit(False)
+    for i, lv in enumerate(levels):
+        whole = F.lit(True)
+        for c in lv.by:
+            whole = whole & F.col(c).isNotNull()
+        known = known | ((level == i) & whole)
+
+    def member(c: str) -> Column:
+        return level.isin([i for i, lv in enumerate(levels) if c in lv.by])
+
+    # Keys of their own: the runs may read the columns that other levels group by.
+    rows = rows.filter(known).withColumns({f"_key_{c}": F.when(member(c), F.col(c)) for c in names})
+    keys = [*blocks.scope, *[f"_key_{c}" for c in names], _LEVEL]
+    runs = [
+        Run(r.name, r.fn, F.when(level == i, r.value if r.value is not None else F.lit(1)))
+        for i, lv in enumerate(levels) for r in lv.runs]
+    part = partials(rows, [*keys, BLOCK], runs, blocks.order)
+    return carries(part, keys, runs).withColumnsRenamed({f"_key_{c}": c for c in names})
+
+
+def running_levels(blocks: Blocks, levels: list[Level]) -> Blocks:
+    """:func:`running` for several levels at once.
+
+    With several blocks, the starting values join the rows as rows of their own, in front of the block's: one exchange on (scope,
+    block) takes both, and the windows of all levels are sorts inside it. A block gets at most one such row per group that occurs in
+    it. Run names must differ.
+    """
+    if not blocks.multi:
+        for lv in levels:
+            blocks = running(blocks, [*blocks.scope, *lv.by], lv.runs)
+        return blocks
+    carry = level_carries(blocks, levels)
+    befores = {f"_before_{r.name}": carry.schema[f"_before_{r.name}"].dataType for lv in levels for r in lv.runs}
+    own = blocks.df.select("*", F.lit(None).cast("int").alias(_LEVEL), *[F.lit(None).cast(t).alias(c) for c, t in befores.items()])
+    rows = own.unionByName(carry, allowMissingColumns=True).repartition(*blocks.scope, BLOCK)
+    level, is_row = F.col(_LEVEL), F.col(_LEVEL).isNull()
+    for i, lv in enumerate(levels):
+        foreign = level.isNotNull() & (level != i)
+        ordered = Window.partitionBy(*blocks.scope, BLOCK, *lv.by, F.coalesce(foreign, F.lit(False))).orderBy(is_row, blocks.order)
+        upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        columns = {}
+        for r in lv.runs:
+            counted = F.when(r.value.isNotNull(), F.lit(1)) if r.value is not None else F.lit(1)
+            value = F.when(is_row, counted if r.fn == "count" else r.value).otherwise(F.col(f"_before_{r.name}"))
+            if r.fn == "count":
+                columns[r.name] = F.coalesce(F.sum(value).over(upto), F.lit(0)).cast("bigint")
+            else:
+                columns[r.name] = _local(Run(r.name, r.fn, value), ordered, upto)
+        rows = rows.withColumns(columns)
+    return Blocks(rows.filter(is_row).drop(_LEVEL, *befores), blocks.scope, blocks.order, blocks.multi)

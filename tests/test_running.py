@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowloom.operators import packets as W
-from flowloom.operators.running import Run, cut_blocks, running
+from flowloom.operators.running import Level, Run, cut_blocks, running, running_levels
 
 
 def hot_packets(make_packets, n=240):
@@ -97,3 +97,54 @@ def test_no_partials_when_groups_fit_one_block(spark):
     assert blocks.multi
     out = running(blocks, ["g"], [Run("n", "count"), Run("s", "sum", F.col("p")), Run("f", "first", F.col("p"))]).df
     assert [(r.n, r.s, r.f) for r in out.orderBy("p").collect()] == [(i + 1, i * (i + 1) // 2, 0) for i in range(100)]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("mode", ["compat", "strict"])
+def test_all_levels_share_one_carry_table(spark, make_packets, tmp_path, mode):
+    path = str(tmp_path / "packets")
+    hot_packets(make_packets).write.parquet(path)
+    df = spark.read.parquet(path)
+    plan = plan_of(W.packet_features(df, block_rows=100, mode=mode))
+    assert plan.count("Exchange") <= 4 and plan.count("Scan parquet") <= 2 and "Join" not in plan
+    assert plan_of(W.packet_features(df, mode=mode)).count("Exchange") == 1
+
+
+@pytest.mark.parametrize("mode", ["compat", "strict"])
+def test_features_do_not_depend_on_blocks(make_packets, mode):
+    df = hot_packets(make_packets)
+    one = {r["packet_no"]: r for r in W.packet_features(df, mode=mode).collect()}
+    for block_rows in (1, 7, 100):
+        many = {r["packet_no"]: r for r in W.packet_features(df, block_rows=block_rows, mode=mode).collect()}
+        assert many.keys() == one.keys()
+        for k, r in one.items():
+            assert all(a == b or a == pytest.approx(b) for a, b in zip(r, many[k]) if not isinstance(a, str))
+
+
+def test_levels_against_a_plain_loop(spark):
+    rng = random.Random(9)
+    rows = [(f"g{rng.randrange(2)}", i, rng.choice(["a", "b", None]), rng.choice([None, rng.randrange(50)])) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, i bigint, k string, v bigint")
+    fns = ("count", "sum", "min", "max", "first", "prev")
+    levels = [
+        Level((), [Run(f"all_{f}", f, F.col("v")) for f in fns]),
+        Level(("k",), [Run(f"own_{f}", f, F.col("v")) for f in fns] + [Run("own_n", "count")])]
+    for block_rows in (1, 13, 1000):
+        got = {r["i"]: r for r in running_levels(cut_blocks(df, ["g"], "i", block_rows), levels).df.collect()}
+        held = {}
+        for g, i, k, v in rows:
+            for prefix, key in (("all", (g,)), ("own", (g, k))):
+                if prefix == "own" and k is None:
+                    continue
+                old = held.setdefault((prefix, key), [])
+                r = got[i]
+                assert r[f"{prefix}_prev"] == (old[-1] if old else None)
+                old.append(v)
+                some = [x for x in old if x is not None]
+                want = (len(some), sum(some) if some else None, min(some, default=None), max(some, default=None), old[0])
+                assert tuple(r[f"{prefix}_{f}"] for f in fns[:5]) == want
+                if prefix == "own":
+                    assert r["own_n"] == len(old)

@@ -186,14 +186,26 @@ class Forest:
 FORESTS = (Forest(100, 30), Forest(50, 10))
 FOLDS = 3
 SEED = 42
+# Forests learn from at most so many rows, in the class proportions and at least one of each class.
+MAX_FIT_ROWS = 20_000
+_ROWS_PER_TASK = 2_500
+
+
+def fit_sample(df: DataFrame, key: str, by: str = S.LABEL, max_fit_rows: int = MAX_FIT_ROWS, seed: int = SEED) -> DataFrame:
+    """The rows a forest learns from: all, or a stratified sample of about ``max_fit_rows`` by a threshold on the hash of ``key``."""
+    return SP.stratified_sample(df.filter(F.col(by).isNotNull()), key, max_fit_rows, by, seed)
 
 
 def rf_importance(
     df: DataFrame, columns: list[str], key: str, by: str = S.LABEL, forests: tuple[Forest, ...] = FORESTS,
-    folds: int = FOLDS, seed: int = SEED,
+    folds: int = FOLDS, seed: int = SEED, max_fit_rows: int = MAX_FIT_ROWS,
 ) -> dict[str, float]:
-    """Mean feature importance of the forests over stratified folds, classes weighted evenly."""
-    folded = SP.stratified_folds(df.select(key, by, *[q(c) for c in columns]), key, folds, by, seed)
+    """Mean feature importance of the forests over stratified folds, classes weighted evenly.
+
+    Learnt from at most about ``max_fit_rows`` rows, see :func:`fit_sample`; the scores that choose the columns come from all rows.
+    """
+    sample = materialise(fit_sample(df.select(key, by, *[q(c) for c in columns]), key, by, max_fit_rows, seed), "fit-sample")
+    folded = SP.stratified_folds(sample, key, folds, by, seed)
     safe = [f"f{i}" for i in range(len(columns))]
     plain = folded.select(
         F.col(by).cast("string").alias("_class"), "fold",
@@ -201,33 +213,31 @@ def rf_importance(
     )
     indexed = StringIndexer(inputCol="_class", outputCol="label", stringOrderType="alphabetAsc").fit(plain).transform(plain)
     vectors = VectorAssembler(inputCols=safe, outputCol="features").transform(indexed).select("_class", "label", "features", "fold")
-    table = vectors.persist()
-    try:
-        sizes = {(r["fold"], r["_class"]): r["n"] for r in table.groupBy("fold", "_class").agg(
-            F.count(F.lit(1)).alias("n")).collect()}  # folds x classes
-        total = [0.0] * len(columns)
-        for fold in range(folds):
-            counts: dict[str, int] = {}
-            for (f, c), n in sizes.items():
-                if f != fold:
-                    counts[c] = counts.get(c, 0) + n
-            if not counts:
-                continue
-            n = sum(counts.values())
-            weight = F.lit(0.0)
-            for c, have in counts.items():
-                weight = F.when(F.col("_class") == c, F.lit(n / (len(counts) * have))).otherwise(weight)
-            train = table.filter(F.col("fold") != fold).withColumn("weight", weight)
-            for i, spec in enumerate(forests):
-                model = RandomForestClassifier(
-                    numTrees=spec.trees, maxDepth=spec.depth, seed=seed + i, weightCol="weight",
-                    featureSubsetStrategy="sqrt",
-                ).fit(train)
-                for j, v in enumerate(model.featureImportances.toArray()):
-                    total[j] += float(v)
-        return {c: v / (folds * len(forests)) for c, v in zip(columns, total)}
-    finally:
-        table.unpersist()
+    # Deep trees visit their rows hundreds of times: written down once, in tasks that are worth their start.
+    table = materialise(vectors.coalesce(-(-max_fit_rows // _ROWS_PER_TASK)), "forest-rows")
+    sizes = {(r["fold"], r["_class"]): r["n"] for r in table.groupBy("fold", "_class").agg(
+        F.count(F.lit(1)).alias("n")).collect()}  # folds x classes
+    total = [0.0] * len(columns)
+    for fold in range(folds):
+        counts: dict[str, int] = {}
+        for (f, c), n in sizes.items():
+            if f != fold:
+                counts[c] = counts.get(c, 0) + n
+        if not counts:
+            continue
+        n = sum(counts.values())
+        weight = F.lit(0.0)
+        for c, have in counts.items():
+            weight = F.when(F.col("_class") == c, F.lit(n / (len(counts) * have))).otherwise(weight)
+        train = table.filter(F.col("fold") != fold).withColumn("weight", weight)
+        for i, spec in enumerate(forests):
+            model = RandomForestClassifier(
+                numTrees=spec.trees, maxDepth=spec.depth, seed=seed + i, weightCol="weight",
+                featureSubsetStrategy="sqrt",
+            ).fit(train)
+            for j, v in enumerate(model.featureImportances.toArray()):
+                total[j] += float(v)
+    return {c: v / (folds * len(forests)) for c, v in zip(columns, total)}
 
 
 def top_n(columns: list[str], importance: dict[str, float], n: int) -> list[str]:
@@ -273,6 +283,7 @@ class SelectionSettings:
     variance_threshold: float = VARIANCE_THRESHOLD
     seed: int = SEED
     forests: tuple[Forest, ...] = FORESTS
+    max_fit_rows: int = MAX_FIT_ROWS
 
     @classmethod
     def for_count(cls, n: int, **kw) -> SelectionSettings:
@@ -363,7 +374,8 @@ def fit_select(
     ready.score(varied)
     scores = union_cap(varied, ready.f, ready.mi, n)
     chosen = [s.feature for s in scores if s.selected]
-    importance = rf_importance(made.df, chosen, key, forests=settings.forests, seed=settings.seed)
+    importance = rf_importance(made.df, chosen, key, forests=settings.forests, seed=settings.seed,
+                               max_fit_rows=settings.max_fit_rows)
     final = complete_critical(top_n(chosen, importance, n), ready.names, n)
     if len(final) != n:
         raise ValueError(f"{n} features wanted, {len(final)} found")

@@ -10,10 +10,11 @@ from flowloom.functions import text as X
 from flowloom.operators import evaluation as EV
 from flowloom.operators import features as FE
 from flowloom.operators import packets as W
+from flowloom.operators import sampling as SP
 from flowloom.operators import scoring as SC
 from flowloom.operators import statistics as ST
 from flowloom.plans import sweep as SW
-from flowloom.plans.feature_queries import SMALL_FORESTS
+from flowloom.plans.feature_queries import FIT_ROWS
 from flowloom.plans.fixtures import PREDICTIONS, packets, predictions, read
 from flowloom.plans.packet_queries import WITH as PACKET_WITH
 from flowloom.plans.registry import query
@@ -235,8 +236,10 @@ def x02(spark, sf_dir):
 
 @query("x05_baseline_forest")
 def x05(spark, sf_dir):
-    df = FE.clean_impute(clean_flows(spark, sf_dir))
-    scored = SC.apply_baseline(SC.fit_baseline(df, S.FEATURES), df).select(F.col("label").alias("true"), F.col("predicted_class").alias("predicted"))
+    """Learnt on four fifths of every class, scored on the rest."""
+    df = SP.stratified_split(FE.clean_impute(clean_flows(spark, sf_dir)), "flow_id", test_share=0.2)
+    model = SC.fit_baseline(df.filter("split = 'train'"), S.FEATURES, "flow_id", max_fit_rows=FIT_ROWS)
+    scored = SC.apply_baseline(model, df.filter("split = 'test'")).select(F.col("label").alias("true"), F.col("predicted_class").alias("predicted"))
     return EV.confusion(EV.pair_counts(scored)).withColumnRenamed("true", "truth")
 
 
@@ -322,7 +325,7 @@ def q05(spark, sf_dir):
 def q01(spark, sf_dir):
     base = new_folder(spark, "sweep")
     status, used = SW.sweep(
-        clean_flows(spark, sf_dir), "flow_id", [6, 10], lambda n: f"{base}/n={n}", "lineitem", SMALL_FORESTS)
+        clean_flows(spark, sf_dir), "flow_id", [6, 10], lambda n: f"{base}/n={n}", "lineitem", max_fit_rows=FIT_ROWS)
     out = None
     for n in used:
         rows = IO.read_split(spark, f"{base}/n={n}").groupBy("split").agg(F.count(F.lit(1)).alias("n"))

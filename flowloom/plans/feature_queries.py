@@ -10,7 +10,7 @@ from flowloom.operators import columns as C
 from flowloom.operators import features as FE
 from flowloom.operators import selection as SEL
 from flowloom.operators import statistics as ST
-from flowloom.plans.fixtures import read
+from flowloom.plans.fixtures import FLOW_ID, ctes, read
 from flowloom.plans.registry import query
 from flowloom.plans.sampling_queries import WITH, clean_flows
 from flowloom.schemas import q, snake
@@ -312,10 +312,36 @@ def m05(spark, sf_dir):
     names = [f"e{i}" for i in range(len(df.select("embedding").first()[0]))]  # all vectors are equally long
     wide = df.select("vec_id", F.col("label").cast("string").alias("label"), *[
         F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(names)])
-    found = SEL.rf_importance(wide, names, "vec_id", forests=(SEL.Forest(20, 8), SEL.Forest(10, 5)))
+    found = SEL.rf_importance(wide, names, "vec_id")
     return spark.createDataFrame(list(found.items()), "feature string, importance double")
 
 
+# A feature that is the class, one that is the class in every second line of an order, one in every fourth, and two that know nothing.
+PLANTED = {
+    "whole": "{c}", "half": "case when l_linenumber % 2 = 1 then {c} else 0 end", "quarter": "case when l_linenumber % 4 = 1 then {c} else 0 end",
+    "noise": "l_suppkey % 13", "constant": "7"}
+_CLASS = "(l_partkey % 100) % 6"
+
+
+@query("m05_planted_ranks", ctes(p=f"select {_CLASS} as c, " + ", ".join(
+    f"{e.format(c=f'({_CLASS})')} as {n}" for n, e in PLANTED.items()) + " from lineitem",
+    long="select c, feature, x from p unpivot (x for feature in (whole, half, quarter, noise, constant))",
+    cells="select feature, c, count(*) as n, avg(x) as m, var_pop(x) as v from long group by 1, 2",
+    share="""select feature, coalesce(sum(n * v) / nullif(sum(n * v) + sum(n * (m - g) * (m - g)), 0), 1) as unexplained
+      from (select *, sum(n * m) over (partition by feature) / sum(n) over (partition by feature) as g from cells) group by 1""") +
+    "select feature, row_number() over (order by unexplained, feature desc) as place from share where feature in ('whole', 'half', 'quarter')")
+def m05_planted(spark, sf_dir):
+    """The forests rank features by how often they name the class: as the share of variance that classes explain does."""
+    rows = read(spark, sf_dir, "lineitem").selectExpr(
+        FLOW_ID.format(text="string") + " as flow_id", f"cast({_CLASS} as string) as label",
+        *[f"cast({e.format(c=f'({_CLASS})')} as double) as {n}" for n, e in PLANTED.items()])
+    found = SEL.rf_importance(rows, list(PLANTED), "flow_id", max_fit_rows=2_000)
+    if max(found["noise"], found["constant"]) >= found["quarter"]:
+        raise ValueError(f"features that know nothing rank above one that does: {found}")
+    best = sorted(("whole", "half", "quarter"), key=lambda c: -found[c])
+    return spark.createDataFrame([(c, i + 1) for i, c in enumerate(best)], "feature string, place bigint")
+
+
 @query("m06_top_n", WITH + VARIED + F_SCORES + f"""select row_number() over (order by f_score desc, pos desc) as place, fs.feature
   from fs join {POSITIONS} on p.feature = fs.feature qualify place <= 8""")
 def m06(spark, sf_dir):
@@ -350,12 +376,12 @@ def m08(spark, sf_dir):
     return df.select("flow_id", *[F.round(q(c), 6).alias(snake(c)) for c in S.SCALED_FEATURES])
 
 
-SMALL_FORESTS = (SEL.Forest(10, 6), SEL.Forest(5, 4))
+FIT_ROWS = 1_000  # rows the forests of these queries learn from; the scores before them and what follows cover the whole table
 
 
 @query("m09_fit_select")
 def m09(spark, sf_dir):
-    settings = SEL.SelectionSettings.for_count(8, forests=SMALL_FORESTS)
+    settings = SEL.SelectionSettings.for_count(8, max_fit_rows=FIT_ROWS)
     fitted = SEL.fit_select(clean_flows(spark, sf_dir), "flow_id", settings)
     return spark.createDataFrame(
         [(i + 1, c, fitted.importance.get(c, 0.0)) for i, c in enumerate(fitted.features)],
@@ -384,7 +410,7 @@ def m10(spark, sf_dir):
   from f group by 1""")
 def m11(spark, sf_dir):
     constant = clean_flows(spark, sf_dir).select("flow_id", "Drate", "LLC", "label")
-    out, fitted = SEL.select_or_original(constant, "flow_id", SEL.SelectionSettings.for_count(8, forests=SMALL_FORESTS))
+    out, fitted = SEL.select_or_original(constant, "flow_id", SEL.SelectionSettings.for_count(8, max_fit_rows=FIT_ROWS))
     if fitted is not None:
         raise ValueError("a table without variance cannot be fitted")
     return out.groupBy("label").agg(

@@ -183,3 +183,17 @@ def test_numeric_key_is_no_anomaly_column(spark):
     df = spark.sql("select id as k, double(id % 3) as `Header_Length`, double(id) as Rate, double(id % 5) as IAT, 'x' as label from range(20)")
     assert "k" not in FE.learn(df, "k").z
     assert list(FE.learn(df, "k").z) == ["Header_Length", "Rate", "IAT"]
+
+
+def test_forests_learn_from_a_bounded_stratified_sample(spark):
+    """A table ten times the bound: the sample keeps class shares and small classes, and the planted feature stays on top."""
+    df = spark.range(6_000).select(
+        F.col("id").cast("string").alias("key"), F.when(F.col("id") % 1_000 == 0, "rare").otherwise(F.when(F.col("id") % 3 == 0, "a").otherwise("b")).alias("label"))
+    df = df.withColumns({
+        "strong": F.when(F.col("label") == "a", 1.0).otherwise(0.0), "noise": (F.hash("key") % 100).cast("double")})
+    sample = SEL.fit_sample(df, "key", max_fit_rows=600)
+    counts = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("key").alias("n")).collect()}
+    assert counts.keys() == {"a", "b", "rare"} and 590 <= sum(counts.values()) <= 602 and abs(counts["b"] - 2 * counts["a"]) < 10
+    assert SEL.fit_sample(df, "key", max_fit_rows=10_000).count() == 6_000
+    found = SEL.rf_importance(df, ["noise", "strong"], "key", forests=(SEL.Forest(20, 5),), max_fit_rows=600)
+    assert found["strong"] > 2 * found["noise"]

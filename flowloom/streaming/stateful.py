@@ -5,9 +5,11 @@ key with ``applyInPandasWithState``; Spark stores it, versions it with the check
 and, where a watermark is set, expires it. Rows of a key must arrive in position
 order from one micro-batch to the next; inside a micro-batch they are sorted.
 
-A micro-batch holds the rows of one key in one task, so its size must be bounded
-at the source: set ``maxFilesPerTrigger`` (or the like of the source) on the
-stream. Results do not depend on how the stream is cut into micro-batches.
+Captures and classes can be arbitrarily large, so their operators have two levels, see :func:`in_blocks`: rows are grouped by
+(key, block of positions), and what a block has to know of the rows before it comes from a second keyed state that sees
+one small row per block. A task never holds more than one block of a key. Flows are the key of their operator themselves; for them a
+micro-batch must be bounded at the source: set ``maxFilesPerTrigger`` (or the like). Results do not depend on how the stream is cut
+into micro-batches.
 """
 
 from __future__ import annotations
@@ -133,40 +135,127 @@ def flow_features(
     return _start(df.select(W.CAPTURE, W.POSITION, *shown).unionByName(others), folder, "flow_features")
 
 
+# ---- keys of any size ----------------------------------------------------------------------------
+
+BLOCK, BLOCK_ROWS = "_block", 100_000
+_N, _FIRST, _TAIL, _CARRY = "_n", "_first", "_tail", "_carry"
+
+
+def _summaries(keys: list[str], position: str, value: str | None, tail: int) -> Callable:
+    """Per task and (key, block): how many rows, the first value, and the last ``tail`` values, with their positions."""
+    by = [*keys, BLOCK]
+
+    def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, list] = {}
+        for rows in batches:
+            for key, own in rows.groupby(by, dropna=False, sort=False):
+                key = tuple(None if pd.isna(k) else k for k in key)
+                own = own.sort_values(position, kind="stable")
+                places = own[position].tolist()
+                values = [None if pd.isna(v) else int(v) for v in own[value].tolist()] if value else [0] * len(own)
+                pairs = list(zip(places, values, strict=True))
+                old = held.setdefault(key, [0, pairs[0], []])
+                old[0] += len(pairs)
+                old[1] = min(old[1], pairs[0], key=lambda p: p[0])
+                old[2] = sorted([*old[2], *pairs[len(pairs) - min(tail, len(pairs)):]], key=lambda p: p[0])[-tail:] if tail else []
+        out = [(*k, n, first[0], first[1], [p for p, _ in last], [v for _, v in last]) for k, (n, first, last) in held.items()]
+        yield pd.DataFrame(out, columns=[*by, _N, "first_at", _FIRST, "tail_at", _TAIL]).astype({_FIRST: "Int64"})
+
+    return summarise
+
+
+def _carry_update(tail: int) -> Callable:
+    """What came before each block of a key. State: number of rows, first value, last ``tail`` values."""
+    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, first, last = state.get if state.exists else (0, None, [])
+        last, out = list(last), []
+        blocks: dict[int, list] = {}
+        for r in pd.concat(parts, ignore_index=True).to_dict("records"):
+            blocks.setdefault(r[BLOCK], []).append(r)
+        for block in sorted(blocks):
+            own = blocks[block]
+            out.append((*key, block, n, first, list(last)))
+            if n == 0:
+                first = min(own, key=lambda r: r["first_at"])[_FIRST]
+                first = None if pd.isna(first) else int(first)
+            n += sum(int(r[_N]) for r in own)
+            pairs = sorted((p for r in own for p in zip(r["tail_at"], r[_TAIL], strict=True)), key=lambda p: p[0])
+            last = [*last, *(None if v is None or pd.isna(v) else int(v) for _, v in pairs)][-tail:] if tail else []
+        state.update((n, first, last))
+        made = pd.DataFrame(out, columns=[*[f"k{i}" for i in range(len(key))], BLOCK, _N, _FIRST, _TAIL])
+        yield made.astype({_FIRST: "Int64"})
+
+    return update
+
+
+def in_blocks(
+    rows: DataFrame, keys: list[str], position: str, finish: Callable, schema: str, value: str | None = None, tail: int = 0,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """``finish(key, rows in order, n before, first value, last values before)`` over blocks of ``block_rows`` positions of each key.
+
+    Three steps inside each micro-batch: every task sums its rows up per (key, block); a state per key turns these few rows into
+    what came before each block; rows and that meet again by (key, block). ``value`` is a whole number, ``position`` a whole
+    number of at least 0 that is unique inside the key and grows from one micro-batch to the next.
+    """
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    cut = rows.withColumn(BLOCK, F.floor(F.col(q(position)) / F.lit(block_rows)).cast("bigint"))
+    columns = [*keys, BLOCK, position, *([value] if value and value != position else [])]
+    keyed = ", ".join(f"{q(k)} {types[k]}" for k in keys)
+    parts = cut.select(*map(q, columns)).mapInPandas(
+        _summaries(keys, position, value, tail),
+        f"{keyed}, {BLOCK} bigint, {_N} bigint, first_at bigint, {_FIRST} bigint, tail_at array<bigint>, {_TAIL} array<bigint>")
+    carried = f"{_N} bigint, {_FIRST} bigint, {_TAIL} array<bigint>"
+    carries = parts.groupBy(*map(q, keys)).applyInPandasWithState(
+        _carry_update(tail), ", ".join(f"k{i} {types[k]}" for i, k in enumerate(keys)) + f", {BLOCK} bigint, {carried}", carried, "append", "NoTimeout")
+    # Rows of both kinds in one table; a carry has position -1, and 0 or NULL for the rest.
+    numbers = {f.name for f in rows.schema if isinstance(f.dataType, T.NumericType)}
+    own = cut.select("*", F.lit(None).cast("bigint").alias(_N), F.lit(None).cast("bigint").alias(_FIRST),
+                     F.lit(None).cast("array<bigint>").alias(_TAIL), F.lit(False).alias(_CARRY))
+    as_rows = carries.select(
+        *[F.col(f"k{keys.index(c)}").alias(c) if c in keys else F.lit(-1).cast(types[c]).alias(c) if c == position
+          else F.lit(0 if c in numbers else None).cast(types[c]).alias(c) for c in rows.columns],
+        BLOCK, _N, _FIRST, _TAIL, F.lit(True).alias(_CARRY))
+
+    def meet(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
+        carry = table[table[_CARRY]].iloc[0]
+        first = None if pd.isna(carry[_FIRST]) else int(carry[_FIRST])
+        rows = table[~table[_CARRY]].sort_values(position, kind="stable", ignore_index=True)
+        return finish(key[:-1], rows.drop(columns=[BLOCK, _N, _FIRST, _TAIL, _CARRY]), int(carry[_N]), first, list(carry[_TAIL]))
+
+    return own.unionByName(as_rows).groupBy(*map(q, keys), BLOCK).applyInPandas(meet, schema)
+
+
 # ---- captures ----------------------------------------------------------------------------------
 
 
-def _capture_update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = _in_order(parts, W.POSITION)
+def _capture_block(key: tuple, rows: pd.DataFrame, n: int, first: int | None, last: list[int]) -> pd.DataFrame:
     ts = rows["ts_us"].to_numpy(np.int64)
-    first, last = state.get if state.exists else (int(ts[0]), int(ts[0]))
-    state.update((first, int(ts[-1])))
-    yield pd.DataFrame({
-        W.CAPTURE: key[0], W.POSITION: rows[W.POSITION], "iat_us": np.diff(ts, prepend=last), "cumulative_us": ts - first})
+    first, previous = (first, last[-1]) if n else (int(ts[0]), int(ts[0]))
+    return pd.DataFrame({
+        W.CAPTURE: key[0], W.POSITION: rows[W.POSITION], "iat_us": np.diff(ts, prepend=previous), "cumulative_us": ts - first})
 
 
 def _capture_keys(stream: DataFrame) -> str:
     return ", ".join(f"{c} {stream.schema[c].dataType.simpleString()}" for c in (W.CAPTURE, W.POSITION))
 
 
-def capture_features(stream: DataFrame, folder: str) -> StreamingQuery:
+def capture_features(stream: DataFrame, folder: str, block_rows: int = BLOCK_ROWS) -> StreamingQuery:
     """Time since the previous and the first frame; the state of a capture is its first and its last time."""
     rows = W.keep_frames(stream).select(W.CAPTURE, W.POSITION, "ts_us")
-    out = rows.groupBy(W.CAPTURE).applyInPandasWithState(
-        _capture_update, f"{_capture_keys(rows)}, iat_us bigint, cumulative_us bigint", "first bigint, last bigint", "append",
-        "NoTimeout")
+    out = in_blocks(rows, [W.CAPTURE], W.POSITION, _capture_block, f"{_capture_keys(rows)}, iat_us bigint, cumulative_us bigint",
+                    "ts_us", 1, block_rows)
     return _start(out, folder, "capture_features")
 
 
 _STATISTICS = ["w_sum", "w_min", "w_max", "w_avg", "w_std", "w_magnitude", "w_radius", "w_covariance", "w_variance", "w_weight"]
 
 
-def _window_update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = _in_order(parts, W.POSITION)
-    open_ = list(state.get[0]) if state.exists else []  # sizes of the window that is not complete yet, NaN where unknown
+def _window_block(key: tuple, rows: pd.DataFrame, n: int, first: int | None, last: list[int]) -> pd.DataFrame:
+    begun = n % W.WINDOW_FRAMES  # frames before the block whose window is not complete yet
+    open_ = [np.nan if v is None else float(v) for v in last[len(last) - begun:]]
     sizes = pd.Series(np.concatenate([open_, rows["frame_len"].to_numpy(np.float64, na_value=np.nan)]))
     whole = len(sizes) // W.WINDOW_FRAMES * W.WINDOW_FRAMES
-    state.update(([float(v) for v in sizes[whole:]],))
     out = pd.DataFrame(0.0, index=range(len(sizes)), columns=_STATISTICS)
     if whole:
         number = np.arange(whole) // W.WINDOW_FRAMES
@@ -177,18 +266,18 @@ def _window_update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState)
         made = [total, low, high, mean, std, np.sqrt(squares), high - low, by.var(ddof=0), std * std, mean]
         out.iloc[W.WINDOW_FRAMES - 1:whole:W.WINDOW_FRAMES] = np.column_stack([v.to_numpy() for v in made])
     out = out.iloc[len(open_):].reset_index(drop=True)
-    yield pd.concat([pd.DataFrame({W.CAPTURE: key[0], W.POSITION: rows[W.POSITION]}), out], axis=1)
+    return pd.concat([pd.DataFrame({W.CAPTURE: key[0], W.POSITION: rows[W.POSITION]}), out], axis=1)
 
 
-def window_features(stream: DataFrame, folder: str) -> StreamingQuery:
+def window_features(stream: DataFrame, folder: str, block_rows: int = BLOCK_ROWS) -> StreamingQuery:
     """Statistics of every 20 frames of a capture, on the last frame of the window; 0 elsewhere.
 
-    State is the sizes of the frames, at most 19, of the window that is not complete yet.
+    The state of a capture is the number of its frames and the sizes of the last 19, of which those of the window that is not complete
+    yet open the next block.
     """
-    rows = W.keep_frames(stream).select(W.CAPTURE, W.POSITION, "frame_len")
-    out = rows.groupBy(W.CAPTURE).applyInPandasWithState(
-        _window_update, f"{_capture_keys(rows)}, " + ", ".join(f"{c} double" for c in _STATISTICS), "sizes array<double>",
-        "append", "NoTimeout")
+    rows = W.keep_frames(stream).select(W.CAPTURE, W.POSITION, F.col("frame_len"))
+    out = in_blocks(rows, [W.CAPTURE], W.POSITION, _window_block,
+                    f"{_capture_keys(rows)}, " + ", ".join(f"{c} double" for c in _STATISTICS), "frame_len", W.WINDOW_FRAMES - 1, block_rows)
     return _start(out, folder, "window_features")
 
 
@@ -212,31 +301,24 @@ def write_complete(df: DataFrame, folder: str, name: str) -> StreamingQuery:
     )
 
 
-def _cap_update(cap: int, position: str) -> Callable:
-    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        taken = state.get[0] if state.exists else 0
-        if taken >= cap:
-            return
-        rows = pd.concat(parts, ignore_index=True)
-        rows = rows.iloc[rows[position].astype("int64").argsort(kind="stable")[:cap - taken]]
-        state.update((taken + len(rows),))
-        yield rows
-
-    return update
-
-
-def capped_rows(stream: DataFrame, folder: str, cap: int, by: str, position: str) -> StreamingQuery:
+def capped_rows(stream: DataFrame, folder: str, cap: int, by: str, position: str, block_rows: int = BLOCK_ROWS) -> StreamingQuery:
     """The first ``cap`` rows of each class in arrival order; later rows of a full class are dropped.
 
-    State is one count per class. ``position`` is a whole number that grows with arrival. Rows without a class are left out, as in
-    the batch form.
+    State is one count per class; rows of a class are dealt out by blocks of positions. ``position`` is a whole number of at least 0 that
+    grows with arrival. Rows without a class are left out, as in the batch form.
     """
     numbers = [f.name for f in stream.schema if isinstance(f.dataType, T.NumericType)]
     # pandas has no whole numbers with gaps: numbers travel as text, which keeps every digit
     text = {c: F.col(q(c)).cast("string") for c in numbers}
-    rows = stream.filter(F.col(q(by)).isNotNull()).withColumns(text)
-    out = rows.groupBy(q(by)).applyInPandasWithState(
-        _cap_update(cap, position), rows.schema, "taken bigint", "append", "NoTimeout")
+    place = "_place"
+    rows = stream.filter(F.col(q(by)).isNotNull()).withColumn(place, F.col(q(position)).cast("bigint")).withColumns(text)
+    names = stream.columns
+
+    def first_rows(key: tuple, own: pd.DataFrame, n: int, first: int | None, last: list[int]) -> pd.DataFrame:
+        return own.head(max(0, cap - n))[names]
+
+    schema = T.StructType([f for f in rows.schema if f.name != place])
+    out = in_blocks(rows, [by], place, first_rows, schema, block_rows=block_rows)
     back = [F.col(q(f.name)).cast(f.dataType).alias(f.name) if f.name in numbers else F.col(q(f.name)) for f in stream.schema]
     return _start(out.select(*back), folder, "capped_rows")
 

@@ -45,8 +45,8 @@ from flowloom.session import materialise
 
 LENGTH = 100
 ANCHOR = 32
-HOT_LEVEL = 20              # anchors with about 2 ** HOT_LEVEL occurrences are split into salts
-BLOCK_TEXT = 1 << 20        # bytes of segments that are sorted at once, a little more if an anchor needs it
+HOT_LEVEL = 15              # anchors with about 2 ** HOT_LEVEL occurrences are split into salts
+BLOCK_TEXT = 1 << 17        # bytes of segments that are sorted at once, so that the tables fit a cache; more if an anchor needs it
 MANY_SEGMENTS = 32_768      # different segments of one anchor beyond which its strings are compared one by one
 BROADCAST_DOCS = 2_000_000  # ids of documents that are sent to every task to pick texts; more are picked by a join
 PIECE = 1 << 20             # bytes whose anchors are searched at once
@@ -81,7 +81,7 @@ def _sliding(x: np.ndarray, width: int, fn) -> np.ndarray:
     return fn(x[:len(x) - (width - reach)], x[width - reach:]) if width > reach else x
 
 
-def anchors(data: np.ndarray, at: np.ndarray, length: int, k: int, tables: _Tables):
+def anchors(data: np.ndarray, at: np.ndarray, length: int, k: int, tables: _Tables, names_only: bool = False):
     """Place in ``data``, hash, and hash of the segment of every anchor of the texts that begin at ``at``.
 
     The segment of an anchor reaches ``length - k`` bytes to the left of it and to the right, as far as its text does.
@@ -110,16 +110,18 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int, k: int, tables: _Tabl
         where = chosen + lo
         inside = (where >= begin) & (where < begin + PIECE)
         chosen, where = chosen[inside], where[inside]
+        names.append(h[chosen])
+        if names_only:
+            continue
         left = np.maximum(owner_start[where], where - (width - 1))
         right = np.minimum(owner_end[where], where + length)
         whole = (prefix[right - lo] - prefix[left - lo]) * tables.down[left - lo]
         shape = (where - left).astype(np.uint64) * np.uint64(length * 4) + (right - left).astype(np.uint64)
         places.append(where)
-        names.append(h[chosen])
         around.append(mix(whole ^ mix(shape)))
-    if not places:
+    if names_only or not places:
         none = np.zeros(0, np.uint64)
-        return np.zeros(0, np.int64), none, none
+        return np.zeros(0, np.int64), np.concatenate([none, *names]), none
     return np.concatenate(places), np.concatenate(names), np.concatenate(around)
 
 
@@ -144,7 +146,7 @@ def anchor_levels(docs: DataFrame, length: int, k: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, tables = HashCounts(), _Tables()
         for batch in batches:
-            _, names, _ = anchors(*as_bytes(batch.column("text")), length, k, tables)
+            _, names, _ = anchors(*as_bytes(batch.column("text")), length, k, tables, names_only=True)
             full = counts.add(names)
             if full is not None:
                 yield full
@@ -229,33 +231,45 @@ def first_segments(found: DataFrame) -> DataFrame:
 # ---- one block ----------------------------------------------------------------------------------
 
 
-def suffix_order(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes by their first ``depth`` symbols, and each one's rank; 0 ends a segment and differs from any other 0.
+def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes by their first ``depth`` symbols; 0 ends a segment and differs from any other 0.
 
-    Seven symbols of nine bits are compared at once, then twice as many each round.
+    Seven symbols of nine bits are compared at once, then twice as many each round; a round sorts only suffixes that are still equal
+    to a neighbour, inside their group. A suffix's rank is the place of its group's first member.
     """
     n = len(symbols)
     padded = np.concatenate([symbols, np.zeros(8, np.int64)])
     key = np.zeros(n, np.int64)
     for j in range(7):
-        key = (key << 9) | padded[j:j + n]
+        key <<= 9
+        key |= padded[j:j + n]
     ends = np.flatnonzero(symbols == 0)
-    to_end = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)
-    order = np.lexsort((np.where(to_end < 7, np.arange(n), -1), key))
-    new = np.ones(n, bool)
-    new[1:] = (key[order][1:] != key[order][:-1]) | (to_end[order][1:] < 7)
-    reach = 7
-    while True:
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new) - 1
-        if reach >= depth or new.all():
-            return order, rank
-        ahead = np.zeros(n, np.int64)
-        ahead[:max(0, n - reach)] = rank[reach:]
-        key = (rank << 32) | ahead
-        order = np.argsort(key, kind="stable")
-        new[1:] = key[order][1:] != key[order][:-1]
+    to_end = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n)
+    order = np.argsort(key)
+    sorted_ = key[order]
+    new = np.append(True, sorted_[1:] != sorted_[:-1])
+    ended = to_end[order] < 7  # within the symbols compared: a suffix of its own
+    new |= ended
+    new[1:] |= ended[:-1]
+    head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    rank = np.empty(n, np.int64)
+    rank[order] = head
+    open_ = np.flatnonzero(~(new & np.append(new[1:], True)))
+    head, reach = head[open_], 7
+    while reach < depth and len(open_):
+        own = order[open_]
+        key = (head << 32) | rank[own + reach]
+        by = np.argsort(key)
+        key, own = key[by], own[by]
+        order[open_] = own
+        new[open_[1:]] |= key[1:] != key[:-1]
+        starts = new[open_]
+        head = np.maximum.accumulate(np.where(starts, open_, 0))
+        rank[own] = head
+        alone = starts & np.append(new, True)[open_ + 1]
+        open_, head = open_[~alone], head[~alone]
         reach *= 2
+    return order
 
 
 def equal_strings(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -268,22 +282,25 @@ def equal_strings(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndar
     between its two places, and never needs another look.
     """
     n = len(symbols)
-    order, _ = suffix_order(symbols, length + 1)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    first = symbols[order]
+    order = suffix_order(symbols, length + 1).astype(np.int32)
+    place = np.empty(n + 1, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
+    first = symbols[order].astype(np.int16)
     bound = np.ones(n, bool)  # boundaries whose value is known so far
     bound[1:] = (first[1:] != first[:-1]) | (first[1:] == 0)
-    open_ = np.flatnonzero(~bound)
+    open_ = np.flatnonzero(~bound).astype(np.int32)
     here, there = place[order[open_] + 1], place[order[open_ - 1] + 1]
+    before = np.empty(n, np.int32)
     for _ in range(1, length):
-        if not len(open_):
-            break
-        before = np.cumsum(bound, dtype=np.int32)
+        np.cumsum(bound, out=before)
         apart = before[here] != before[there]
-        bound[open_[apart]] = True
-        rest = ~apart
-        open_, here, there = open_[rest], here[rest], there[rest]
+        found = np.flatnonzero(apart)
+        if not len(found):  # no boundary of this value, so none of a larger one
+            break
+        bound[open_[found]] = True
+        if 6 * len(found) > len(open_):  # known ones may stay in the list for a while
+            rest = ~apart
+            open_, here, there = open_[rest], here[rest], there[rest]
     return order, np.cumsum(bound) - 1
 
 

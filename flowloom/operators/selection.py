@@ -8,7 +8,7 @@ row per class.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from math import ceil, inf, nextafter
+from math import ceil, fsum, inf, nextafter, sqrt
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import Bucketizer, StringIndexer, VectorAssembler
@@ -19,7 +19,7 @@ from pyspark.sql.utils import AnalysisException
 from flowloom import schemas as S
 from flowloom.operators import features as FE
 from flowloom.operators import sampling as SP
-from flowloom.operators.bounded import small_side
+from flowloom.operators.bounded import MAX_CLASSES, bounded_rows, small_side
 from flowloom.operators.statistics import long_form, moments, order_statistics, value_counts
 from flowloom.schemas import q
 from flowloom.session import materialise
@@ -49,6 +49,37 @@ def variance_filter(
 # ---- scores ----------------------------------------------------------------------------------
 
 
+def class_cells(df: DataFrame, columns: list[str], by: str = S.LABEL) -> DataFrame:
+    """``by, pos, n, mean, var`` per class and column: one hash aggregate from which both moments and F scores follow."""
+    return long_form(df, columns, by).filter("x is not null").groupBy(by, "pos").agg(
+        F.count("x").alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("var"))
+
+
+@dataclass(frozen=True)
+class ColumnCells:
+    """One column's classes: ``n, mean, var`` each."""
+
+    classes: list[tuple[int, float, float]]
+
+    def _squares(self) -> tuple[int, float, float, float]:
+        n = sum(c[0] for c in self.classes)
+        centre = fsum(k * m for k, m, _ in self.classes) / n
+        return n, centre, fsum(k * (m - centre) ** 2 for k, m, _ in self.classes), fsum(k * v for k, _, v in self.classes)
+
+    def moments(self) -> dict[str, float | None]:
+        if not self.classes:
+            return {"n": 0, "mean": None, "std": None, "var": None}
+        n, mean, between, within = self._squares()
+        return {"n": n, "mean": mean, "var": (between + within) / n, "std": sqrt((between + within) / n)}
+
+    def f_score(self) -> float | None:
+        k = len(self.classes)
+        if not k:
+            return None
+        n, _, between, within = self._squares()
+        return None if k < 2 or n <= k or not within else (between / (k - 1)) / (within / (n - k))
+
+
 def anova_f(df: DataFrame, columns: list[str], by: str = S.LABEL) -> DataFrame:
     """``feature, f_score``: between-class over within-class variance of every column.
 
@@ -56,8 +87,7 @@ def anova_f(df: DataFrame, columns: list[str], by: str = S.LABEL) -> DataFrame:
     their digits without a pass for the global mean.
     """
     names = F.array(*[F.lit(c) for c in columns])
-    cells = long_form(df, columns, by).filter("x is not null").groupBy(by, "pos").agg(
-        F.count("x").alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("var"))
+    cells = class_cells(df, columns, by)
     whole = Window.partitionBy("pos")  # one row per class
     centre = F.sum(F.col("n") * F.col("mean")).over(whole) / F.sum("n").over(whole)
     off = F.col("mean") - F.col("centre")
@@ -320,43 +350,56 @@ class FittedSelection:
 
 @dataclass
 class Prepared:
-    """The engineered table, written once, with the moments of all its features."""
+    """An engineered table and the class cells of all its features, from which moments and F scores follow.
+
+    The table itself is written down only when something passes over its rows again.
+    """
 
     made: FE.Engineered
     names: list[str]
-    moments: dict[str, dict[str, float]]
+    cells: dict[str, ColumnCells]
     f: dict[str, float] = field(default_factory=dict)
     mi: dict[str, float] = field(default_factory=dict)
+    written: bool = False
 
     @property
     def df(self) -> DataFrame:
+        if not self.written:
+            self.made.df, self.written = materialise(self.made.df, "engineered"), True
         return self.made.df
 
+    @property
+    def moments(self) -> dict[str, dict[str, float]]:
+        return {c: self.cells[c].moments() for c in self.names}
+
     def varied(self, threshold: float = VARIANCE_THRESHOLD) -> list[str]:
-        return variance_filter(self.df, self.names, threshold, self.moments)
+        return variance_filter(self.made.df, self.names, threshold, self.moments)
 
-    def anova(self, columns: list[str]) -> DataFrame:
-        return anova_f(self.df, columns)
+    def f_scores(self, columns: list[str]) -> dict[str, float | None]:
+        return {c: self.cells[c].f_score() for c in columns}
 
     def score(self, columns: list[str]) -> None:
         """Fill in both scores, one row per feature, unless they are there."""
         if not set(columns) <= self.f.keys():
-            self.f = {r["feature"]: r["f_score"] for r in self.anova(columns).collect()}
-            counts = {c: self.moments[c]["n"] for c in columns}
+            self.f = self.f_scores(columns)
+            counts = {c: m["n"] for c, m in self.moments.items()}
             self.mi = {
                 r["feature"]: r["mi_score"] for r in mutual_information(self.df, columns, counts=counts).collect()
             }
 
     def scale(self, columns: list[str]) -> dict[str, tuple[float, float]]:
-        return {c: (self.moments[c]["mean"] or 0.0, self.moments[c]["std"] or 1.0) for c in columns}
+        found = self.moments
+        return {c: (found[c]["mean"] or 0.0, found[c]["std"] or 1.0) for c in columns}
 
 
-def prepare(df: DataFrame, key: str) -> Prepared:
-    """Engineer the table and write it down: scores and forests pass over it many times."""
+def prepare(df: DataFrame, key: str, by: str = S.LABEL) -> Prepared:
+    """Engineer the table and sum it up per class and feature, in one pass behind those that learn its statistics."""
     made = FE.engineer(df, key=key)
-    made.df = materialise(made.df, "engineered")
-    names = [c for c in made.df.columns if c not in (S.LABEL, key)]
-    return Prepared(made, names, moments(made.df, names))
+    names = [c for c in made.df.columns if c not in (by, key)]
+    cells: dict[str, list] = {c: [] for c in names}
+    for r in bounded_rows(class_cells(made.df, names, by), MAX_CLASSES * len(names), "cells"):
+        cells[names[r["pos"]]].append((r["n"], r["mean"], r["var"]))
+    return Prepared(made, names, {c: ColumnCells(v) for c, v in cells.items()})
 
 
 def fit_select(
@@ -374,7 +417,7 @@ def fit_select(
     ready.score(varied)
     scores = union_cap(varied, ready.f, ready.mi, n)
     chosen = [s.feature for s in scores if s.selected]
-    importance = rf_importance(made.df, chosen, key, forests=settings.forests, seed=settings.seed,
+    importance = rf_importance(ready.df, chosen, key, forests=settings.forests, seed=settings.seed,
                                max_fit_rows=settings.max_fit_rows)
     final = complete_critical(top_n(chosen, importance, n), ready.names, n)
     if len(final) != n:

@@ -254,7 +254,7 @@ def prepared(spark, sf_dir) -> tuple[SEL.Prepared, list[str]]:
 
 
 def f_scores(ready: SEL.Prepared, names: list[str]) -> dict[str, float]:
-    return {r["feature"]: r["f_score"] or 0.0 for r in ready.anova(names).collect()}  # one row per feature
+    return {c: f or 0.0 for c, f in ready.f_scores(names).items()}
 
 
 def choice(ready: SEL.Prepared, names: list[str]) -> list[SEL.Score]:
@@ -266,15 +266,17 @@ def choice(ready: SEL.Prepared, names: list[str]) -> list[SEL.Score]:
   as log_variance, var_pop(x) > 0.005 as kept from long group by 1""")
 def m01(spark, sf_dir):
     ready, kept = prepared(spark, sf_dir)
+    found = ready.moments
     table = spark.createDataFrame(
-        [(c, ready.moments[c]["var"], c in kept) for c in ready.names], "feature string, v double, kept boolean")
+        [(c, found[c]["var"], c in kept) for c in ready.names], "feature string, v double, kept boolean")
     return table.select("feature", F.round(F.when(F.col("v") > 0, F.ln("v")), 6).alias("log_variance"), "kept")
 
 
 @query("m02_anova_f", WITH + VARIED + F_SCORES + " select feature, round(f_score, 4) as f_score from fs")
 def m02(spark, sf_dir):
     ready, names = prepared(spark, sf_dir)
-    return ready.anova(names).select("feature", F.round("f_score", 4).alias("f_score"))
+    scores = spark.createDataFrame(list(ready.f_scores(names).items()), "feature string, f_score double")
+    return scores.select("feature", F.round("f_score", 4).alias("f_score"))
 
 
 @query("m03_mutual_info", WITH + VARIED + MI_SCORES + " select feature, round(mi_score, 6) as mi_score from mi")

@@ -231,8 +231,9 @@ def first_segments(found: DataFrame) -> DataFrame:
 # ---- one block ----------------------------------------------------------------------------------
 
 
-def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes by their first ``depth`` symbols; 0 ends a segment and differs from any other 0.
+def suffix_order(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes by their first ``depth`` symbols, and up to how many symbols each was compared when it first differed from the one
+    before it (0: never); 0 ends a segment and differs from any other 0.
 
     Seven symbols of nine bits are compared at once, then twice as many each round; a round sorts only suffixes that are still equal
     to a neighbour, inside their group. A suffix's rank is the place of its group's first member.
@@ -256,20 +257,23 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     rank[order] = head
     open_ = np.flatnonzero(~(new & np.append(new[1:], True)))
     head, reach = head[open_], 7
+    differs = np.where(new, 7, 0).astype(np.int16)
     while reach < depth and len(open_):
         own = order[open_]
         key = (head << 32) | rank[own + reach]
         by = np.argsort(key)
         key, own = key[by], own[by]
         order[open_] = own
-        new[open_[1:]] |= key[1:] != key[:-1]
+        reach *= 2
+        split = open_[1:][key[1:] != key[:-1]]
+        differs[split[~new[split]]] = reach
+        new[split] = True
         starts = new[open_]
         head = np.maximum.accumulate(np.where(starts, open_, 0))
         rank[own] = head
         alone = starts & np.append(new, True)[open_ + 1]
         open_, head = open_[~alone], head[~alone]
-        reach *= 2
-    return order
+    return order, differs
 
 
 def equal_strings(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -282,25 +286,28 @@ def equal_strings(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndar
     between its two places, and never needs another look.
     """
     n = len(symbols)
-    order = suffix_order(symbols, length + 1).astype(np.int32)
+    order, differs = suffix_order(symbols, length + 1)
+    order = order.astype(np.int32)
     place = np.empty(n + 1, np.int32)
     place[order] = np.arange(n, dtype=np.int32)
     first = symbols[order].astype(np.int16)
     bound = np.ones(n, bool)  # boundaries whose value is known so far
     bound[1:] = (first[1:] != first[:-1]) | (first[1:] == 0)
-    open_ = np.flatnonzero(~bound).astype(np.int32)
-    here, there = place[order[open_] + 1], place[order[open_ - 1] + 1]
     before = np.empty(n, np.int32)
-    for _ in range(1, length):
-        np.cumsum(bound, out=before)
-        apart = before[here] != before[there]
-        found = np.flatnonzero(apart)
-        if not len(found):  # no boundary of this value, so none of a larger one
-            break
-        bound[open_[found]] = True
-        if 6 * len(found) > len(open_):  # known ones may stay in the list for a while
+    low = 1
+    for high in sorted(set(np.unique(differs).tolist()) - {0}):
+        # Neighbours that first differed in this round of the order have a value from ``low`` up to ``high``, those of no round pass the threshold.
+        open_ = np.flatnonzero(~bound & (differs == high)).astype(np.int32)
+        here, there = place[order[open_] + 1], place[order[open_ - 1] + 1]
+        for _ in range(low, min(high, length)):
+            if not len(open_):
+                break
+            np.cumsum(bound, out=before)
+            apart = before[here] != before[there]
+            bound[open_[apart]] = True
             rest = ~apart
             open_, here, there = open_[rest], here[rest], there[rest]
+        low = max(low, high)
     return order, np.cumsum(bound) - 1
 
 

@@ -129,24 +129,27 @@ def synthesise(
 ) -> DataFrame:
     """``need[class]`` new rows per class: every column group is drawn on its own inside the class.
 
-    Values always come from real rows of the class, so 0/1 columns stay 0/1. All
-    groups share one join and one aggregate: each draw is repeated per group,
-    picks its row, keeps just that group's columns, and is put together again.
+    Values always come from real rows of the class, so 0/1 columns stay 0/1. A ranked row is cut into its groups, each draw is repeated per
+    group and meets just that group's values; a draw's groups are put together again. Columns are numbers; whole ones must fit a double.
     """
     groups = COLUMN_GROUPS if groups is None else groups
     groups = [[c for c in g if c in df.columns] for g in groups]
     groups = [g for g in groups if g]
-    ranked, sizes = _drawn_from(df, key, need, counts, seed, rows_per_bucket)
+    used = list(dict.fromkeys(c for g in groups for c in g))
+    ranked, sizes = _drawn_from(df.select(key, S.LABEL, *[S.q(c) for c in used]), key, need, counts, seed, rows_per_bucket)
+    values = F.array(*[F.array(*[F.col(S.q(c)).cast("double") for c in g]) for g in groups])
+    parts = ranked.select(S.LABEL, R.RANK, F.posexplode(values).alias("_group", "_values"))
     picks = draws(df.sparkSession, need, sizes).withColumn(
         "_group", F.explode(F.array(*[F.lit(i) for i in range(len(groups))]))
     )
     picks = picks.withColumn(
         R.RANK, draw_index(F.col(S.LABEL), F.col(DRAW), F.col("_size"), seed, F.col("_group") + 1)
     ).drop("_size")
-    joined = picks.join(ranked, [S.LABEL, R.RANK])
-    # Every (draw, group) has one row, so a maximum over one value puts the row together in a hash aggregate.
-    return joined.groupBy(S.LABEL, DRAW).agg(*[
-        F.max(F.when(F.col("_group") == i, F.col(S.q(c)))).alias(c) for i, g in enumerate(groups) for c in g
+    joined = picks.join(parts, [S.LABEL, R.RANK, "_group"])
+    whole = joined.groupBy(S.LABEL, DRAW).agg(
+        F.array_sort(F.collect_list(F.struct("_group", "_values"))).alias("_parts"))  # one entry per group
+    return whole.select(S.LABEL, DRAW, *[
+        F.col("_parts")[i]["_values"][j].cast(df.schema[c].dataType).alias(c) for i, g in enumerate(groups) for j, c in enumerate(g)
     ])
 
 

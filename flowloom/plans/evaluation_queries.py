@@ -191,14 +191,15 @@ def u01(spark, sf_dir):
     return a.unionByName(b)
 
 
-@query("u02_name_difference", WITH + """select distinct t as label, 'truth_only' as side from pr where t not in (select p from pr where row_id % 7 = 0 and p <> 'view')
+@query("u02_name_difference", WITH + """select distinct t as label, 'truth_only' as side from pr where t not in (select p from pr where p in ('view', 'error', 'purchase'))
   union all select distinct p, 'predicted_only' from pr where p not in (select t from pr where t <> 'click')""")
 def u02(spark, sf_dir):
+    """Names of one side that the other does not have, either way; both sides are whole columns, told apart by value."""
     df = predictions(spark, sf_dir)
-    some = df.filter((F.col("row_id") % 7 == 0) & (F.col("predicted") != "view")).select("predicted")
-    left = df.select(F.col("true").alias("label")).subtract(some)
-    right = df.select(F.col("predicted").alias("label")).subtract(df.filter(F.col("true") != "click").select("true"))
-    return left.withColumn("side", F.lit("truth_only")).unionByName(right.withColumn("side", F.lit("predicted_only")))
+    truth, predicted = df.select(F.col("true").alias("label")), df.select(F.col("predicted").alias("label"))
+    left = truth.subtract(predicted.filter(F.col("label").isin("view", "error", "purchase"))).withColumn("side", F.lit("truth_only"))
+    right = predicted.subtract(truth.filter(F.col("label") != "click")).withColumn("side", F.lit("predicted_only"))
+    return left.unionByName(right)
 
 
 # ---- scoring -------------------------------------------------------------------------------------

@@ -117,11 +117,12 @@ def s04(spark, sf_dir):
     return out.select("label", F.col(SP.DRAW).alias("draw"), "flow_id")
 
 
-_SHOWN = ["flow_duration", "Rate", "syn_flag_number", "HTTP", "Tot sum", "Weight"]  # one per column group
+_SHOWN = [c for g in SP.COLUMN_GROUPS for c in g]  # all 46 features, by column group
+_STREAM = {c: i + 1 for i, g in enumerate(SP.COLUMN_GROUPS) for c in g}
 
 
 _SYNTHETIC = f"""(select e.label, e.draw, """ + ", ".join(
-    f'max(case when e.stream = {i + 1} then r."{c}" end) as "{c}"' for i, c in enumerate(_SHOWN)) + f"""
+    f'max(case when e.stream = {_STREAM[c]} then r."{c}" end) as "{c}"' for c in _SHOWN) + f"""
   from (select {{d}}.*, unnest([1, 2, 3, 4, 5, 6]) as stream from {{d}}) e join r on r.label = e.label
   and r.rn = 1 + cast('0x' || substr(md5(concat_ws(':', e.label, e.draw, e.stream, '42')), 1, 15) as bigint) % e.size
   group by 1, 2)"""

@@ -144,17 +144,14 @@ def t09(spark, sf_dir):
     return _numbers(spark, sf_dir).select("flow_id", "kind", fmt4(F.col("x")).alias("text"))
 
 
-_PARSED = ["flow_duration", "Protocol Type", "Rate", "Tot size", "Weight"]
-
-
 @query("t10_parse_features", WITH + "select flow_id, 46 as n_features, " + ", ".join(
-    f"{_num(c)} as {S.snake(c)}" for c in _PARSED) + " from f")
+    f"{_num(c)} as {S.snake(c)}" for c in S.FEATURES) + " from f")
 def t10(spark, sf_dir):
     records = X.instruction_records(clean_flows(spark, sf_dir), keep=["flow_id"])
     parsed = records.select("flow_id", X.parse_features(F.col("input")).alias("m"))
     nan = F.lit(float("nan"))
     return parsed.select("flow_id", F.size("m").alias("n_features"), *[
-        F.nullif(X.feature_number(F.col("m"), c), nan).alias(S.snake(c)) for c in _PARSED])
+        F.nullif(X.feature_number(F.col("m"), c), nan).alias(S.snake(c)) for c in S.FEATURES])
 
 
 @query("t11_render_features", WITH + """select flow_id, 'label_id: ' || cast(l_id as varchar) || '.0, weight: '

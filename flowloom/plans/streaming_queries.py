@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.functions import text as X
+from flowloom.operators import packets as W
 from flowloom.plans.feature_queries import _FITTED, ENGINEERED, _scaled_sql, fitted_fixture
 from flowloom.plans.fixtures import packets
 from flowloom.plans.packet_queries import BY_CAPTURE, BY_FLOW, W18_CTE, WITH, _RATES, _W18, r6
@@ -65,6 +66,17 @@ def st3(spark, sf_dir):
     return ST.read_output(spark, folder).select("packet_no", *[r6(c).alias(c) for c in _W18])
 
 
+@query("w17_distinct_hosts_stream", WITH + """select capture_id, count(distinct ip) as n_hosts from (
+  select capture_id, src_ip as ip from k where eth_type = 2048
+  union all select capture_id, dst_ip from k where eth_type = 2048) group by capture_id""")
+def w17_stream(spark, sf_dir):
+    """Sketches per capture as streaming state; a capture of these tables has few addresses, which sketches hold exactly."""
+    folder = new_folder(spark, "w17")
+    sketches = W.host_sketches(stream_of(spark, packets(spark, sf_dir), "packet_no"))
+    ST.write_complete(sketches, folder, "host_sketches").awaitTermination()
+    return W.sketched_hosts(ST.read_output(spark, folder))
+
+
 @query("st4_label_counts", "select event_type as label, count(*) as n from events group by 1")
 def st4(spark, sf_dir):
     folder = new_folder(spark, "st4")

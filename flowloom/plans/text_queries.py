@@ -8,6 +8,7 @@ from flowloom import schemas as S
 from flowloom.functions import text as X
 from flowloom.functions.formatting import fmt4, py_repr
 from flowloom.operators import sampling as SP
+from flowloom.operators import statistics as ST
 
 from flowloom.plans.fixtures import FLOWS, ctes, read
 from flowloom.plans.registry import query
@@ -274,6 +275,22 @@ def a04(spark, sf_dir):
     return IO.read_instructions(spark, folder)
 
 
+@query("a04_arrays_and_lines", WITH + f"select instruction, input, output from {RECORDS}")
+def a04_mixed(spark, sf_dir):
+    """One folder with files of lines, compact arrays and indented arrays; arrays are cut into records."""
+    folder = new_folder(spark, "mixed-records")
+    records = X.instruction_records(clean_flows(spark, sf_dir), keep=["flow_id"])
+    kinds = records.withColumn("kind", F.pmod(F.xxhash64("flow_id"), F.lit(3))).drop("flow_id")
+    kinds.filter("kind = 0").drop("kind").write.mode("append").json(folder)
+    for kind, (before, between, behind) in ((1, ("[", ", ", "]")), (2, ("[\n  ", ",\n  ", "\n]\n"))):
+        own = kinds.filter(F.col("kind") == kind).select(
+            F.to_json(F.struct("instruction", "input", "output")).alias("r"), F.pmod(F.xxhash64("input"), F.lit(4)).alias("file"))
+        arrays = own.groupBy("file").agg(F.concat(
+            F.lit(before), F.array_join(F.collect_list("r"), between), F.lit(behind)).alias("value"))  # a fixture's array is one value
+        arrays.select("value").repartition(4, "value").write.mode("append").option("lineSep", "\n\n").text(folder)
+    return IO.read_instructions(spark, folder)
+
+
 @query("a05_write_csv", TEXTS + """select label, count(*) as n, cast(sum(length(text)) as bigint) as characters from (
   select label, case when length(text) > 400 then left(text, 400) || '...' else text end as text from v) group by 1""")
 def a05(spark, sf_dir):
@@ -322,6 +339,17 @@ def a08(spark, sf_dir):
     return merged.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("Weight"), 3).alias("weight"))
 
 
+@query("g05_step_counts", WITH + """select * from (values (1, 'flows', 48), (2, 'features and label', 47), (3, 'texts', 2)) s(place, step, n_columns),
+  (select count(*) as n_rows from f)""")
+def g05_steps(spark, sf_dir):
+    """Rows and columns behind each step of the text table, counted by the write itself."""
+    counts = ST.StepCounts()
+    flows = counts.step("flows", clean_flows(spark, sf_dir))
+    texts = counts.step("texts", X.text_table(counts.step("features and label", flows.drop("flow_id"))))
+    texts.write.parquet(new_folder(spark, "steps"))
+    return counts.table(spark)
+
+
 @query("a10_publish", WITH + SPLIT_CTE + """select 'SKIPPED' as second_run, split, count(*) as n from split group by 2""")
 def a10(spark, sf_dir):
     from flowloom.plans import sweep

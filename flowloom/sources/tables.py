@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,7 +15,10 @@ from pyspark.sql.utils import AnalysisException
 from flowloom import schemas as S
 from flowloom.operators.bounded import bounded_rows, small_side
 from flowloom.operators.columns import require_columns
-from flowloom.sources.delimited import SEPARATORS, files_of, head_of, layout_of, literal, read_files, with_position
+from flowloom.sources.delimited import BAD, READERS, SEPARATORS, files_of, head_of, layout_of, literal, read_files, with_position
+from flowloom.sources.versions import current
+
+MAX_FILES = 100_000
 
 # ---- delimited files -------------------------------------------------------------------------
 
@@ -95,11 +103,63 @@ def read_label_partition(spark: SparkSession, path: str, label: str | None = Non
     return rows if label is None else rows.filter(F.col(S.LABEL) == label)
 
 
+_SEPARATOR = re.compile(r"\}(\s*,\s*)\{")
+
+
+def _array_separator(head: str) -> str | None:
+    """None for a file of lines; for an array, what stands between its first two records ("" if the head holds one only)."""
+    if not head.lstrip().startswith("["):
+        return None
+    found = _SEPARATOR.search(head)
+    return found[0] if found else ""
+
+
 def read_instructions(spark: SparkSession, path: str) -> DataFrame:
-    """Instruction records from JSON: one array per file, or one record per line."""
-    first = spark.read.text(path).first()
-    is_array = first is not None and first[0].lstrip().startswith("[")
-    return spark.read.schema(S.INSTRUCTION_SCHEMA).option("multiLine", is_array).json(path)
+    """Instruction records from JSON, each file one array or one record per line; arrays are cut into records, so that a file can be many tasks.
+
+    Files are told apart by their beginning. An array is split at the text that stands between its first two records, and every piece has to
+    be a record: a file in which one is not (the separator is part of a value, or changes) is read as a whole.
+    """
+    lines, arrays = [], {}
+    files = files_of(spark, path)
+    with ThreadPoolExecutor(READERS) as pool:
+        for file, head in zip(files, pool.map(lambda f: head_of(spark, f), files), strict=True):
+            separator = _array_separator(head)
+            if separator is None:
+                lines.append(file)
+            else:
+                arrays.setdefault(separator, []).append(file)
+    parts, whole = [], arrays.pop("", [])
+    for separator, own in arrays.items():
+        pieces, odd = _array_records(spark, own, separator)
+        whole += odd
+        parts.append(pieces)
+    for own, is_array in ((lines, False), (whole, True)):
+        if own:
+            parts.append(spark.read.schema(S.INSTRUCTION_SCHEMA).option("multiLine", is_array).json([literal(f) for f in own]))
+    if not parts:
+        return spark.createDataFrame([], S.INSTRUCTION_SCHEMA)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _array_records(spark: SparkSession, files: list[str], separator: str) -> tuple[DataFrame, list[str]]:
+    """Records of the array files, and the files that can't be cut at ``separator``."""
+    text = spark.read.option("lineSep", separator).text([literal(f) for f in files])
+    piece = F.regexp_replace(F.regexp_replace("value", r"^\s*\[\s*\{", ""), r"\}\s*\]\s*$", "")
+    as_json = F.concat(F.lit("{"), piece, F.lit("}"))
+    rows = text.select(F.col("_metadata.file_path").alias("file"), F.from_json(
+        as_json, T.StructType([*S.INSTRUCTION_SCHEMA.fields, T.StructField(BAD, T.StringType())]),
+        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}).alias("r"))
+    bad = rows.filter(F.col(f"r.{BAD}").isNotNull() | F.col("r").isNull()).select("file").distinct()
+    odd = [unquote(r["file"]) for r in bounded_rows(bad, MAX_FILES, "files that can't be split")]
+    names = {f.rsplit("/", 1)[-1] for f in odd}
+    good = [f for f in files if f.rsplit("/", 1)[-1] not in names]
+    odd = [f for f in files if f not in good]
+    if odd:
+        if not good:
+            return spark.createDataFrame([], S.INSTRUCTION_SCHEMA), odd
+        return _array_records(spark, good, separator)[0], odd
+    return rows.select(*(F.col(f"r.{f.name}") for f in S.INSTRUCTION_SCHEMA.fields)), []
 
 
 def write_splits(df: DataFrame, folder: str) -> None:
@@ -108,9 +168,10 @@ def write_splits(df: DataFrame, folder: str) -> None:
 
 
 def read_split(spark: SparkSession, folder: str, split: str | None = None) -> DataFrame:
+    """The records of a folder, or of its current version."""
     rows = spark.read.schema(
         T.StructType([*S.INSTRUCTION_SCHEMA.fields, T.StructField("split", T.StringType())])
-    ).json(f"{folder}/records")
+    ).json(f"{current(spark, folder)}/records")
     return rows if split is None else rows.filter(F.col("split") == split)
 
 
@@ -166,7 +227,7 @@ def replace_folder(spark: SparkSession, fresh: str, folder: str) -> None:
 
 
 def read_metadata(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(METADATA_SCHEMA).json(f"{folder}/dataset_metadata")
+    return spark.read.schema(METADATA_SCHEMA).json(f"{current(spark, folder)}/dataset_metadata")
 
 
 def completeness(inputs: DataFrame, outputs: DataFrame, key: str = "capture_id") -> DataFrame:

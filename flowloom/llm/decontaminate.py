@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +30,8 @@ WINDOW = 8
 MIN_SHARE = 0.3
 # So many template words in a row are a leak whatever their share of the item.
 MIN_RUN = 13
+# Texts whose templates are made at once; their tables are some fifty times as large.
+SLICE_BYTES = 1 << 19
 # Windows of the benchmark that are sent to every task to sort out others early; beyond it, all windows are joined by shuffle.
 BROADCAST_WINDOWS = 1_000_000
 
@@ -66,7 +69,7 @@ class Words(dict):
     A row says what is known of the word without its punctuation, so that words that differ in it alone share one.
     """
 
-    def __init__(self, bound: int = 300_000, names: bool = True):
+    def __init__(self, bound: int = 150_000, names: bool = True):
         super().__init__()
         self.bound, self.names = bound, names
         self.forget()
@@ -247,6 +250,18 @@ class Templates:
         return out
 
 
+def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes of text, or one text."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+        begin = 0
+        while begin < batch.num_rows:
+            done = ends[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, done + size, side="right")))
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
 def windows(
     df: DataFrame, key: list[str], size: int = WINDOW, wanted: np.ndarray | None = None,
     shorter: tuple[int, ...] | None = None, names: bool = True,
@@ -265,7 +280,7 @@ def windows(
         if only is not None:  # few hashes pass the first look, by their last bits
             seen = np.zeros(1 << 22, bool)
             seen[only & (len(seen) - 1)] = True
-        for batch in batches:
+        for batch in slices(batches):
             made = Templates(batch.column("text").to_pylist(), known)
             for at, length, reading, hashes in made.windows(size, shorter):
                 if only is not None:

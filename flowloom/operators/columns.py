@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowloom import schemas as S
 from flowloom.operators.statistics import long_form
 from flowloom.schemas import q
+from flowloom.sources.delimited import files_of, layouts
 
 
 def column_check(columns: list[str], expected: list[str] | None = None) -> dict[str, list[str]]:
@@ -27,6 +28,14 @@ def validate_columns(df: DataFrame, expected: list[str] | None = None) -> DataFr
     return df.sparkSession.createDataFrame(rows, "column string, status string")
 
 
+def validate_files(spark: SparkSession, path: str, expected: list[str] | None = None) -> DataFrame:
+    """``file, column, status`` for the files of a folder, by the header of each."""
+    rows = [
+        (file.rsplit("/", 1)[-1], c, status) for layout, files in layouts(spark, files_of(spark, path)).items()
+        for status, names in column_check(list(layout.columns), expected).items() for c in names for file in files]
+    return spark.createDataFrame(rows, "file string, column string, status string")
+
+
 def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     missing = [c for c in columns if c not in df.columns]
     if missing:

@@ -136,7 +136,7 @@ def compare_configs(df: DataFrame, config: str) -> DataFrame:
 
 
 def report(df: DataFrame, time_column: str) -> DataFrame:
-    """``section, line_no, text``: overall, per class, inference and distribution sections."""
+    """``section, line_no, text``: overall, per class, inference and distribution sections; line 0 is the head of a table."""
     pairs = pair_counts(df)
     classes = per_class(pairs)
     total = F.sum("support").over(Window.partitionBy(F.lit(1)))  # one row per class
@@ -167,7 +167,10 @@ def report(df: DataFrame, time_column: str) -> DataFrame:
         *[F.concat(F.rpad(fmt4(F.col(c)), 10, " "), F.lit(" ")) for c in ("precision", "recall", "f1")],
         F.rpad(F.col("support").cast("string"), 10, " "),
     )
-    each = classes.select(*line("PER-CLASS PERFORMANCE", place, detail))
+    titles = [("Class", 20), ("Precision", 10), ("Recall", 10), ("F1-Score", 10), ("Support", 10)]  # fixed values: the table's head
+    head = df.sparkSession.createDataFrame(
+        [("PER-CLASS PERFORMANCE", 0, " ".join(f"{t:<{n}}" for t, n in titles))], "section string, line_no int, text string")
+    each = head.unionByName(classes.select(*line("PER-CLASS PERFORMANCE", place, detail)))
     inference = rows(times, "INFERENCE PERFORMANCE", [
         *[(f"{title}", F.concat(fmt4(F.col(c)), F.lit(" seconds"))) for title, c in (
             ("Average Inference Time", "mean"), ("Median Inference Time", "median"), ("Min Inference Time", "min"),

@@ -7,6 +7,7 @@ row per class.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 from math import ceil, fsum, inf, nextafter, sqrt
 
@@ -20,6 +21,7 @@ from flowloom import schemas as S
 from flowloom.operators import features as FE
 from flowloom.operators import sampling as SP
 from flowloom.operators.bounded import MAX_CLASSES, bounded_rows, small_side
+from flowloom.operators.columns import missing_features
 from flowloom.operators.statistics import long_form, moments, order_statistics, value_counts
 from flowloom.schemas import q
 from flowloom.session import materialise
@@ -338,10 +340,12 @@ class FittedSelection:
         """Engineer, pick the stored features in order, apply the stored scale.
 
         Compat: table statistics are recomputed on ``df``. Strict: those of the
-        fit are used, which also makes this work on a stream.
+        fit are used, which also makes this work on a stream. Features that ``df`` can't give are left out with a warning.
         """
         made = FE.engineer(df, self.statistics if mode == "strict" else None, self.key)
-        here = [c for c in self.features if c in made.df.columns]
+        here, gone = missing_features(made.df, self.features)
+        if gone:
+            warnings.warn(f"features that the table does not have: {gone}", stacklevel=2)
         rest = [c for c in (keep or [S.LABEL]) if c in made.df.columns]
         picked = made.df.select(*[q(c) for c in rest], *[q(c) for c in here])
         scaled = standardise(picked, here, {c: self.scale[c] for c in here})

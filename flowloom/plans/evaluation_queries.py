@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowloom import schemas as S
 from flowloom.functions import text as X
 from flowloom.operators import evaluation as EV
+from flowloom.operators.bounded import bounded_rows
 from flowloom.operators import features as FE
 from flowloom.operators import packets as W
 from flowloom.operators import sampling as SP
@@ -101,7 +102,32 @@ def v05(spark, sf_dir):
     return EV.metrics_table(predictions(spark, sf_dir)).withColumn("value", F.round("value", 6))
 
 
-@query("v06_report")
+def _f4(e: str) -> str:
+    return f"printf('%.4f', {e})"
+
+
+@query("v06_report", WITH + PER_CLASS + f""", w as (select sum(precision * support) / sum(support) as p, sum(recall * support) / sum(support) as r,
+    sum(f1 * support) / sum(support) as f, cast(sum(support) as bigint) as n from m),
+  a as (select avg(case when t = p then 1.0::double else 0 end) as a from pr),
+  i as (select avg(inference_time) as mean, median(inference_time) as median, min(inference_time) as low, max(inference_time) as high,
+    stddev_pop(inference_time) as std, count(inference_time) / sum(inference_time) as rate from pr),
+  o as (select *, cast(row_number() over (order by label) as int) as place, sum(support) over () as total from m)
+select 'OVERALL PERFORMANCE' as section, 1 as line_no, 'Accuracy: ' || {_f4("a")} as text from a
+union all select 'OVERALL PERFORMANCE', 2, 'Weighted Precision: ' || {_f4("p")} from w
+union all select 'OVERALL PERFORMANCE', 3, 'Weighted Recall: ' || {_f4("r")} from w
+union all select 'OVERALL PERFORMANCE', 4, 'Weighted F1-Score: ' || {_f4("f")} from w
+union all select 'OVERALL PERFORMANCE', 5, 'Total Samples: ' || n from w
+union all select 'PER-CLASS PERFORMANCE', 0, rpad('Class', 20, ' ') || ' ' || rpad('Precision', 10, ' ') || ' ' || rpad('Recall', 10, ' ')
+  || ' ' || rpad('F1-Score', 10, ' ') || ' ' || rpad('Support', 10, ' ')
+union all select 'PER-CLASS PERFORMANCE', place, rpad(label, 20, ' ') || ' ' || rpad({_f4("precision")}, 10, ' ') || ' '
+  || rpad({_f4("recall")}, 10, ' ') || ' ' || rpad({_f4("f1")}, 10, ' ') || ' ' || rpad(cast(support as varchar), 10, ' ') from o
+union all select 'INFERENCE PERFORMANCE', 1, 'Average Inference Time: ' || {_f4("mean")} || ' seconds' from i
+union all select 'INFERENCE PERFORMANCE', 2, 'Median Inference Time: ' || {_f4("median")} || ' seconds' from i
+union all select 'INFERENCE PERFORMANCE', 3, 'Min Inference Time: ' || {_f4("low")} || ' seconds' from i
+union all select 'INFERENCE PERFORMANCE', 4, 'Max Inference Time: ' || {_f4("high")} || ' seconds' from i
+union all select 'INFERENCE PERFORMANCE', 5, 'Standard Deviation: ' || {_f4("std")} || ' seconds' from i
+union all select 'INFERENCE PERFORMANCE', 6, 'Throughput: ' || printf('%.2f', rate) || ' samples/second' from i
+union all select 'CLASS DISTRIBUTION', place, label || ': ' || support || ' samples (' || printf('%.1f', support * 100.0::double / total) || '%)' from o""")
 def v06(spark, sf_dir):
     return EV.report(predictions(spark, sf_dir), "inference_time")
 
@@ -235,6 +261,17 @@ def x02(spark, sf_dir):
     return out.select("flow_id", F.col("true").alias("truth"), "predicted", (F.col("inference_time") >= 0).alias("timed"))
 
 
+@query("x03_score_one", FLOW_WITH + f"""select label, {_RULE} as predicted_class from f
+  where flow_id in (select min(flow_id) from f group by label)""")
+def x03(spark, sf_dir):
+    """One flow per class, each scored on its own, as the interactive form does."""
+    df = clean_flows(spark, sf_dir)
+    firsts = df.groupBy("label").agg(F.min_by(F.struct(*[F.col(S.q(c)) for c in S.FEATURES]), "flow_id").alias("flow"))
+    rows = [(r["label"], SC.score_one(spark, {c: v for c, v in r["flow"].asDict().items() if v is not None}, load_rule))
+            for r in bounded_rows(firsts)]  # one row per class
+    return spark.createDataFrame(rows, "label string, predicted_class string")
+
+
 @query("x05_baseline_forest")
 def x05(spark, sf_dir):
     """Learnt on four fifths of every class, scored on the rest."""

@@ -408,6 +408,18 @@ def m10(spark, sf_dir):
     return out.select("flow_id", *[F.round(q(c), 6).alias(snake(c)) for c in _FITTED])
 
 
+_LEFT = [c for c in _FITTED if c != "Variance"]
+
+
+@query("b16_missing_features", WITH + ENGINEERED + "select flow_id, 'Variance' as missing, " + ", ".join(_scaled_sql(c, "g") for c in _LEFT) + " from g")
+def b16(spark, sf_dir):
+    """A table without one of the selected features: named, and the others transformed."""
+    fitted, df = fitted_fixture(spark, sf_dir), clean_flows(spark, sf_dir).drop("Variance")
+    _, gone = C.missing_features(df, [c for c in fitted.features if c in S.FEATURES])
+    out = fitted.transform(df, keep=["flow_id"])
+    return out.select("flow_id", F.lit(",".join(gone)).alias("missing"), *[F.round(q(c), 6).alias(snake(c)) for c in _LEFT])
+
+
 @query("m11_fallback_original", WITH + """select label, count(*) as n, 0.0::double as drate, cast(count(*) as double) as llc
   from f group by 1""")
 def m11(spark, sf_dir):

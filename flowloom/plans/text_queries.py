@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowloom import schemas as S
 from flowloom.functions import text as X
 from flowloom.functions.formatting import fmt4, py_repr
+from flowloom.operators import columns as C
 from flowloom.operators import sampling as SP
 from flowloom.operators import statistics as ST
 
@@ -287,7 +289,8 @@ def a04_mixed(spark, sf_dir):
             F.to_json(F.struct("instruction", "input", "output")).alias("r"), F.pmod(F.xxhash64("input"), F.lit(4)).alias("file"))
         arrays = own.groupBy("file").agg(F.concat(
             F.lit(before), F.array_join(F.collect_list("r"), between), F.lit(behind)).alias("value"))  # a fixture's array is one value
-        arrays.select("value").repartition(4, "value").write.mode("append").option("lineSep", "\n\n").text(folder)
+        for file in range(4):  # one array a file
+            arrays.filter(F.col("file") == file).select("value").coalesce(1).write.mode("append").text(folder)
     return IO.read_instructions(spark, folder)
 
 
@@ -339,7 +342,47 @@ def a08(spark, sf_dir):
     return merged.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("Weight"), 3).alias("weight"))
 
 
-@query("g05_step_counts", WITH + """select * from (values (1, 'flows', 48), (2, 'features and label', 47), (3, 'texts', 2)) s(place, step, n_columns),
+@query("a08_merge_parts_strict", WITH + """select label, count(*) as n, """ + ", ".join(
+    f'round(sum(cast("{c}" as decimal(28,9))), 3) as {c.lower()}' for c in ("Weight", "Rate")) + " from f group by 1")
+def a08_strict(spark, sf_dir):
+    """Part files whose columns stand in another order, and one more."""
+    folder = new_folder(spark, "strict-parts")
+    df = clean_flows(spark, sf_dir).select("Rate", "Weight", "label").withColumn("kind", F.pmod(F.xxhash64("Rate", "Weight"), F.lit(2)))
+    for kind, columns in enumerate((["Rate", "Weight", "label"], ["kind", "label", "Weight", "Rate"])):
+        df.filter(F.col("kind") == kind).select(*columns).write.mode("append").option("header", True).csv(folder)
+    merged = IO.merge_parts(spark, folder, df.drop("kind").schema, "strict")
+    return merged.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), *[F.round(F.sum(F.col(c).cast("decimal(28,9)")), 3).alias(c.lower()) for c in ("Weight", "Rate")])
+
+
+@query("b01_validate_columns", WITH + """select label, "column", status, count(*) as n from f, (values ('Rate', 'missing'), ('kind', 'extra')) v("column", status)
+  group by 1, 2, 3""")
+def b01(spark, sf_dir):
+    """The columns of every file of a folder, by its header; files of one class each, so that the rows they hold can be named."""
+    folder = new_folder(spark, "unchecked")
+    df = clean_flows(spark, sf_dir).drop("flow_id").withColumn("kind", F.lit(1)).drop("Rate")
+    df.repartition(F.col("label")).sortWithinPartitions("label").write.option("header", True).csv(folder)
+    found = C.validate_files(spark, folder)
+    rows = IO.read_delimited(spark, folder, T.StructType([T.StructField("label", T.StringType())]), position=False, where=True)
+    per_file = rows.groupBy(F.regexp_extract("_file", "[^/]+$", 0).alias("file"), "label").agg(F.count(F.lit(1)).alias("n"))
+    return per_file.join(found, "file").groupBy("label", "column", "status").agg(F.sum("n").alias("n"))
+
+
+@query("b02_require_columns", WITH + "select label, count(*) as n from f group by 1")
+def b02(spark, sf_dir):
+    df = C.require_columns(clean_flows(spark, sf_dir), S.FLOW_COLUMNS)
+    return df.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("b03_label_column", WITH + "select 'kind' as label_column, label, count(*) as n from f group by 2")
+def b03(spark, sf_dir):
+    """A table without ``label`` is labelled by its last column."""
+    df = clean_flows(spark, sf_dir).withColumnRenamed("label", "kind")
+    name = C.label_column(df)
+    return df.groupBy(F.col(S.q(name)).alias("label")).agg(F.count(F.lit(1)).alias("n")).withColumn("label_column", F.lit(name))
+
+
+@query("g05_step_counts", WITH + """select * from (values (1, 'flows', 48), (2, 'features and label', 47), (3, 'texts', 3)) s(place, step, n_columns),
   (select count(*) as n_rows from f)""")
 def g05_steps(spark, sf_dir):
     """Rows and columns behind each step of the text table, counted by the write itself."""

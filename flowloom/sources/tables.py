@@ -15,7 +15,7 @@ from pyspark.sql.utils import AnalysisException
 from flowloom import schemas as S
 from flowloom.operators.bounded import bounded_rows, small_side
 from flowloom.operators.columns import require_columns
-from flowloom.sources.delimited import BAD, READERS, SEPARATORS, files_of, head_of, layout_of, literal, read_files, with_position
+from flowloom.sources.delimited import READERS, SEPARATORS, files_of, head_of, layout_of, literal, read_files, with_position
 from flowloom.sources.versions import current
 
 MAX_FILES = 100_000
@@ -33,10 +33,10 @@ def sniff_separator(spark: SparkSession, path: str) -> str:
 
 
 def read_delimited(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, sep: str | None = None, position: bool = False,
+    spark: SparkSession, path: str, schema: T.StructType | None = None, sep: str | None = None, position: bool = False, where: bool = False,
 ) -> DataFrame:
     """Delimited files, each by its own header and, without ``sep``, its own separator; see ``delimited.read_files``."""
-    rows = read_files(spark, path, schema, sep, where=position)
+    rows = read_files(spark, path, schema, sep, where=position or where)
     return with_position(rows) if position else rows
 
 
@@ -118,7 +118,7 @@ def read_instructions(spark: SparkSession, path: str) -> DataFrame:
     """Instruction records from JSON, each file one array or one record per line; arrays are cut into records, so that a file can be many tasks.
 
     Files are told apart by their beginning. An array is split at the text that stands between its first two records, and every piece has to
-    be a record: a file in which one is not (the separator is part of a value, or changes) is read as a whole.
+    hold whole records: a file in which one does not (the separator is part of a value) is read as a whole. A file holds one array.
     """
     lines, arrays = [], {}
     files = files_of(spark, path)
@@ -146,11 +146,10 @@ def _array_records(spark: SparkSession, files: list[str], separator: str) -> tup
     """Records of the array files, and the files that can't be cut at ``separator``."""
     text = spark.read.option("lineSep", separator).text([literal(f) for f in files])
     piece = F.regexp_replace(F.regexp_replace("value", r"^\s*\[\s*\{", ""), r"\}\s*\]\s*$", "")
-    as_json = F.concat(F.lit("{"), piece, F.lit("}"))
+    # A piece is read as an array of its own: one record, or several where the file does not always separate them alike.
     rows = text.select(F.col("_metadata.file_path").alias("file"), F.from_json(
-        as_json, T.StructType([*S.INSTRUCTION_SCHEMA.fields, T.StructField(BAD, T.StringType())]),
-        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}).alias("r"))
-    bad = rows.filter(F.col(f"r.{BAD}").isNotNull() | F.col("r").isNull()).select("file").distinct()
+        F.concat(F.lit("[{"), piece, F.lit("}]")), T.ArrayType(S.INSTRUCTION_SCHEMA)).alias("r"))
+    bad = rows.filter(F.col("r").isNull()).select("file").distinct()
     odd = [unquote(r["file"]) for r in bounded_rows(bad, MAX_FILES, "files that can't be split")]
     names = {f.rsplit("/", 1)[-1] for f in odd}
     good = [f for f in files if f.rsplit("/", 1)[-1] not in names]
@@ -159,7 +158,7 @@ def _array_records(spark: SparkSession, files: list[str], separator: str) -> tup
         if not good:
             return spark.createDataFrame([], S.INSTRUCTION_SCHEMA), odd
         return _array_records(spark, good, separator)[0], odd
-    return rows.select(*(F.col(f"r.{f.name}") for f in S.INSTRUCTION_SCHEMA.fields)), []
+    return rows.select(F.explode("r").alias("r")).select("r.*"), []
 
 
 def write_splits(df: DataFrame, folder: str) -> None:

@@ -69,12 +69,14 @@ def test_arrays_are_cut_into_records(spark, tmp_path):
     (tmp_path / "indented.json").write_text("\n" + json.dumps(rows, indent=4) + "\n")
     (tmp_path / "tight 100%.json").write_text(json.dumps(rows, separators=(",", ":")))
     (tmp_path / "tricky.json").write_text(json.dumps([*tricky, *rows[:3]]))
+    mixed = ", ".join(json.dumps(r) for r in rows[:5]) + " ,\n" + ",".join(json.dumps(r) for r in rows[5:9])
+    (tmp_path / "changing separators.json").write_text(f" [ {mixed} ] ")
     (tmp_path / "one.json").write_text(json.dumps(rows[:1]))
     (tmp_path / "none.json").write_text("[]")
     (tmp_path / "empty.json").write_text("")
     (tmp_path / "lines.json").write_text("\n".join(map(json.dumps, rows[:7])))
     got = sorted((r.input, r.output) for r in IO.read_instructions(spark, str(tmp_path)).collect())
-    want = sorted((r["input"], r["output"]) for r in [*rows * 3, *tricky, *rows[:3], *rows[:1], *rows[:7]])
+    want = sorted((r["input"], r["output"]) for r in [*rows * 3, *rows[:9], *tricky, *rows[:3], *rows[:1], *rows[:7]])
     assert got == want
 
 

@@ -358,16 +358,12 @@ def q05(spark, sf_dir):
     return SW.inventory(_requested(spark, sf_dir), _published(spark, sf_dir))
 
 
-@query("q01_sweep", FLOW_WITH + SPLIT_CTE + """ select n_features, split, count(*) as n, 'SUCCESS' as status
-  from split cross join (select unnest([6, 10]) as n_features) group by 1, 2""")
+@query("q01_sweep", FLOW_WITH + SPLIT_CTE + """ select n_features, split, label as output, count(*) as n, n_features as n_values,
+  'SUCCESS' as status from split cross join (select unnest([6, 10]) as n_features) group by 1, 2, 3""")
 def q01(spark, sf_dir):
-    base = new_folder(spark, "sweep")
-    status, used = SW.sweep(
-        clean_flows(spark, sf_dir), "flow_id", [6, 10], lambda n: f"{base}/n={n}", "lineitem", max_fit_rows=FIT_ROWS)
-    out = None
-    for n in used:
-        rows = IO.read_split(spark, f"{base}/n={n}").groupBy("split").agg(F.count(F.lit(1)).alias("n"))
-        rows = rows.withColumn("n_features", F.lit(n))
-        out = rows if out is None else out.unionByName(rows)
-    return out.join(status.select("n_features", "status"), "n_features").select("n_features", "split", "n", "status")
+    folder = new_folder(spark, "sweep")
+    status, _ = SW.sweep_table(clean_flows(spark, sf_dir), "flow_id", [6, 10], folder, "lineitem", max_fit_rows=FIT_ROWS)
+    rows = SW.read_sweep(spark, folder).withColumn("n_values", F.size(X.parse_features(F.col("input"))))
+    out = rows.groupBy("n_features", "split", "output", "n_values").agg(F.count(F.lit(1)).alias("n"))
+    return out.join(status.select("n_features", "status"), "n_features").select("n_features", "split", "output", "n", "n_values", "status")
 

@@ -149,3 +149,33 @@ def test_sketched_quantiles_on_tied_data(spark):
     exact = {r.feature: r for r in ST.column_statistics(df, ["tied", "spread"]).collect()}
     assert all(table[c].mean == exact[c].mean and abs(table[c].median - exact[c].median) < 1 for c in table)
     assert S.LABEL not in table
+
+
+def test_a_second_sweep_of_one_count_leaves_the_others_alone(spark, tmp_path):
+    from flowloom.operators.selection import Forest
+
+    df = spark.range(60).select(
+        F.col("id").cast("string").alias("k"), (F.col("id") % 2).cast("double").alias("Rate"), (F.col("id") % 7).cast("double").alias("IAT"),
+        (F.col("id") % 5).cast("double").alias("Std"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("label"))
+    folder = str(tmp_path / "sweep")
+
+    def run(counts, **kw):
+        status, used = SW.sweep_table(df, "k", counts, folder, "src", (Forest(3, 3),), **kw)
+        return {(r.n_features, r.status) for r in status.collect()}, used
+
+    def files():
+        return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, names in os.walk(folder) for f in names
+                if f.endswith(".json")}
+
+    done, used = run([2, 3, 500])
+    assert done == {(2, "SUCCESS"), (3, "SUCCESS"), (500, "FAILED")} and {n: len(f) for n, f in used.items()} == {2: 2, 3: 3}
+    before = files()
+    assert run([2, 3])[0] == {(2, "SKIPPED"), (3, "SKIPPED")} and files() == before
+    assert run([3], again=True)[0] == {(3, "SUCCESS")}
+    after = files()
+    assert {f: t for f, t in before.items() if "n_features=2" in f} == {f: t for f, t in after.items() if "n_features=2" in f}
+    assert not {f for f in before if "n_features=3" in f} & set(after)
+    counts = {(r.n_features, r.split): r["count"] for r in SW.read_sweep(spark, folder).groupBy("n_features", "split").count().collect()}
+    assert counts == {(n, s): c for n in (2, 3) for s, c in (("train", 42), ("validation", 9), ("test", 9))}
+    with pytest.raises(ValueError):
+        run([0])

@@ -97,5 +97,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-# The first and third stage can't be said in SQL; tests/llm hold the stages against brute force.
+# The first, third and fourth stage can't be said in SQL. tests/llm hold line dedup and mixing against SQL, near copies and leaks against
+# brute force, and language ID against held-out labels.
 ORACLE_SQL = None

@@ -304,9 +304,11 @@ def equal_strings(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndar
                 break
             np.cumsum(bound, out=before)
             apart = before[here] != before[there]
-            bound[open_[apart]] = True
-            rest = ~apart
-            open_, here, there = open_[rest], here[rest], there[rest]
+            found = np.flatnonzero(apart)
+            bound[open_[found]] = True
+            if 8 * len(found) > len(open_):  # until then, those that are known stay in the list
+                rest = ~apart
+                open_, here, there = open_[rest], here[rest], there[rest]
         low = max(low, high)
     return order, np.cumsum(bound) - 1
 

@@ -273,7 +273,7 @@ def a03(spark, sf_dir):
 def a04(spark, sf_dir):
     folder = new_folder(spark, "records")
     records = X.instruction_records(clean_flows(spark, sf_dir).drop("flow_id"))
-    records.write.json(folder)
+    IO.write_instructions(records, folder)
     return IO.read_instructions(spark, folder)
 
 

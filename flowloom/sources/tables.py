@@ -19,6 +19,10 @@ from flowloom.sources.delimited import READERS, SEPARATORS, files_of, head_of, l
 from flowloom.sources.versions import current
 
 MAX_FILES = 100_000
+# Records repeat one instruction and the feature names: written plain they are over ten times their table. A compressed file is one
+# task to its readers, so it holds a bounded number of records.
+COMPRESSION = "gzip"
+RECORDS_PER_FILE = 250_000
 
 # ---- delimited files -------------------------------------------------------------------------
 
@@ -161,9 +165,14 @@ def _array_records(spark: SparkSession, files: list[str], separator: str) -> tup
     return rows.select(F.explode("r").alias("r")).select("r.*"), []
 
 
+def write_instructions(df: DataFrame, path: str, by: list[str] | None = None, records_per_file: int = RECORDS_PER_FILE) -> None:
+    """Compressed JSON lines, a folder per value of the ``by`` columns."""
+    df.write.mode("overwrite").options(compression=COMPRESSION, maxRecordsPerFile=records_per_file).partitionBy(*by or []).json(path)
+
+
 def write_splits(df: DataFrame, folder: str) -> None:
     """``records/split=train`` (``validation``, ``test``) folders of JSON lines."""
-    df.write.mode("overwrite").partitionBy("split").json(f"{folder}/records")
+    write_instructions(df, f"{folder}/records", ["split"])
 
 
 def read_split(spark: SparkSession, folder: str, split: str | None = None) -> DataFrame:

@@ -179,3 +179,15 @@ def test_a_second_sweep_of_one_count_leaves_the_others_alone(spark, tmp_path):
     assert counts == {(n, s): c for n in (2, 3) for s, c in (("train", 42), ("validation", 9), ("test", 9))}
     with pytest.raises(ValueError):
         run([0])
+
+
+def test_records_are_compressed_in_files_of_bounded_size(spark, tmp_path):
+    rows = [("i" * 400, f"Rate: {i}.0, Weight: {i % 7}.0, " + "HTTP: 0.0, " * 40, "o", "train" if i % 3 else "test") for i in range(900)]
+    df = spark.createDataFrame(rows, "instruction string, input string, output string, split string").coalesce(1)
+    IO.write_splits(df, str(tmp_path / "splits"))
+    plain = sum(len(json.dumps(r)) for r in rows)
+    assert sum(f.stat().st_size for f in (tmp_path / "splits").rglob("part-*")) < plain / 5
+    assert sorted(map(tuple, IO.read_split(spark, str(tmp_path / "splits")).collect())) == sorted(rows)
+    IO.write_instructions(df.drop("split"), str(tmp_path / "lines"), records_per_file=100)
+    assert len(list((tmp_path / "lines").glob("part-*"))) == 9
+    assert sorted(map(tuple, IO.read_instructions(spark, str(tmp_path / "lines")).collect())) == sorted(r[:3] for r in rows)

@@ -283,14 +283,9 @@ def a04_mixed(spark, sf_dir):
     folder = new_folder(spark, "mixed-records")
     records = X.instruction_records(clean_flows(spark, sf_dir), keep=["flow_id"])
     kinds = records.withColumn("kind", F.pmod(F.xxhash64("flow_id"), F.lit(3))).drop("flow_id")
-    kinds.filter("kind = 0").drop("kind").write.mode("append").json(folder)
-    for kind, (before, between, behind) in ((1, ("[", ", ", "]")), (2, ("[\n  ", ",\n  ", "\n]\n"))):
-        own = kinds.filter(F.col("kind") == kind).select(
-            F.to_json(F.struct("instruction", "input", "output")).alias("r"), F.pmod(F.xxhash64("input"), F.lit(4)).alias("file"))
-        arrays = own.groupBy("file").agg(F.concat(
-            F.lit(before), F.array_join(F.collect_list("r"), between), F.lit(behind)).alias("value"))  # a fixture's array is one value
-        for file in range(4):  # one array a file
-            arrays.filter(F.col("file") == file).select("value").coalesce(1).write.mode("append").text(folder)
+    IO.write_instructions(kinds.filter("kind = 0").drop("kind"), folder)
+    for kind, marks in ((1, ("[", ",", "]", " ")), (2, ("[\n  ", ",\n  ", "\n]", "\n"))):
+        IO.write_instruction_arrays(kinds.filter(F.col("kind") == kind).drop("kind"), folder, *marks)
     return IO.read_instructions(spark, folder)
 
 

@@ -7,6 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -170,6 +171,33 @@ def write_instructions(df: DataFrame, path: str, by: list[str] | None = None, re
     df.write.mode("overwrite").options(compression=COMPRESSION, maxRecordsPerFile=records_per_file).partitionBy(*by or []).json(path)
 
 
+def write_instruction_arrays(
+    df: DataFrame, path: str, before: str = "[", between: str = ",", behind: str = "]", end: str = "\n", records_per_file: int = RECORDS_PER_FILE,
+) -> None:
+    """Files added to a folder, each one JSON array of at most ``records_per_file`` records; ``end`` follows ``between`` and the array.
+
+    A record is a line of its own to the writer, which begins a file after as many rows; the rows where that happens carry the brackets. So no
+    array is ever held as a whole.
+    """
+
+    def marked(batches):
+        at, kept = 0, None  # the last row waits until it is known whether the array ends with it
+        for batch in batches:
+            out = []
+            for text in batch.column(0).to_pylist():
+                if kept is not None:
+                    out.append(kept + (behind if at % records_per_file == 0 else between))
+                kept = text if at % records_per_file else before + text
+                at += 1
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+        if kept is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([kept + behind], pa.string())], ["value"])
+
+    lines = df.select(F.to_json(F.struct(*df.columns)).alias("value")).mapInArrow(marked, "value string")
+    lines.write.mode("append").options(lineSep=end, compression=COMPRESSION, maxRecordsPerFile=records_per_file).text(path)
+
+
 def write_splits(df: DataFrame, folder: str) -> None:
     """``records/split=train`` (``validation``, ``test``) folders of JSON lines."""
     write_instructions(df, f"{folder}/records", ["split"])

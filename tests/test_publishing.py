@@ -1,5 +1,6 @@
 """Publishing by version, arrays of records, counts without a job, and sketches."""
 
+import gzip
 import json
 import os
 
@@ -10,6 +11,7 @@ from flowloom import schemas as S
 from flowloom.operators import packets as W
 from flowloom.operators import statistics as ST
 from flowloom.plans import sweep as SW
+from flowloom.plans.catalog import QUERIES
 from flowloom.sources import tables as IO
 from flowloom.sources import versions as V
 
@@ -191,3 +193,26 @@ def test_records_are_compressed_in_files_of_bounded_size(spark, tmp_path):
     IO.write_instructions(df.drop("split"), str(tmp_path / "lines"), records_per_file=100)
     assert len(list((tmp_path / "lines").glob("part-*"))) == 9
     assert sorted(map(tuple, IO.read_instructions(spark, str(tmp_path / "lines")).collect())) == sorted(r[:3] for r in rows)
+
+
+def test_arrays_are_written_row_by_row(spark, tmp_path):
+    """Whole files of one array each, whatever the rows of a task; marks as an indented and as a compact file have them."""
+    rows = [("i", f"a {i}", "o") for i in range(1_010)]
+    df = spark.createDataFrame(rows, "instruction string, input string, output string").coalesce(1)
+    for name, marks in (("compact", ("[", ",", "]", " ")), ("indented", ("[\n  ", ",\n  ", "\n]", "\n"))):
+        folder = tmp_path / name
+        IO.write_instruction_arrays(df, str(folder), *marks, records_per_file=100)
+        IO.write_instruction_arrays(df.filter("false"), str(folder), *marks, records_per_file=100)  # adds no array
+        arrays = [json.loads(t) for f in folder.glob("part-*") if (t := gzip.open(f, "rt").read())]
+        assert sorted(map(len, arrays)) == [10, *[100] * 10]
+        assert sorted(tuple(r.values()) for a in arrays for r in a) == sorted(rows)
+        assert sorted(map(tuple, IO.read_instructions(spark, str(folder)).collect())) == sorted(rows)
+
+
+def test_arrays_of_the_query_are_no_values(spark, small):
+    plans = []
+    write = IO.write_instruction_arrays
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(IO, "write_instruction_arrays", lambda df, *a, **k: (plans.append(df._jdf.queryExecution().toString()), write(df, *a, **k)))
+        QUERIES["a04_arrays_and_lines"](spark, small)
+    assert len(plans) == 2 and not any("collect_list" in p for p in plans)

@@ -11,6 +11,7 @@ from flowloom.operators import columns as C
 from flowloom.operators import features as FE
 from flowloom.operators import selection as SEL
 from flowloom.operators import statistics as ST
+from flowloom.plans.sampling_queries import clean_flows
 
 
 @pytest.fixture(scope="module")
@@ -197,3 +198,31 @@ def test_forests_learn_from_a_bounded_stratified_sample(spark):
     assert SEL.fit_sample(df, "key", max_fit_rows=10_000).count() == 6_000
     found = SEL.rf_importance(df, ["noise", "strong"], "key", forests=(SEL.Forest(20, 5),), max_fit_rows=600)
     assert found["strong"] > 2 * found["noise"]
+
+
+def test_large_columns_take_few_passes(spark):
+    """Columns of few values are settled by one pass, others as soon as few values are left; NaN, zeros and values met late count."""
+    n = 6_000
+    df = spark.range(n, numPartitions=3).selectExpr(
+        "double(id % 7) as few", "if(id % 2 = 0, -0.0D, 0.0D) as zeros", f"if(id = {n - 1}, -1e9D, 5D) as late",
+        "if(id % 3 = 0, double('NaN'), double(id)) as nan", "double(hash(id)) / 7 as wide", "double(id * id) as square")
+    rows = df.toPandas()
+    ranks = {c: [0, 100, 3_000, n - 1] for c in df.columns}
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(ST, "FEW_VALUES", 50)
+        found = ST.order_statistics(df, ranks, {c: n for c in df.columns}, exact_values=500)
+        few = ST._of_few_values(df, ranks)
+    for (c, r), got in found.items():
+        np.testing.assert_equal(got + 0.0, float(np.sort(rows[c].to_numpy() + 0.0)[r]))
+    assert len(found) == 4 * len(df.columns) and {c for c, _ in few} == {"few", "zeros", "late"}
+
+
+def test_sums_read_a_written_table(spark, small):
+    """Formulas and sums are not one stage: its method would be too long to compile. The session keeps its settings."""
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    ready = SEL.prepare(clean_flows(spark, small), "flow_id")
+    assert "engineered-" in ready.made.df.inputFiles()[0] and spark.conf.get(name) == before
+    plain = FE.engineer(clean_flows(spark, small), key="flow_id").df
+    for c, m in ST.moments(plain, ready.names).items():
+        assert ready.moments[c]["n"] == m["n"] and ready.moments[c]["mean"] == pytest.approx(m["mean"], rel=1e-9)

@@ -111,3 +111,18 @@ def test_fixed_decimals_round_the_binary_value(spark):
     for places in (1, 2, 4):
         df = spark.createDataFrame([(v,) for v in values], "x double").select("x", fixed(F.col("x"), places).alias("t"))
         assert {r.x: r.t for r in df.collect()} == {v: f"{v:.{places}f}" for v in values}
+
+
+def test_feature_numbers(spark):
+    df = spark.createDataFrame([("Network flow features: b: 2, a: 1e-05, c: x, junk, d: nan",), ("a: 1, b: 2",), ("a: 3, a: 4",), (None,)], "t string")
+    rows = df.select(X.parse_features(F.col("t")).alias("m")).select(X.feature_numbers(F.col("m"), ["a", "b", "c", "e"]).alias("x")).collect()
+    assert [r.x for r in rows] == [[1e-05, 2.0, None, None], [1.0, 2.0, None, None], [4.0, None, None, None], [None] * 4]
+
+
+def test_parsed_features_are_looked_up_once(spark, small):
+    """No lookup per column in the method of the stage, and one cut of the text."""
+    from flowloom.plans.catalog import QUERIES
+
+    plan = QUERIES["t10_parse_features"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    # the interpreted lambda's lookup, not 46 of them
+    assert plan.count("element_at(m#") == 1 and plan.count("split(") == 1

@@ -226,3 +226,31 @@ def test_sums_read_a_written_table(spark, small):
     plain = FE.engineer(clean_flows(spark, small), key="flow_id").df
     for c, m in ST.moments(plain, ready.names).items():
         assert ready.moments[c]["n"] == m["n"] and ready.moments[c]["mean"] == pytest.approx(m["mean"], rel=1e-9)
+
+
+def test_forests_are_fitted_side_by_side(spark, monkeypatch):
+    """All fits are under way at once, each on few tasks; the sum is in the order of the fits."""
+    import threading
+
+    from pyspark.ml.classification import RandomForestClassifier
+
+    class Model:
+        def __init__(self, value):
+            self.featureImportances = self
+            self.value = value
+
+        def toArray(self):
+            return [self.value, 1.0]
+
+    together = threading.Barrier(4, timeout=60)
+    parts = []
+
+    def fit(self, table):
+        together.wait()  # breaks unless four fits wait here
+        parts.append(table.rdd.getNumPartitions())
+        return Model(float(self.getMaxDepth()))
+
+    monkeypatch.setattr(RandomForestClassifier, "fit", fit)
+    df = spark.range(400).selectExpr("id", "cast(id % 2 as string) as label", "double(id) as a", "double(id % 3) as b").repartition(8)
+    found = SEL.rf_importance(df, ["a", "b"], "id", forests=(SEL.Forest(2, 3), SEL.Forest(2, 5)), folds=2)
+    assert found == {"a": 4.0, "b": 1.0} and max(parts) <= 2

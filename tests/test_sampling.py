@@ -113,3 +113,19 @@ def test_rank_of_a_missing_class_at_any_size(spark):
     one = {r.k: r._rank for r in R.with_rank(df, "label", "k", rows_per_bucket=10**6).collect()}
     many = {r.k: r._rank for r in R.with_rank(df, "label", "k", rows_per_bucket=10).collect()}
     assert one == many and len(one) == 1000
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 150, 399, 400, 500])
+def test_head_by_ranges(spark, n):
+    """More rows than a top-k may bring to one task: whole ranges, and the beginning of one."""
+    df = spark.range(400).select(F.concat(F.lit("k"), F.pmod(F.col("id") * 37, F.lit(400)).cast("string")).alias("key"), "id")
+    out = SP.head(df, "key", n, top_k_rows=5, rows_per_range=50)
+    assert [r.key for r in out.collect()] == sorted(f"k{i}" for i in range(400))[:n]
+
+
+def test_head_of_flows_has_no_task_of_all_rows(spark, small):
+    from flowloom.plans.sampling_queries import clean_flows
+
+    df = clean_flows(spark, small).select("flow_id", "label")
+    plan = SP.head(df, "flow_id", 1_500, rows_per_range=500)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan  # ranges and the rest, no limit over the table

@@ -222,7 +222,8 @@ def u01(spark, sf_dir):
 def u02(spark, sf_dir):
     """Names of one side that the other does not have, either way; both sides are whole columns, told apart by value."""
     df = predictions(spark, sf_dir)
-    truth, predicted = df.select(F.col("true").alias("label")), df.select(F.col("predicted").alias("label"))
+    # A difference drops what is equal only after it has matched all rows by name, and a name may be most of them.
+    truth, predicted = df.select(F.col("true").alias("label")).distinct(), df.select(F.col("predicted").alias("label")).distinct()
     left = truth.subtract(predicted.filter(F.col("label").isin("view", "error", "purchase"))).withColumn("side", F.lit("truth_only"))
     right = predicted.subtract(truth.filter(F.col("label") != "click")).withColumn("side", F.lit("predicted_only"))
     return left.unionByName(right)
@@ -266,8 +267,8 @@ def x02(spark, sf_dir):
 def x03(spark, sf_dir):
     """One flow per class, each scored on its own, as the interactive form does."""
     df = clean_flows(spark, sf_dir)
-    firsts = df.groupBy("label").agg(F.min_by(F.struct(*[F.col(S.q(c)) for c in S.FEATURES]), "flow_id").alias("flow"))
-    rows = [(r["label"], SC.score_one(spark, {c: v for c, v in r["flow"].asDict().items() if v is not None}, load_rule))
+    firsts = ST.first_rows_of(df, "label", "flow_id", S.FEATURES)
+    rows = [(r["label"], SC.score_one(spark, {c: v for c, v in r["first"].asDict().items() if v is not None}, load_rule))
             for r in bounded_rows(firsts)]  # one row per class
     return spark.createDataFrame(rows, "label string, predicted_class string")
 

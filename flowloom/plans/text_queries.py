@@ -221,7 +221,8 @@ def a01_unlike(spark, sf_dir):
     kinds = [(names, ","), (names[::-1], ";"), ([*names[20:], "kind", *names[:20]], "\t")]
     for kind, (columns, sep) in enumerate(kinds):
         rows.filter(F.col("kind") == kind).select(*(F.col(S.q(c)) for c in columns)).write.mode("append").options(
-            header=True, sep=sep, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(folder)
+            header=True, sep=sep, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+            compression=IO.COMPRESSION, maxRecordsPerFile=IO.RECORDS_PER_FILE).csv(folder)
     schema = T.StructType([T.StructField("flow_id", T.StringType()), *S.FLOW_SCHEMA.fields])
     return IO.read_flow_csv(spark, folder, schema)
 
@@ -357,7 +358,8 @@ def b01(spark, sf_dir):
     """The columns of every file of a folder, by its header; files of one class each, so that the rows they hold can be named."""
     folder = new_folder(spark, "unchecked")
     df = clean_flows(spark, sf_dir).drop("flow_id").withColumn("kind", F.lit(1)).drop("Rate")
-    df.repartition(F.col("label")).sortWithinPartitions("label").write.option("header", True).csv(folder)
+    # By class, but a class of many rows in many files.
+    df.hint("rebalance", F.col("label")).sortWithinPartitions("label").write.option("header", True).csv(folder)
     found = C.validate_files(spark, folder)
     rows = IO.read_delimited(spark, folder, T.StructType([T.StructField("label", T.StringType())]), position=False, where=True)
     per_file = rows.groupBy(F.regexp_extract("_file", "[^/]+$", 0).alias("file"), "label").agg(F.count(F.lit(1)).alias("n"))

@@ -16,6 +16,7 @@ from pyspark.sql.utils import AnalysisException
 from flowloom import schemas as S
 from flowloom.operators.bounded import bounded_rows, small_side
 from flowloom.operators.columns import require_columns
+from flowloom.operators.statistics import first_rows_of
 from flowloom.sources.delimited import READERS, SEPARATORS, files_of, head_of, layout_of, literal, read_files, with_position
 from flowloom.sources.versions import current
 
@@ -48,8 +49,8 @@ def read_delimited(
 def read_flow_csv(
     spark: SparkSession, folder: str, schema: T.StructType | None = S.FLOW_SCHEMA, position: bool = False,
 ) -> DataFrame:
-    """All ``part-*.csv`` files of a folder; fails when there are none. ``position`` numbers the rows in file order."""
-    path = f"{literal(folder.rstrip('/'))}/part-*.csv"
+    """All ``part-*.csv`` files of a folder, compressed or not; fails when there are none. ``position`` numbers the rows in file order."""
+    path = f"{literal(folder.rstrip('/'))}/part-*.csv{{,.gz}}"
     try:
         return read_delimited(spark, path, schema, position=position)
     except AnalysisException as e:
@@ -62,8 +63,9 @@ def read_text_label(spark: SparkSession, path: str) -> DataFrame:
     return require_columns(rows, ["text", "label"])
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").options(header=True, escape='"').csv(path)
+def write_csv(df: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
+    """Files of a bounded number of records, as a reader that knows lines inside values takes a file as one task."""
+    df.write.mode("overwrite").options(header=True, escape='"', maxRecordsPerFile=records_per_file).csv(path)
 
 
 def merge_parts(spark: SparkSession, folder: str, schema: T.StructType, mode: str = "compat") -> DataFrame:
@@ -78,7 +80,7 @@ def merge_parts(spark: SparkSession, folder: str, schema: T.StructType, mode: st
     lines = spark.read.option("ignoreCorruptFiles", True).text(folder).select(
         F.input_file_name().alias("file"), "value",
         F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("at"))
-    headers = lines.groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    headers = first_rows_of(lines, "file", "at", ["value"]).select("file", F.col("first.value").alias("header"))
     rows = lines.select("file", "value").join(small_side(headers), "file").filter("value != header")
     out = None
     for (header,) in bounded_rows(headers.select("header").distinct(), what="different headers"):

@@ -1,9 +1,12 @@
 """Plans whose largest task must not grow with the table."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowloom.operators import statistics as ST
+from flowloom.plans import text_queries as TQ
 from flowloom.plans.catalog import QUERIES
+from flowloom.sources import tables as IO
 
 
 def _plan(df, physical=False):
@@ -28,3 +31,39 @@ def test_names_are_distinct_before_they_meet(spark, small):
             place = line.index("Join")
             others.append(next(x for x in lines[i + 1:] if x[place:].startswith("+- ")))
     assert len(others) == 2 and all("Aggregate" in x for x in others)
+
+
+def test_headers_are_not_sorted_with_all_lines(spark, tmp_path):
+    path = str(tmp_path / "parts")
+    spark.createDataFrame([(1.0, "x"), (2.0, "y")], "a double, label string").write.option("header", True).csv(path)
+    merged = IO.merge_parts(spark, path, T.StructType([T.StructField("a", T.DoubleType())]), "strict")
+    plan = _plan(merged, physical=True)
+    assert "ObjectHashAggregate" in plan and "SortAggregate" not in plan
+    assert sorted(r.a for r in merged.collect()) == [1.0, 2.0]
+
+
+def test_csv_files_hold_a_bounded_number_of_records(spark, tmp_path):
+    path = str(tmp_path / "texts")
+    IO.write_csv(spark.range(95).selectExpr("concat('a\\n', id) as text", "'x' as label").coalesce(1), path, records_per_file=20)
+    assert len(list(tmp_path.glob("texts/part-*.csv"))) == 5 and IO.read_text_label(spark, path).count() == 95
+
+
+def test_a_large_class_is_in_many_files(spark, small, tmp_path, monkeypatch):
+    monkeypatch.setattr(TQ, "new_folder", lambda spark, purpose: str(tmp_path / purpose))
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "10k")
+    try:
+        QUERIES["b01_validate_columns"](spark, small)
+    finally:
+        spark.conf.set(size, before)
+    files = [f.read_text() for f in tmp_path.glob("unchecked/part-*.csv")]
+    assert sum(",Benign,1" in f for f in files) > 1
+
+
+def test_unlike_files_are_compressed(spark, small, tmp_path, monkeypatch):
+    monkeypatch.setattr(TQ, "new_folder", lambda spark, purpose: str(tmp_path / purpose))
+    out = QUERIES["a01_unlike_files"](spark, small)
+    files = list(tmp_path.glob("unlike/part-*"))
+    assert files and all(f.name.endswith(".csv.gz") for f in files)
+    assert len(out.select("flow_id").collect()) == spark.read.parquet(f"{small}/lineitem.parquet").count()

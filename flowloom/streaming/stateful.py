@@ -33,11 +33,6 @@ from flowloom.schemas import q
 NO_TIME = np.iinfo(np.int64).max
 
 
-def _in_order(parts: Iterator[pd.DataFrame], position: str) -> pd.DataFrame:
-    """All rows of a key in this micro-batch; ``position`` is unique inside the key."""
-    return pd.concat(parts, ignore_index=True).sort_values(position, kind="stable", ignore_index=True)
-
-
 def _start(df: DataFrame, folder: str, name: str) -> StreamingQuery:
     """Append to ``folder/out`` until the source is drained; the file sink takes each micro-batch once."""
     return (
@@ -66,37 +61,46 @@ def _flow_update(idle_us: int | None, timeout: bool) -> Callable:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = _in_order(parts, W.POSITION)
+        # Captures hold very many flows of a few packets each: arrays, as a table operation costs more than such a flow.
+        tables = list(parts)
+        rows = tables[0] if len(tables) == 1 else pd.concat(tables, ignore_index=True)
+        places = rows[W.POSITION].to_numpy()
+        order = np.argsort(places, kind="stable")
         old = tuple(state.get) if state.exists else _EMPTY_FLOW
-        ts = rows["ts_us"].to_numpy(np.int64)
+        ts, protocol = rows["ts_us"].to_numpy(np.int64)[order], rows["ip_proto"].to_numpy()[order]
+        size = rows["frame_len"].to_numpy()
+        size = (size if size.dtype.kind == "i" else rows["frame_len"].fillna(0).to_numpy()).astype(np.int64)[order]
         latest = np.maximum.accumulate(np.append(old[8], ts))
         # A pause leaves the latest time of the new part of the flow equal to that of the whole flow.
         new = np.zeros(len(ts), bool)
         if idle_us is not None:
             new = (latest[:-1] != -NO_TIME) & (ts > latest[:-1] + idle_us)
-        part = pd.Series(np.cumsum(new))
-        first = (part == 0).to_numpy()
+        ends = [0, *np.flatnonzero(new).tolist(), len(ts)]
         out, kept = {c: np.zeros(len(ts), np.int64) for c in _FLOW_VALUES}, []
         for i, number in enumerate((S.TCP, S.UDP)):
-            mine = (rows["ip_proto"] == number).to_numpy()
-            n0, bytes0, lo0, hi0 = old[4 * i:4 * i + 4]
-            n = pd.Series(mine.astype(np.int64)).groupby(part).cumsum().to_numpy() + first * n0
-            size = pd.Series(np.where(mine, rows["frame_len"].fillna(0).to_numpy(np.int64), 0))
-            size = size.groupby(part).cumsum().to_numpy() + first * bytes0
-            lo = pd.Series(np.where(mine, ts, NO_TIME)).groupby(part).cummin().to_numpy()
-            hi = pd.Series(np.where(mine, ts, -NO_TIME)).groupby(part).cummax().to_numpy()
-            lo, hi = np.where(first, np.minimum(lo, lo0), lo), np.where(first, np.maximum(hi, hi0), hi)
-            out["flow_packets"][mine], out["flow_bytes"][mine] = n[mine], size[mine]
-            out["flow_us"][mine] = (hi - lo)[mine]
-            if number == S.TCP:
-                out["tcp_packets"] = n
-            kept += [int(v[-1]) for v in (n, size, lo, hi)]
+            mine = protocol == number
+            start = old[4 * i:4 * i + 4]
+            for low, high in zip(ends[:-1], ends[1:], strict=True):
+                if low == high:  # the first packet begins a new part
+                    start = _EMPTY_FLOW[:4]
+                    continue
+                own = mine[low:high]
+                n = np.cumsum(own) + start[0]
+                total = np.cumsum(np.where(own, size[low:high], 0)) + start[1]
+                first = np.minimum(np.minimum.accumulate(np.where(own, ts[low:high], NO_TIME)), start[2])
+                last = np.maximum(np.maximum.accumulate(np.where(own, ts[low:high], -NO_TIME)), start[3])
+                out["flow_packets"][low:high][own], out["flow_bytes"][low:high][own] = n[own], total[own]
+                out["flow_us"][low:high][own] = (last - first)[own]
+                if number == S.TCP:
+                    out["tcp_packets"][low:high] = n
+                ended, start = (n, total, first, last), _EMPTY_FLOW[:4]
+            kept += [int(v[-1]) for v in ended]
         state.update((*kept, int(latest[-1])))
         if timeout:
             state.setTimeoutTimestamp((int(latest[-1]) + idle_us) // 1000 + 1)
         yield pd.DataFrame({
-            W.CAPTURE: key[0], W.POSITION: rows[W.POSITION],
-            **{c: pd.Series([v] * len(ts), dtype=object) for c, v in zip(_FLOW_KEY, key[1:], strict=True)}, **out})
+            W.CAPTURE: [key[0]] * len(ts), W.POSITION: places[order],
+            **{c: np.array([v] * len(ts), object) for c, v in zip(_FLOW_KEY, key[1:], strict=True)}, **out})
 
     return update
 
@@ -148,16 +152,22 @@ def _summaries(keys: list[str], position: str, value: str | None, tail: int) ->
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple, list] = {}
         for rows in batches:
-            for key, own in rows.groupby(by, dropna=False, sort=False):
-                key = tuple(None if pd.isna(k) else k for k in key)
-                own = own.sort_values(position, kind="stable")
-                places = own[position].tolist()
-                values = [None if pd.isna(v) else int(v) for v in own[value].tolist()] if value else [0] * len(own)
-                pairs = list(zip(places, values, strict=True))
-                old = held.setdefault(key, [0, pairs[0], []])
-                old[0] += len(pairs)
-                old[1] = min(old[1], pairs[0], key=lambda p: p[0])
-                old[2] = sorted([*old[2], *pairs[len(pairs) - min(tail, len(pairs)):]], key=lambda p: p[0])[-tail:] if tail else []
+            # One sort for all keys of the batch: a table operation for each costs more than the few rows of a small capture.
+            group = rows.groupby(by, dropna=False, sort=False).ngroup().to_numpy()
+            order = np.lexsort((rows[position].to_numpy(), group))
+            places = rows[position].to_numpy()[order].tolist()
+            values = [None if pd.isna(v) else int(v) for v in rows[value].to_numpy()[order].tolist()] if value else [0] * len(order)
+            names = [rows[c].to_numpy()[order] for c in by]
+            starts = [*np.flatnonzero(np.diff(group[order], prepend=-1)).tolist(), len(order)]
+            for low, high in zip(starts[:-1], starts[1:], strict=True):
+                key = tuple(None if pd.isna(c[low]) else c[low] for c in names)
+                old = held.setdefault(key, [0, (places[low], values[low]), []])
+                old[0] += high - low
+                old[1] = min(old[1], (places[low], values[low]), key=lambda p: p[0])
+                if tail:
+                    begin = max(low, high - tail)
+                    last = list(zip(places[begin:high], values[begin:high], strict=True))
+                    old[2] = sorted([*old[2], *last], key=lambda p: p[0])[-tail:]
         out = [(*k, n, first[0], first[1], [p for p, _ in last], [v for _, v in last]) for k, (n, first, last) in held.items()]
         yield pd.DataFrame(out, columns=[*by, _N, "first_at", _FIRST, "tail_at", _TAIL]).astype({_FIRST: "Int64"})
 
@@ -217,11 +227,14 @@ def in_blocks(
           else F.lit(0 if c in numbers else None).cast(types[c]).alias(c) for c in rows.columns],
         BLOCK, _N, _FIRST, _TAIL, F.lit(True).alias(_CARRY))
 
+    names = rows.columns
+
     def meet(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
-        carry = table[table[_CARRY]].iloc[0]
-        first = None if pd.isna(carry[_FIRST]) else int(carry[_FIRST])
-        rows = table[~table[_CARRY]].sort_values(position, kind="stable", ignore_index=True)
-        return finish(key[:-1], rows.drop(columns=[BLOCK, _N, _FIRST, _TAIL, _CARRY]), int(carry[_N]), first, list(carry[_TAIL]))
+        at = int(np.flatnonzero(table[_CARRY].to_numpy())[0])
+        before, first, last = (table[c].iat[at] for c in (_N, _FIRST, _TAIL))
+        order = np.argsort(table[position].to_numpy(), kind="stable")
+        rows = table[names].iloc[order[order != at]].reset_index(drop=True)
+        return finish(key[:-1], rows, int(before), None if pd.isna(first) else int(first), list(last))
 
     return own.unionByName(as_rows).groupBy(*map(q, keys), BLOCK).applyInPandas(meet, schema)
 

@@ -76,3 +76,39 @@ def test_sizes_that_are_not_known_and_captures_without_a_name(spark, make_packet
     got = ST.read_output(spark, folder).select(*cells).orderBy("packet_no").collect()
     assert [r[:2] for r in got if r.packet_no % 2 == 0] == [r[:2] for r in batch.select(*cells).orderBy("packet_no").collect() if r.packet_no % 2 == 0]
     assert len(got) == 90
+
+
+def test_a_small_flow_costs_no_table_operation(monkeypatch):
+    """Rows out of order, a gap in sizes and a pause, without a sort or grouping of tables."""
+    import numpy as np
+    import pandas as pd
+
+    class State:
+        hasTimedOut = exists = False
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    def refuse(*_, **__):
+        raise AssertionError("a table operation per flow")
+
+    rows = pd.DataFrame({"packet_no": [2, 0, 1, 3], "ts_us": [30, 0, 10, 500], "ip_proto": [17, 6, 6, 6], "frame_len": [7.0, 5.0, np.nan, 9.0]})
+    for kind in (pd.DataFrame, pd.Series):
+        monkeypatch.setattr(kind, "sort_values", refuse)
+        monkeypatch.setattr(kind, "groupby", refuse)
+    state = State()
+    (out,) = ST._flow_update(100, False)(("c", "a", 1, "b", None), iter([rows]), state)
+    assert out["packet_no"].tolist() == [0, 1, 2, 3] and out["flow_packets"].tolist() == [1, 2, 1, 1]
+    assert out["flow_bytes"].tolist() == [5, 5, 7, 9] and out["flow_us"].tolist() == [0, 10, 0, 0]
+    assert out["tcp_packets"].tolist() == [1, 2, 2, 1] and state.get[:2] == (1, 9) and state.get[-1] == 500
+
+
+def test_summaries_sort_a_batch_once(monkeypatch):
+    import pandas as pd
+
+    calls = []
+    monkeypatch.setattr(pd.DataFrame, "sort_values", lambda *_, **__: calls.append(1))
+    batch = pd.DataFrame({"c": ["a", None, "a", "b"], ST.BLOCK: [0, 0, 0, 0], "p": [5, 1, 3, 2], "v": [50, 10, None, 20]})
+    (out,) = ST._summaries(["c"], "p", "v", 1)(iter([batch]))
+    got = {r["c"]: (r[ST._N], r["first_at"], r[ST._TAIL]) for r in out.to_dict("records")}
+    assert got == {"a": (2, 3, [50]), None: (1, 1, [10]), "b": (1, 2, [20])} and not calls

@@ -26,6 +26,7 @@ COUNT_NAMES = {f"{f.lower()}_count": f for f in ("ACK", "SYN", "FIN", "URG", "RS
 SERVICES = [
     "HTTP", "HTTPS", "DNS", "Telnet", "SMTP", "SSH", "IRC", "TCP", "UDP", "DHCP", "ARP", "ICMP", "IPv", "LLC",
 ]
+RATE_NAMES = {"Rate": "overall", "Srate": "source", "Drate": "destination"}
 PROTOCOL_TYPES = {6: "TCP", 17: "UDP", 1: "ICMP"}
 # column, word, whether any value but 0 is shown (else only positive ones)
 STATISTICS = [
@@ -57,59 +58,51 @@ def _shown(x: Column) -> Column:
     return F.coalesce(fmt4(x), F.lit("nan"))
 
 
-def _joined(df: DataFrame, columns: list[str], words: list[str], item) -> Column:
-    """``item(value, word)`` of every column, those that are NULL left out, joined by commas.
+def _joined(title: str, items: list[Column]) -> Column:
+    """The title and the items that are not NULL, joined by commas; NULL if there are none."""
+    return F.concat(F.lit(f"{title}: "), F.nullif(F.concat_ws(", ", *items), F.lit("")))
 
-    One lambda per list keeps the generated code of the row small enough for
-    the JIT compiler, which gives up on very long methods.
-    """
-    values = F.array(*[_raw(df, c) for c in columns])
-    return F.array_join(F.zip_with(values, F.array(*[F.lit(w) for w in words]), item), ", ")
-
-
-def _counted(suffix: str = ""):
-    return lambda x, word: F.when(_known(x) > 0, F.concat(_whole(x), F.lit(" "), word, F.lit(suffix)))
 
+def _counted(df: DataFrame, title: str, names: dict[str, str], suffix: str = "") -> Column:
+    columns = [(_raw(df, c), word) for c, word in names.items()]
+    return _joined(title, [F.when(_known(x) > 0, F.concat(_whole(x), F.lit(f" {word}{suffix}"))) for x, word in columns])
 
-def _measured(x: Column, rule: Column) -> Column:
-    """A rule starts with ``!`` when any value but 0 is shown; a missing value differs from 0."""
-    any_value = F.startswith(rule, F.lit("!"))
-    show = F.when(any_value, F.coalesce(_known(x) != 0, F.lit(True))).otherwise(_known(x) > 0)
-    return F.when(show, F.concat(F.ltrim(rule, F.lit("!")), F.lit(" "), _shown(_known(x))))
 
-
-def _measures(df: DataFrame, rules: list[tuple[str, str, bool]]) -> Column:
-    return _joined(df, [r[0] for r in rules], [("!" if r[2] else "") + r[1] for r in rules], _measured)
+def _measures(df: DataFrame, title: str, rules: list[tuple[str, str, bool]]) -> Column:
+    """Values by rule; a missing value differs from 0."""
+    items = []
+    for c, word, any_value in rules:
+        x = _known(_raw(df, c))
+        show = F.coalesce(x != 0, F.lit(True)) if any_value else x > 0
+        items.append(F.when(show, F.concat(F.lit(f"{word} "), _shown(x))))
+    return _joined(title, items)
 
 
 def verbalise(df: DataFrame) -> Column:
-    """A flow as sentences joined by ". ". One expression, no Python per row."""
+    """A flow as sentences joined by ". ". One expression, no Python per row.
+
+    A lambda, and all that is inside it, is evaluated node by node, so only rare numbers are printed by one (:func:`fixed`). As a step that
+    holds a lambda is not part of its stage's method, its code comes in methods that the JIT compiler takes.
+    """
     duration, total, header = (_known(_raw(df, c)) for c in ("flow_duration", "Duration", "Header_Length"))
     protocol = _known(_raw(df, "Protocol Type"))
     named = F.when(protocol > 0, F.concat(F.lit("protocol "), _whole(protocol)))
     for number, name in PROTOCOL_TYPES.items():
         named = F.when(protocol == number, F.lit(f"{name} protocol")).otherwise(named)
     other_total = (total > 0) & F.coalesce(total != duration, F.lit(True))
-    rates = ["Rate", "Srate", "Drate"]
-    rate_words = ["overall", "source", "destination"]
-    sections = [
-        ("Network flow with duration ", F.concat(_shown(duration), F.lit(" seconds"))),
-        ("total duration ", F.when(other_total, _shown(total))),
-        ("header length ", F.when(header > 0, F.concat(_whole(header), F.lit(" bytes")))),
-        ("using ", named),
-        ("", F.array_join(F.zip_with(
-            F.array(*[_raw(df, c) for c in rates]), F.array(*[F.lit(f"{w} rate ") for w in rate_words]),
-            lambda x, word: F.when(_known(x) > 0, F.concat(word, _shown(x))),
-        ), ". ")),
-        ("TCP flags: ", _joined(df, list(FLAG_NAMES), list(FLAG_NAMES.values()), _counted())),
-        ("Flag counts: ", _joined(df, list(COUNT_NAMES), list(COUNT_NAMES.values()), _counted(" count"))),
-        ("Services: ", _joined(df, SERVICES, SERVICES, lambda x, word: F.when(_known(x) > 0, word))),
-        ("Statistics: ", _measures(df, STATISTICS)),
-        ("Advanced metrics: ", _measures(df, ADVANCED)),
-    ]
-    pairs = F.array(*[F.struct(F.lit(title).alias("title"), text.alias("text")) for title, text in sections])
-    return F.array_join(
-        F.transform(pairs, lambda p: F.when(p["text"] != "", F.concat(p["title"], p["text"]))), ". "
+    rates = [(_known(_raw(df, c)), word) for c, word in RATE_NAMES.items()]
+    return F.concat_ws(
+        ". ",
+        F.concat(F.lit("Network flow with duration "), _shown(duration), F.lit(" seconds")),
+        F.when(other_total, F.concat(F.lit("total duration "), _shown(total))),
+        F.when(header > 0, F.concat(F.lit("header length "), _whole(header), F.lit(" bytes"))),
+        F.concat(F.lit("using "), named),
+        *[F.when(x > 0, F.concat(F.lit(f"{word} rate "), _shown(x))) for x, word in rates],
+        _counted(df, "TCP flags", FLAG_NAMES),
+        _counted(df, "Flag counts", COUNT_NAMES, " count"),
+        _joined("Services", [F.when(_known(_raw(df, c)) > 0, F.lit(c)) for c in SERVICES]),
+        _measures(df, "Statistics", STATISTICS),
+        _measures(df, "Advanced metrics", ADVANCED),
     )
 
 

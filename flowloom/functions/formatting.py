@@ -68,6 +68,17 @@ def _by_pattern(x: Column, places: int) -> Column:
     )
 
 
+def rounded(x: Column, places: int) -> Column:
+    """``round(x, places)`` of a double, which reads its shortest text, without the text where the whole number of units is sure.
+
+    That text and the product lie within 2**-52 of each other; the quotient of two whole numbers is the double next to the decimal.
+    """
+    scaled = x * float(10**places)
+    digits = F.rint(scaled)
+    sure = (F.abs(scaled) < 1e15) & (F.abs(scaled - digits) + F.abs(scaled) * 2.3e-16 < 0.5)
+    return F.when(sure, digits / float(10**places) + 0.0).otherwise(F.round(x, places))  # no negative zero
+
+
 def fmt4(x: Column) -> Column:
     """Four decimals, see :func:`fixed`."""
     return fixed(x, 4)

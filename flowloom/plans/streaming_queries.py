@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.functions import text as X
+from flowloom.functions.formatting import rounded
 from flowloom.operators import packets as W
 from flowloom.plans.feature_queries import _FITTED, ENGINEERED, _scaled_sql, fitted_fixture
 from flowloom.plans.fixtures import packets
@@ -110,7 +111,7 @@ def st6(spark, sf_dir):
     renamed = out.select("flow_id", *[F.col(q(c)).alias(snake(c)) for c in _FITTED])  # file formats refuse blanks
     ST.write_rows(renamed, folder, "stored_transform").awaitTermination()
     df = spark.read.parquet(f"{folder}/out")
-    return df.select("flow_id", *[F.round(snake(c), 6).alias(snake(c)) for c in _FITTED])
+    return df.select("flow_id", *[rounded(F.col(snake(c)), 6).alias(snake(c)) for c in _FITTED])
 
 
 @query("st6_text_rows", FLOW_WITH + f"""select flow_id, case when length(t) > 400 then left(t, 400) || '...' else t end as text

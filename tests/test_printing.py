@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowloom import schemas as S
 from flowloom.functions import text as X
-from flowloom.functions.formatting import fixed
+from flowloom.functions.formatting import fixed, rounded
 
 
 @pytest.mark.parametrize("places", [1, 2, 4, 6, 9])
@@ -32,3 +32,12 @@ def test_only_rare_numbers_are_in_a_lambda(spark, small):
     plan = df.select(X.verbalise(df).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
     assert "zip_with" not in plan and "transform(array(struct" not in plan and "array_join" not in plan
     assert df.select(X.verbalise(df).alias("t")).first().t.startswith("Network flow with duration 1.0000 seconds. header length 1 bytes. using ICMP protocol. overall rate 1.0000. ")
+
+
+def test_rounded_is_round(spark):
+    rng = random.Random(3)
+    values = [0.0, -0.0, -1e-9, 5e-7, 1.5e-6, -2.5e-6, 0.1234565, 1e15, 1e22, 9e8 + 0.0000005, float("nan"), float("inf"), None]
+    values += [(rng.randrange(10 ** rng.randint(1, 15)) + 0.5) * 1e-6 for _ in range(3_000)]
+    values += [rng.uniform(-1, 1) * 10.0 ** rng.randint(-9, 12) for _ in range(3_000)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert not df.filter(~rounded(F.col("x"), 6).cast("string").eqNullSafe(F.round("x", 6).cast("string"))).take(3)

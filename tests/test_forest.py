@@ -90,3 +90,28 @@ def test_parts_are_stratified_folds(spark):
     assert all(max(r[1:]) - min(r[1:]) <= 1 for r in cells) and sum(sum(r[1:]) for r in cells) == 1_000
     one = SP.stratified_parts(df.filter("label = 'a'").limit(1), "key", 3).collect()
     assert len(one) == 1 and one[0]["fold"] == 0
+
+
+def fitted_rows(monkeypatch, run):
+    """Training rows of the forests that ``run`` fits."""
+    seen = []
+
+    def fit(self, table):
+        seen.append(self.rows)
+        return FO.Importances(np.arange(1.0, 1.0 + len(table.select("features").first()[0])))
+
+    monkeypatch.setattr(FO.WholeForest, "_fit", fit)
+    run()
+    return seen
+
+
+def test_fit_select_learns_from_the_whole_table(spark, small, monkeypatch):
+    """The query's forests used to learn from 1,000 rows; two forests on three folds of two thirds of the rows. The buckets are found once."""
+    from flowloom.plans.catalog import QUERIES
+    from flowloom.plans.sampling_queries import clean_flows
+
+    searched = []
+    search = SEL.bucket_limits
+    monkeypatch.setattr(SEL, "bucket_limits", lambda *a, **kw: searched.append(1) or search(*a, **kw))
+    seen = fitted_rows(monkeypatch, lambda: QUERIES["m09_fit_select"](spark, small).collect())
+    assert len(seen) == 6 and sum(seen) == 4 * clean_flows(spark, small).count() and len(searched) == 1

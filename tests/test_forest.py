@@ -115,3 +115,23 @@ def test_fit_select_learns_from_the_whole_table(spark, small, monkeypatch):
     monkeypatch.setattr(SEL, "bucket_limits", lambda *a, **kw: searched.append(1) or search(*a, **kw))
     seen = fitted_rows(monkeypatch, lambda: QUERIES["m09_fit_select"](spark, small).collect())
     assert len(seen) == 6 and sum(seen) == 4 * clean_flows(spark, small).count() and len(searched) == 1
+
+
+@pytest.fixture(scope="module")
+def swept(spark, small):
+    """The sweep query with forests that only tell their rows, its result and the files it wrote."""
+    import glob
+
+    from flowloom.plans.catalog import QUERIES
+    from flowloom.session import shared_folder
+
+    with pytest.MonkeyPatch.context() as m:
+        seen = fitted_rows(m, lambda: QUERIES["q01_sweep"](spark, small).collect())
+    return seen, [f for f in glob.glob(f"{shared_folder(spark)}/sweep-*/records/**/*", recursive=True) if "/part-" in f]
+
+
+def test_sweep_learns_from_the_whole_table(spark, small, swept):
+    from flowloom.plans.sampling_queries import clean_flows
+
+    seen, _ = swept
+    assert len(seen) == 12 and sum(seen) == 8 * clean_flows(spark, small).count()

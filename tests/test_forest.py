@@ -125,9 +125,13 @@ def swept(spark, small):
     from flowloom.plans.catalog import QUERIES
     from flowloom.session import shared_folder
 
+    def files():
+        return {f for f in glob.glob(f"{shared_folder(spark)}/sweep-*/records/**/*", recursive=True) if "/part-" in f}
+
+    before = files()  # of other runs
     with pytest.MonkeyPatch.context() as m:
         seen = fitted_rows(m, lambda: QUERIES["q01_sweep"](spark, small).collect())
-    return seen, [f for f in glob.glob(f"{shared_folder(spark)}/sweep-*/records/**/*", recursive=True) if "/part-" in f]
+    return seen, files() - before
 
 
 def test_sweep_learns_from_the_whole_table(spark, small, swept):
@@ -135,3 +139,9 @@ def test_sweep_learns_from_the_whole_table(spark, small, swept):
 
     seen, _ = swept
     assert len(seen) == 12 and sum(seen) == 8 * clean_flows(spark, small).count()
+
+
+def test_sweep_writes_compressed_records(swept):
+    """Plain records, which repeat one instruction and the feature names, were most of the disk."""
+    _, files = swept
+    assert files and all(f.endswith(".json.gz") for f in files)

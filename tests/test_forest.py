@@ -145,3 +145,21 @@ def test_sweep_writes_compressed_records(swept):
     """Plain records, which repeat one instruction and the feature names, were most of the disk."""
     _, files = swept
     assert files and all(f.endswith(".json.gz") for f in files)
+
+
+@pytest.mark.parametrize("local_rows", [10**6, 100])
+def test_baseline_is_learnt_from_all_rows(spark, monkeypatch, local_rows):
+    """Classes that follow from two columns, one of them in a single row of a thousand: the model names nearly all, also where tasks grow parts of trees."""
+    from flowloom.operators import scoring as SC
+
+    monkeypatch.setattr(FO, "LOCAL_BYTES", 10 * local_rows)
+    df = spark.range(4_000, numPartitions=3).selectExpr("id", "double(id % 4) as a", "double(id % 1000 = 7) as b", "if(id % 3 = 0, null, double(id % 11)) as c")
+    df = df.selectExpr("*", "case when b = 1 then 'rare' when a < 2 then 'low' else 'high' end as label")
+    seen = []
+    model_of = FO.WholeForest.model
+    monkeypatch.setattr(FO.WholeForest, "model", lambda self, table, *a: seen.append((self.rows, table.count())) or model_of(self, table, *a))
+    model = SC.fit_baseline(df, ["a", "b", "c"], "id", forest=SEL.Forest(15, 8))
+    got = SC.apply_baseline(model, df)
+    assert seen == [(4_000, 4_000)] and model.stages[2].getNumTrees == 15 and model.stages[2].numClasses == 3
+    assert got.filter("label != predicted_class").count() == 0 and got.columns == [*df.columns, "predicted_class"]
+    assert set(model.stages[2].featureImportances.indices) <= {0, 1, 2}

@@ -297,7 +297,7 @@ def a05(spark, sf_dir):
     from flowloom.plans.fixtures import flows
 
     folder = new_folder(spark, "text-csv")
-    IO.write_csv(X.text_table(flows(spark, sf_dir)), folder)
+    IO.write_csv(X.text_table(flows(spark, sf_dir)), folder, compression=IO.COMPRESSION)
     df = IO.read_text_label(spark, folder)
     return df.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("characters"))
 

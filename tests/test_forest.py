@@ -163,3 +163,17 @@ def test_baseline_is_learnt_from_all_rows(spark, monkeypatch, local_rows):
     assert seen == [(4_000, 4_000)] and model.stages[2].getNumTrees == 15 and model.stages[2].numClasses == 3
     assert got.filter("label != predicted_class").count() == 0 and got.columns == [*df.columns, "predicted_class"]
     assert set(model.stages[2].featureImportances.indices) <= {0, 1, 2}
+
+
+def test_workers_need_no_package(tmp_path):
+    """Functions that run in Python workers are sent whole: a worker that cannot import the package runs them."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    (tmp_path / "f").write_bytes(cloudpickle.dumps((FO.bag, FO.grow, FO.split_histograms)))
+    code = ("import sys, pickle, numpy as np; f = pickle.load(open(sys.argv[1], 'rb')); assert 'flowloom' not in sys.modules; "
+            "print(f[0](np.arange(3), 1, 1).tolist())")
+    out = subprocess.run([sys.executable, "-c", code, str(tmp_path / "f")], cwd=tmp_path, capture_output=True, text=True, check=True)
+    assert out.stdout.strip() == str(FO.bag(np.arange(3), 1, 1).tolist())
